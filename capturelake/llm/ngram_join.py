@@ -9,7 +9,8 @@ components so found are contracted, and then every remaining candidate pair betw
 whatever its number, so no link between different components is missed. Exact copies are one set throughout.
 
 Frequencies for the order are counted over all sets in a table of 2**SKETCH_BITS cells; any order gives the same result.
-N-grams are compared by 64-bit hashes. Null, empty and blank texts have an empty set and link with nothing.
+N-grams are compared by 64-bit hashes. Null, empty and blank texts have an empty set and link with nothing; a row
+without a doc_id has no component unless its text is that of a row with one.
 """
 
 from __future__ import annotations
@@ -214,3 +215,12 @@ def ngram_components(df: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(smallest, "root").select("set_id", "component_id")
     return rows.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """The documents, columns unchanged, without those that a smaller doc_id reaches by links; of repeated rows one stays."""
+    found = cut_lineage(ngram_components(documents, width, percent))
+    kept = documents.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept

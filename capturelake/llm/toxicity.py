@@ -86,10 +86,17 @@ class Model:
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
+        times: dict[str, int] = {}
+        out = []
         for w in words:
-            if w not in known:
-                known[w] = self.word_score(w)
-        return [known[w] for w in words]
+            s = known.get(w)
+            if s is None:
+                s = known[w] = self.word_score(w)
+            if s > 0:  # the k-th time counts 1/k, so that repetition alone makes no passage
+                times[w] = k = times.get(w, 0) + 1
+                s /= k
+            out.append(s)
+        return out
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         words = tokens(text)
