@@ -18,21 +18,18 @@ their right part. Null text counts as empty; texts are taken up to 256 MB; equal
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import base_columns, cut_lineage, mix64, row_blocks, span_hashes, utf8_buffers
+from capturelake.llm.common import base_columns, mix64, row_blocks, span_hashes, utf8_buffers, written
 
 GRAM = 32
 _POSITION = np.uint64(2**28 - 1)
 _CODE = np.random.default_rng(31).integers(1, 2**63, 256, dtype=np.uint64)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-#: Cells of the fixed-size filter that keeps the bytes of most lone contents at home; it decides cost only, never results.
-FILTER_BITS = 24
 BATCHES = 4
 GROUP_ROWS = 20_000
 HOT = 50_000
@@ -61,14 +58,16 @@ def records(data: np.ndarray, offsets: np.ndarray, window: int):
     if width > span:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     anchor = (low & _POSITION).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(len(anchor)), side="right") - 1
-    good = np.arange(len(anchor)) + window <= offsets[row + 1]
+    good = np.ones(len(anchor), bool)
+    for end in offsets[1:-1]:
+        good[max(end - window + 1, 0) : end] = False
     new = good.copy()
     new[1:] &= ~(good[:-1] & (anchor[1:] == anchor[:-1]))
     last = good.copy()
     last[:-1] &= ~(good[1:] & (anchor[1:] == anchor[:-1]))
     first, final = np.flatnonzero(new), np.flatnonzero(last)
-    return row[first], h[anchor[first]], first, final, anchor[first]
+    row = np.searchsorted(offsets, first, side="right") - 1
+    return row, h[anchor[first]], first, final, anchor[first]
 
 
 def _contents(data, offsets, window):
@@ -168,31 +167,6 @@ class LogIndex:
             yield level.content[row], lo, hi - 1
 
 
-def _filter_of(hashes: DataFrame) -> np.ndarray:
-    """A bit per cell that some hash falls in: 2**FILTER_BITS cells, whatever the input."""
-
-    def fill(batches):
-        cells = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            cells[(batch.column("anchor").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        if cells.any():
-            for i, part in enumerate(np.packbits(cells).reshape(64, -1)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["part", "bits"])
-
-    def join(batches):
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                b = np.frombuffer(zlib.decompress(raw), np.uint8)
-                found[k] = found[k] | b if k in found else b
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in found.values()], pa.binary())], ["part", "bits"])
-
-    out = np.zeros((64, (1 << FILTER_BITS) // 512), np.uint8)
-    for row in hashes.mapInArrow(fill, "part int, bits binary").repartition("part").mapInArrow(join, "part int, bits binary").collect():
-        out[row.part] |= np.frombuffer(zlib.decompress(bytes(row.bits)), np.uint8)
-    return out.ravel()
-
-
 def _blocks(batches):
     for batch in batches:
         flat, offsets = utf8_buffers(batch.column("text"))
@@ -201,8 +175,7 @@ def _blocks(batches):
 
 
 def repeated_spans(docs: DataFrame, window: int = 200, hot: int = HOT) -> DataFrame:
-    """(row, start, end): byte ranges covered by windows that start more than once; docs: row long (unique per distinct text and id), text."""
-    context = docs.sparkSession.sparkContext
+    """(row, start, end): byte ranges covered by windows that start more than once; docs: row long (unique per distinct text and id), doc_id, text."""
 
     def places(batches):
         for batch, data, offsets in _blocks(batches):
@@ -211,27 +184,44 @@ def repeated_spans(docs: DataFrame, window: int = 200, hot: int = HOT) -> DataFr
             ids = batch.column("row").to_numpy()[row]
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64)), pa.array(ids, pa.int64()), pa.array(at - base, pa.int64()), pa.array((at - final).astype(np.int16)), pa.array((at - first).astype(np.int16))], ["anchor", "content", "row", "at", "low", "high"])
 
-    found = docs.mapInArrow(places, "anchor long, content long, row long, at long, low short, high short").repartition("anchor")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).where("n > 1")
-    repeated = cut_lineage(found.join(counts, "anchor").select("anchor", "content", "row", "at", "low", "high", (F.col("a") != F.col("b")).alias("mixed")))
-    contents = repeated.groupBy("content").agg(F.count("*").alias("n"), F.first("anchor").alias("anchor"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("mixed").alias("mixed"))
-    mixed = repeated.where("mixed").select("anchor").distinct()
-    bits = context.broadcast(_filter_of(mixed))
-    whole = contents.where("n > 1").select("content", F.col("low").cast("int").alias("lo"), F.col("high").cast("int").alias("hi"))
-    hot_anchors = contents.where("mixed").groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot"))
+    def met_again(batches):
+        held, met = None, False  # the last row waits for its successor; met: its predecessor has its anchor
+        for batch in batches:
+            both = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not both.num_rows:
+                continue
+            anchor = both.column("anchor").to_numpy()
+            same = anchor[1:] == anchor[:-1]
+            before = np.concatenate([[met], same])
+            keep = before | np.concatenate([same, [False]])
+            keep[-1] = False
+            yield both.filter(pa.array(keep))
+            held, met = both.slice(both.num_rows - 1), bool(before[-1])
+        if met:
+            yield held
+
+    schema = "anchor long, content long, row long, at long, low short, high short"
+    found = docs.mapInArrow(places, schema).repartition("anchor").sortWithinPartitions("anchor")
+    repeated = written(found.mapInArrow(met_again, schema))
+    contents = repeated.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("rep"), F.first("anchor").alias("anchor"), F.first("low").cast("int").alias("lo"), F.first("high").cast("int").alias("hi"))
+    contents = written(contents.select("content", "n", "rep.row", "rep.at", "anchor", "lo", "hi"))
+    mixed = contents.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    whole = contents.where("n > 1").select("content", "lo", "hi")
+    hot_anchors = mixed.where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot"))
+    wanted = contents.join(mixed, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "content", "at", "lo", "hi")).alias("wanted"))  # at most as many as the text has records
 
     def texts(batches):
-        seen: set[int] = set()  # a content goes out once per task
-        for _, data, offsets in _blocks(batches):
-            _, anchor, key, first, final, at = _contents(data, offsets, window)
-            cell = (anchor >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            keep = np.flatnonzero((bits.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
-            keep = keep[np.unique(key[keep], return_index=True)[1]]
-            keep = np.array([i for i in keep.tolist() if int(key[i]) not in seen], np.int64)
-            seen.update(key[keep].tolist())
-            raw = data.tobytes()
-            body = [raw[a : b + window] for a, b in zip(first[keep].tolist(), final[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), pa.array(key[keep].view(np.int64)), pa.array((at - first)[keep], pa.int32()), pa.array((final - first + 1)[keep], pa.int32()), pa.array(body, pa.binary())], ["anchor", "content", "at", "windows", "body"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["anchor", "content", "at", "windows", "body"]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                out = []
+                part = batch.slice(a, 200)
+                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                    raw = (text or "").encode()
+                    out += [(w["anchor"], w["content"], w["hi"], w["hi"] - w["lo"] + 1, raw[w["at"] - w["hi"] : w["at"] - w["lo"] + window]) for w in wanted]
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def match(batches):
         def flush(rows):
@@ -266,9 +256,15 @@ def repeated_spans(docs: DataFrame, window: int = 200, hot: int = HOT) -> DataFr
         if held[0]:
             yield from flush([*(np.array(x, np.int64) for x in held[:4]), held[4]])
 
-    body = docs.mapInArrow(texts, "anchor long, content long, at int, windows int, body binary")
-    body = body.join(hot_anchors, "anchor", "left")
-    cold = body.where("hot is null").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "content long, lo int, hi int")
+    body = docs.join(wanted, "row").mapInArrow(texts, "anchor long, content long, at int, windows int, body binary")
+    any_hot = bool(hot_anchors.take(1))
+    if any_hot:
+        body = body.join(hot_anchors, "anchor", "left")
+    cold = (body.where("hot is null").drop("hot") if any_hot else body).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(match, "content long, lo int, hi int")
+    hits = whole.unionByName(cold)
+    at = lambda hits: repeated.join(hits, "content").select("row", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + window).alias("end"))
+    if not any_hot:
+        return at(hits)
 
     def window_hashes(batches):
         for batch in batches:
@@ -280,14 +276,13 @@ def repeated_spans(docs: DataFrame, window: int = 200, hot: int = HOT) -> DataFr
     each = body.where("hot").drop("hot").mapInArrow(window_hashes, "anchor long, hash long, offset int, content long")
     twice = each.groupBy("anchor", "hash", "offset").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").drop("a", "b")
     warm = each.join(twice, ["anchor", "hash", "offset"]).select("content", F.col("offset").alias("lo"), F.col("offset").alias("hi"))
-    hits = whole.unionByName(cold).unionByName(warm)
-    return repeated.join(hits, "content").select("row", (F.col("at") - F.col("hi")).alias("start"), (F.col("at") - F.col("lo") + window).alias("end"))
+    return at(hits.unionByName(warm))
 
 
 def remove_repeats(df: DataFrame, window: int = 200, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes' digest only; see `repeated_spans` for the ranges."""
     docs = base_columns(df, {"doc_id": "long", "text": "string"}).withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs.select("row", "text"), window, hot)
+    spans = repeated_spans(docs, window, hot)
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # at most as many as the text has windows
 
     def cut(batches):
@@ -312,4 +307,4 @@ def remove_repeats(df: DataFrame, window: int = 200, hot: int = HOT) -> DataFram
                 kept.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return docs.join(lists, "row", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.join(lists, "row", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
