@@ -4,9 +4,10 @@ Sets are put in one global order, rare n-grams first. Two sets that link share a
 order, so prefixes give the candidates. Candidates of one query set are stored as a trie of ordered sets; a traversal
 shares the overlap counted along a common prefix and leaves a subtree when what remains cannot reach the bound.
 
-Only what decides components is compared. First each set meets one hub per prefix n-gram and length class; the
-components so found are contracted, and then every remaining candidate pair between different components is compared,
-whatever its number, so no link between different components is missed. Exact copies are one set throughout.
+Only what decides components is compared. Each prefix n-gram and length class has one hub, the set whose prefix others
+share most. First each set meets the hub with which it shares most; then every candidate pair between different
+components is compared, whatever its number, so no link between different components is missed. A pair is no candidate
+if the n-grams that only one of the two can have leave too few for a link. Exact copies are one set throughout.
 
 Frequencies for the order are counted over all sets in a table of 2**SKETCH_BITS cells; any order gives the same result.
 N-grams are compared by 64-bit hashes. Null, empty and blank texts have an empty set and link with nothing; a row
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import base_columns, cut_lineage, mix64, row_blocks, shingles, utf8_buffers, words
+from capturelake.llm.common import base_columns, cut_lineage, mix64, row_blocks, shingles, utf8_buffers, words, written
 from capturelake.llm.components import components
 
 SKETCH_BITS = 20
 _BLOCK = 4096
 _SHARD = 512
+#: Up to this many pairs of 8-byte keys are broadcast (they are counted first); beyond that the join is shuffled.
+BROADCAST_IDS = 500_000
 
 
 def _sets(batches, width: int):
@@ -52,16 +55,20 @@ def _need(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many sets hold an n-gram of each cell; a fixed number of counters, whatever the corpus."""
+def _first_pass(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n_shingles, set_id) of every row, and how many sets hold an n-gram of each cell: a fixed number of counters."""
 
-    def count(batches):
+    def run(batches):
         cells = np.zeros(1 << SKETCH_BITS, np.uint64)
-        for _, sets in _sets(batches, width):
+        for ids, sets in _sets(batches, width):
             if any(map(len, sets)):
                 cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint64)
+            none = pa.nulls(len(sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), none], names)
         blocks = range(0, len(cells), _BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array([i // _BLOCK for i in blocks], pa.int32()), pa.array([zlib.compress(cells[i : i + _BLOCK].tobytes(), 1) for i in blocks], pa.binary())], ["block", "counts"])
+        counts = pa.array([zlib.compress(cells[i : i + _BLOCK].tobytes(), 1) for i in blocks], pa.binary())
+        none = pa.nulls(len(blocks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([i // _BLOCK for i in blocks], pa.int32()), counts], names)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -71,12 +78,41 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
                 sums[k] = sums[k] + part if k in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["block", "counts"])
 
-    schema = "block int, counts binary"
-    summed = docs.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    names = ["doc_id", "n_shingles", "set_id", "block", "counts"]
+    both = cut_lineage(docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, block int, counts binary"))
+    summed = both.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint64)
     for row in summed.collect():  # 2**SKETCH_BITS counters in all
         out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(zlib.decompress(bytes(row.counts)), np.uint64)
-    return np.minimum(out, 2**32 - 1).astype(np.uint32)
+    return both.where("block is null").drop("block", "counts"), np.minimum(out, 2**32 - 1).astype(np.uint32)
+
+
+def _shared_only(rows: DataFrame) -> DataFrame:
+    """Of rows (token, id, n, place, cell), one of each token and id, those whose token more than one id has; streamed in token order."""
+
+    names = ["token", "id", "n", "place", "cell"]
+
+    def run(batches):
+        held, met = None, False  # the last row waits for its successor; met: its predecessor has its token
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            same = columns[0][1:] == columns[0][:-1]
+            new = np.concatenate([[True], ~(same & (columns[1][1:] == columns[1][:-1]))])
+            columns = [c[new] for c in columns]
+            same = columns[0][1:] == columns[0][:-1]
+            before = np.concatenate([[met], same])
+            keep = before | np.concatenate([same, [False]])
+            keep[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names)
+            held, met = [c[-1:] for c in columns], bool(before[-1])
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names)
+
+    return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n int, place int, cell long")
 
 
 def _ordered(grams: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -118,13 +154,13 @@ class SetTrie:
                 yield self.rank[at]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, small: bool) -> DataFrame:
     """Of candidate pairs (a, b), those that link. A query's candidates go to tries of bounded size on many tasks."""
     shards = pairs.groupBy("a").agg(F.ceil(F.count("*") / _SHARD).alias("shards"))
     dealt = pairs.join(shards, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shards").alias("shard"))
-    heads = dealt.select("a", "shard").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "shard", F.lit(0).alias("kind"), F.col("a").alias("id"), "grams")
-    rest = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "shard", F.lit(1).alias("kind"), F.col("b").alias("id"), "grams")
-    rows = heads.unionByName(rest).repartition("a", "shard").sortWithinPartitions("a", "shard", "kind")
+    heads = dealt.select("a", "shard").distinct().select(F.col("a").alias("id"), "a", "shard", F.lit(0).alias("kind"))
+    roles = cut_lineage(heads.unionByName(dealt.select(F.col("b").alias("id"), "a", "shard", F.lit(1).alias("kind"))))
+    rows = sets.join(F.broadcast(roles) if small else roles, "id").repartition("a", "shard").sortWithinPartitions("a", "shard", "kind")
 
     def run(batches):
         key = query = None
@@ -154,62 +190,93 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def ngram_components(df: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included)."""
-    spark = df.sparkSession
     docs = base_columns(df, {"doc_id": "long", "text": "string"})
-    cells = spark.sparkContext.broadcast(_sketch(docs, width))
-
-    def keyed(batches):
-        for ids, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+    rows, counted = _first_pass(docs, width)
+    cells = df.sparkSession.sparkContext.broadcast(counted)
 
     def prefixes(batches):
         seen: set[int] = set()  # a set goes out once per task
         for _, sets in _sets(batches, width):
-            tokens, keys, sizes, places = [], [], [], []
+            tokens, keys, sizes, places, counts = [], [], [], [], []
             for s in sets:
                 if len(s) and (k := _set_id(s)) not in seen:
                     seen.add(k)
                     p = len(s) - -(-percent * len(s) // 100) + 1
                     tokens.append(_ordered(s, cells.value)[:p])
+                    counts.append(cells.value[(tokens[-1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64))
                     keys.append(np.full(p, k, np.int64))
                     sizes.append(np.full(p, len(s), np.int32))
                     places.append(np.arange(p, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["token", "id", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(counts))], ["token", "id", "n", "place", "cell"])
 
     def needed_sets(batches):
         for _, sets in _sets(batches, width):
             some = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in some], pa.int64()), pa.array([_ordered(s, cells.value).tobytes() for s in some], pa.binary())], ["id", "grams"])
 
-    rows = cut_lineage(docs.mapInArrow(keyed, "doc_id long, n_shingles long, set_id long"))
     holders = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        texts = docs.join(holders.join(ids, "set_id").select("doc_id").distinct(), "doc_id", "left_semi")
-        return texts.mapInArrow(needed_sets, "id long, grams binary").join(ids.withColumnRenamed("set_id", "id"), "id", "left_semi").dropDuplicates(["id"])
-
-    prefix = docs.mapInArrow(prefixes, "token long, id long, n int, place int").repartition("token")
-    shared = prefix.join(prefix.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"), "token").drop("low", "high").dropDuplicates(["token", "id"])
-    shared = cut_lineage(shared)
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs, those that link; their sets are made anew from the texts that hold them."""
+        ids = cut_lineage(holders.join(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "set_id"))
+        small = pairs.count() <= BROADCAST_IDS
+        return cut_lineage(_verify(pairs, texts_of(ids, small).mapInArrow(needed_sets, "id long, grams binary"), percent, small).distinct())
+
+    def texts_of(ids: DataFrame, small: bool) -> DataFrame:
+        """One text for each wanted set (set_id, doc_id)."""
+        wanted = ids.select("doc_id").distinct()
+        return docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
+
+    def lost(open_ids: DataFrame) -> DataFrame:
+        """(id, level, lost): how many prefix n-grams no other prefix has, of cells below 1, 2, 4, ...; level: that of the prefix's last cell.
+
+        Such an n-gram whose cell is below 2**level of another set's last prefix cell would stand in that prefix; it is
+        not in that set, and cannot count towards the overlap.
+        """
+        ids = cut_lineage(holders.join(open_ids.withColumnRenamed("id", "set_id"), "set_id"))
+        small = ids.count() <= BROADCAST_IDS
+
+        def cells_of(batches):
+            for _, sets in _sets(batches, width):
+                out = []
+                for s in sets:
+                    if len(s):
+                        first = _ordered(s, cells.value)[: len(s) - -(-percent * len(s) // 100) + 1]
+                        count = cells.value[(first >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                        out.append((_set_id(s), int(count[-1]).bit_length() - 1, [int((count < 2**k).sum()) for k in range(33)]))
+                columns = list(zip(*out, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int32()))], ["id", "level", "below"])
+
+        own = texts_of(ids, small).mapInArrow(cells_of, "id long, level int, below array<int>").dropDuplicates(["id"])
+        with_cell = shared.groupBy("id").agg(*[F.count_if(F.col("cell") < F.lit(2**k)).cast("int").alias(f"c{k}") for k in range(33)])
+        met = with_cell.select("id", F.array(*[f"c{k}" for k in range(33)]).alias("met"))
+        return own.join(met, "id").select("id", "level", F.zip_with("below", "met", lambda a, b: a - b).alias("lost"))
+
+    shared = written(_shared_only(docs.mapInArrow(prefixes, "token long, id long, n int, place int, cell long")))
+    met = shared.groupBy("id").agg(F.count("*").alias("met"))
     cls = F.log(F.col("n").cast("double")) / math.log(100 / percent)
-    sized = shared.select("*", F.explode(F.array(F.floor(cls) * 2, F.floor(cls + 0.5) * 2 + 1)).alias("cls"))
-    hubs = sized.groupBy("token", "cls").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
-    star = cut_lineage(sized.join(hubs, ["token", "cls"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    first = cut_lineage(_verify(star, sets_of(star), percent))
-    roots = components(first)
+    sized = shared.join(met, "id").select("*", F.explode(F.array(F.floor(cls) * 2, F.floor(cls + 0.5) * 2 + 1)).alias("cls"))
+    hubs = sized.groupBy("token", "cls").agg(F.max_by("id", F.struct(F.col("met") / F.col("n"), -F.col("id"))).alias("hub"), F.min("id").alias("low"), F.max("id").alias("high"))
+    star = sized.join(hubs.where("low <> high").select("token", "cls", "hub"), ["token", "cls"]).where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"))
+    best = cut_lineage(star.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b"))
+    links = linked(best)
+    roots = components(links)
 
     labelled = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_tokens = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = labelled.join(open_tokens, "token")
+    left = cut_lineage(labelled.join(open_tokens, "token"))
+    left = left.join(lost(left.select("id").distinct()), "id")
     x, y = left.alias("x"), left.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * F.lit(percent) / F.lit(100 + percent))
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + F.least("x.place", "y.place")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= need) & (room >= need))
-    pairs = cut_lineage(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
-    second = _verify(pairs, sets_of(pairs), percent)
-    roots = components(first.unionByName(second))
+    level = F.least("x.level", "y.level") + 1
+    most = F.least(F.col("x.n") - F.element_at("x.lost", level), F.col("y.n") - F.element_at("y.lost", level))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (F.least(room, most) >= need))
+    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = links.unionByName(linked(cut_lineage(cross.join(done, ["a", "b"], "left_anti"))))
+    roots = components(links)
 
     named = holders.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
