@@ -4,7 +4,8 @@ Every 200-byte window has one anchor: its smallest 32-byte hash, leftmost on tie
 equal offsets, so windows meet by their anchor's hash and nothing else need be compared. Consecutive windows with one
 anchor form a record, at most 368 bytes of text. Records of equal bytes are one content:
 
-1. all records without their bytes: anchors met once fall away, contents met twice are repeats as a whole;
+1. all records without their bytes: anchors met once fall away, contents met twice are repeats as a whole (anchors met
+   twice in one block of rows are known at once and only a witness of each meets the others);
 2. where an anchor has several contents, their bytes are indexed: contents arrive in batches, each batch gets a suffix
    array over the anchored suffixes (ordered by anchor, then the bytes that follow), is merge-scanned against every
    existing level for windows that agree to the left and right, and levels of equal rank merge into the next one;
@@ -177,12 +178,22 @@ def _blocks(batches):
 def repeated_spans(docs: DataFrame, window: int = 200, hot: int = HOT) -> DataFrame:
     """(row, start, end): byte ranges covered by windows that start more than once; docs: row long (unique per distinct text and id), doc_id, text."""
 
+    names = ["anchor", "content", "row", "at", "low", "high"]
+
     def places(batches):
         for batch, data, offsets in _blocks(batches):
             row, anchor, key, first, final, at = _contents(data, offsets, window)
             base = offsets[row]
             ids = batch.column("row").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64)), pa.array(ids, pa.int64()), pa.array(at - base, pa.int64()), pa.array((at - final).astype(np.int16)), pa.array((at - first).astype(np.int16))], ["anchor", "content", "row", "at", "low", "high"])
+            # anchors met twice here are repeats already: their rows need not meet, only one witness of each goes on
+            _, lead, where, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+            known = times[where] > 1
+            witness = lead[times > 1]
+            pick = np.concatenate([np.arange(len(row)), witness])
+            kind = np.concatenate([np.where(known, 2, 0), np.ones(len(witness), int)]).astype(np.int8)
+            deal = np.where(kind == 2, (ids[pick] + at[pick]).astype(np.int64), anchor[pick].view(np.int64))
+            columns = [deal, kind, anchor.view(np.int64)[pick], key.view(np.int64)[pick], ids[pick], (at - base)[pick], (at - final)[pick].astype(np.int16), (at - first)[pick].astype(np.int16)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["deal", "kind", *names])
 
     def met_again(batches):
         held, met = None, False  # the last row waits for its successor; met: its predecessor has its anchor
@@ -190,18 +201,19 @@ def repeated_spans(docs: DataFrame, window: int = 200, hot: int = HOT) -> DataFr
             both = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             if not both.num_rows:
                 continue
-            anchor = both.column("anchor").to_numpy()
-            same = anchor[1:] == anchor[:-1]
+            anchor, kind = both.column("anchor").to_numpy(), both.column("kind").to_numpy()
+            same = (anchor[1:] == anchor[:-1]) & (kind[1:] < 2) & (kind[:-1] < 2)
             before = np.concatenate([[met], same])
-            keep = before | np.concatenate([same, [False]])
+            keep = (kind == 2) | (before | np.concatenate([same, [False]])) & (kind == 0)
             keep[-1] = False
-            yield both.filter(pa.array(keep))
+            yield both.filter(pa.array(keep)).select(names)
             held, met = both.slice(both.num_rows - 1), bool(before[-1])
-        if met:
-            yield held
+        if held is not None and (held.column("kind")[0].as_py() == 2 or met and held.column("kind")[0].as_py() == 0):
+            yield held.select(names)
 
     schema = "anchor long, content long, row long, at long, low short, high short"
-    found = docs.mapInArrow(places, schema).repartition("anchor").sortWithinPartitions("anchor")
+    dealt = docs.mapInArrow(places, "deal long, kind byte, " + schema).repartition("deal")
+    found = dealt.sortWithinPartitions(F.col("kind") == 2, "anchor")
     repeated = written(found.mapInArrow(met_again, schema))
     contents = repeated.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("rep"), F.first("anchor").alias("anchor"), F.first("low").cast("int").alias("lo"), F.first("high").cast("int").alias("hi"))
     contents = written(contents.select("content", "n", "rep.row", "rep.at", "anchor", "lo", "hi"))
