@@ -45,6 +45,12 @@ def base_columns(df: DataFrame, required: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in required.items()])
 
 
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows in hash order of the key; only keys are gathered to choose them."""
+    ids = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(most).distinct()
+    return df.join(F.broadcast(ids), key, "left_semi").limit(most)
+
+
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array and len+1 offsets; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -60,7 +66,7 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, most: int = 2_000_000):
+def row_blocks(offsets: np.ndarray, most: int = 1_000_000):
     """Consecutive row ranges of about `most` bytes each; a longer row is a range of its own."""
     n, start = len(offsets) - 1, 0
     while start < n:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import base_columns
+from capturelake.llm.common import base_columns, hash_sample
 
 MAX_PAGES = 400
 #: Fixed sets of element names.
@@ -208,7 +208,7 @@ class Crf:
 
 def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Crf:
     """pages: page_id, html. Pages whose markup names an article, at most `max_pages` of them, come to the driver as features."""
-    some = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+    some = hash_sample(pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")), "page_id", max_pages)
 
     def run(batches):
         for batch in batches:

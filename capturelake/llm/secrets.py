@@ -17,6 +17,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.llm.common import hash_sample
+
 #: Fixed patterns of the base spans.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -57,7 +59,7 @@ def _bigrams(samples: DataFrame) -> DataFrame:
 
 def labelled_samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """label, sample: random strings (1) and ordinary words (0) of the same bounded set of documents."""
-    some = docs.where("text is not null and text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    some = hash_sample(docs.where("text is not null and text <> ''"), "doc_id", most)
     digest = F.sha2(F.concat_ws(":", F.lit("sample"), F.col("doc_id").cast("string")), 512)
     base64 = F.base64(F.unhex(digest))
     random = some.select(F.explode(F.array(F.substring(digest, 1, 40), F.substring(base64, 1, 40), F.substring(base64, 41, 44), F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 1, 24)))).alias("sample"), F.lit(1).alias("label"))
