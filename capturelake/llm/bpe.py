@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from capturelake.llm.common import base_columns
 
 #: Matches kept with their ids in one Python worker; the table starts anew beyond that, results don't change.
-PIECES_KEPT = 250_000
+PIECES_KEPT = 150_000
 
 
 def byte_characters() -> dict[int, str]:

@@ -31,7 +31,7 @@ MAX_UNITS = 60_000
 BEGINNINGS = (4, 5, 6)
 STRENGTH = 4.0
 DRIFT = 1.2
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
 _WORD = re.compile(r"\w+")
 
 
