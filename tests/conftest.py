@@ -1,3 +1,4 @@
+import os
 import tempfile
 
 import pytest
@@ -21,7 +22,7 @@ def spark():
     session.stop()
 
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
