@@ -40,8 +40,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch that Spark hands to Python; a longer row is a batch of its own. Results don't depend on it.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as by rows, so that a worker's memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def base_columns(df: DataFrame, required: dict[str, str]) -> DataFrame:
     """Only the required columns, cast to the types the operator works with; extra columns cannot clash."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in required.items()])
 
 
