@@ -79,3 +79,12 @@ def depths(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
         level = new
     return level
+
+
+def find_literal(rows: DataFrame, text: str, query: str) -> DataFrame:
+    """One row per occurrence of a literal, whatever its case, with its offset from 0; occurrences do not overlap."""
+    wanted = query.lower()
+    quoted = "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in wanted)
+    gaps = F.transform(F.split(F.lower(text), quoted, -1), lambda x: F.length(x))
+    ends = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, b: a + b) + (i - 1) * len(wanted))
+    return rows.where(F.contains(F.lower(text), F.lit(wanted))).withColumn("offset", F.explode(ends))

@@ -127,3 +127,71 @@ def runs(rows: DataFrame, key: str, index: str) -> DataFrame:
 def stack_groups(threads_: DataFrame) -> DataFrame:
     """Threads of equal state and normalized frames."""
     return threads_.groupBy("capture_id", "java_state", F.array_join(normalize_frames("frames"), " < ").alias("stack")).agg(F.count("*").alias("threads"))
+
+
+def lock_roles(locks: DataFrame) -> DataFrame:
+    """Per thread: whether it waits for or holds a monitor or a synchronizer."""
+    is_ = lambda *kinds: F.bool_or(F.col("kind").isin(*kinds))
+    return locks.groupBy("capture_id", "snapshot_index", "start_line").agg(
+        is_("monitor-enter").alias("monitor_waiter"), is_("monitor").alias("monitor_holder"), is_("synchronizer-park").alias("synchronizer_waiter"), is_("ownable-synchronizer").alias("synchronizer_holder")
+    )
+
+
+def lock_index(locks: DataFrame) -> DataFrame:
+    """Per lock: occurrences, distinct owners, contended and notification waiters, no owner although waited for, category."""
+    kind, who = F.col("kind"), F.col("start_line")
+    per = locks.groupBy("capture_id", "snapshot_index", "lock_id").agg(
+        F.count("*").alias("occurrences"), F.count_distinct(F.when(kind.isin(*HOLDS), who)).alias("owners"), F.count_distinct(F.when(kind.isin(*CONTENDED), who)).alias("contended"),
+        F.count_distinct(F.when(kind == "monitor-wait", who)).alias("notified"), F.bool_or(kind.startswith("monitor")).alias("m"), F.bool_or(~kind.startswith("monitor")).alias("s"),
+    )
+    category = F.when(F.col("m") & F.col("s"), "mixed").when(F.col("m"), "monitor").otherwise("synchronizer")
+    return per.withColumn("unresolved", (F.col("contended") > 0) & (F.col("owners") == 0)).withColumn("category", category).drop("m", "s")
+
+
+def evidence_counts(threads_: DataFrame, locks: DataFrame) -> DataFrame:
+    """Per snapshot: blocked, waiting and timed threads, contended waiters, owners, threads that do both, waits without an owner."""
+    keys = ["capture_id", "snapshot_index"]
+    roles = lock_roles(locks).select(*keys, "start_line", (F.col("monitor_waiter") | F.col("synchronizer_waiter")).alias("waits"), (F.col("monitor_holder") | F.col("synchronizer_holder")).alias("holds"))
+    lost = relations(locks).where("resolution = 'owner-not-observed'").select(*keys, F.col("waiter").alias("start_line"), F.lit(True).alias("lost")).distinct()
+    all_ = threads_.select(*keys, "start_line", "java_state").join(roles, [*keys, "start_line"], "left").join(lost, [*keys, "start_line"], "left")
+    state = lambda s: F.count_if(F.col("java_state") == s)
+    return all_.groupBy(*keys).agg(
+        state("BLOCKED").alias("blocked"), state("WAITING").alias("waiting"), state("TIMED_WAITING").alias("timed"), F.count_if("waits").alias("contended"), F.count_if("holds").alias("owners"),
+        F.count_if(F.col("waits") & F.col("holds")).alias("holding_and_waiting"), F.count_if("lost").alias("unresolved"),
+    )
+
+
+def degrees(threads_: DataFrame, locks: DataFrame) -> DataFrame:
+    """Per thread: how many threads it waits for and how many wait for it (single observed owners), and its role."""
+    keys = ["capture_id", "snapshot_index", "start_line"]
+    edges = relations(locks).where("owner IS NOT NULL").select("capture_id", "snapshot_index", "waiter", "owner").distinct()
+    of = lambda end, name: edges.groupBy("capture_id", "snapshot_index", F.col(end).alias("start_line")).agg(F.count("*").alias(name))
+    roles = lock_roles(locks).select(*keys, (F.col("monitor_waiter") | F.col("synchronizer_waiter")).alias("waits"), (F.col("monitor_holder") | F.col("synchronizer_holder")).alias("holds"))
+    all_ = threads_.select(*keys, "thread_name").join(of("waiter", "depends"), keys, "left").join(of("owner", "blocks"), keys, "left").join(roles, keys, "left")
+    waits, holds = F.coalesce("waits", F.lit(False)) | (F.col("depends") > 0), F.coalesce("holds", F.lit(False)) | (F.col("blocks") > 0)
+    role = F.when(waits & holds, "waiter-owner").when(waits, "waiter").when(holds, "owner").otherwise("isolated")
+    return all_.select(*keys, "thread_name", F.coalesce("depends", F.lit(0)).alias("depends"), F.coalesce("blocks", F.lit(0)).alias("blocks"), role.alias("role"))
+
+
+def top_locks(locks: DataFrame, n_locks: int = 5, n_waiters: int = 6) -> DataFrame:
+    """The most waited locks of each snapshot, and how many of their waiters are beyond those shown."""
+    per = relations(locks).groupBy("capture_id", "snapshot_index", "lock_id").agg(F.count_distinct("waiter").alias("waiters"))
+    order = Window.partitionBy("capture_id", "snapshot_index").orderBy(F.desc("waiters"), "lock_id")
+    shown = per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_locks)
+    return shown.withColumn("hidden", F.greatest(F.lit(0), F.col("waiters") - n_waiters))
+
+
+def line_kind(text) -> F.Column:
+    """What a line of a dump is: header, state, frame, lock, section, detail or empty."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    lock = t.startswith("- locked") | t.startswith("- waiting") | t.startswith("- parking")
+    section = t.startswith("Locked ownable synchronizers:") | t.rlike(r"^--- .+ ---$")
+    return F.when(t == "", "empty").when(t.startswith('"'), "header").when(t.startswith("java.lang.Thread.State:"), "state").when(t.startswith("at "), "frame").when(lock, "lock").when(section, "section").otherwise("detail")
+
+
+def highlights(frames) -> tuple[F.Column, F.Column]:
+    """The first three frames outside the JDK's packages, else the first three; and which of the two they are."""
+    jdk = r"^at (\S*/)?(java|javax|jdk|sun|com\.sun)\."
+    outside = F.filter(frames, lambda f: ~f.rlike(jdk) & ~F.contains(f, F.lit("$$Lambda")))
+    found = F.size(outside) > 0
+    return F.slice(F.when(found, outside).otherwise(frames), 1, 3), F.when(found, "outside-jdk-packages").otherwise("first-recorded-frames")

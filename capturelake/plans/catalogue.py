@@ -10,7 +10,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from capturelake.operators import gc, generic, threads, tls
+from capturelake.operators import gc, generic, series, threads, tls
 from capturelake.sources import captures
 
 QUERIES: dict = {}
@@ -285,6 +285,168 @@ def g3_cycles(spark, sf_dir):
     return generic.in_cycles(o.select((F.col("o_custkey") % 97).alias("source"), ((F.col("o_custkey") * 7 + 1) % 61).alias("target")))
 
 
+# --- dumps of a month as one session -------------------------------------------
+
+_DAY_MS = 86_400_000
+_SES = _DAY + ", d AS (SELECT left(capture_id, 7) AS session, capture_id, CAST(dense_rank() OVER (PARTITION BY left(capture_id, 7) ORDER BY capture_id) AS INTEGER) AS snapshot, user_id, CAST(m AS BIGINT) AS m, CAST(cpu AS BIGINT) AS cpu, kind, java_state FROM t2), k AS (SELECT b.*, a.m AS m0, a.cpu AS cpu0, a.kind AS kind0, a.java_state AS state0, (epoch_ms(CAST(b.capture_id AS TIMESTAMP)) - epoch_ms(CAST(a.capture_id AS TIMESTAMP))) AS gap FROM d b JOIN d a ON a.session = b.session AND a.user_id = b.user_id AND a.snapshot = b.snapshot - 1), l AS (SELECT * FROM k WHERE m >= m0), r AS (SELECT *, 'user-' || user_id AS thread_name, cpu - cpu0 AS delta, round((cpu - cpu0) * 100.0::DOUBLE / gap, 6) AS percent FROM l WHERE cpu >= cpu0), c AS (SELECT d.*, max(CASE WHEN l.user_id IS NULL THEN d.snapshot END) OVER (PARTITION BY d.session, d.user_id ORDER BY d.snapshot) AS first_snapshot FROM d LEFT JOIN l USING (session, snapshot, user_id))"
+
+
+def _session(spark, sf_dir):
+    """(threads of all days in sessions of a month, candidate pairs, links)."""
+    rows = series.in_sessions(series.source_keys(threads.threads(_dump(spark, sf_dir))), F.substring("capture_id", 1, 7))
+    rows = rows.withColumn("epoch_ms", F.unix_millis(F.to_timestamp("capture_id")))
+    pairs = series.candidates(rows)
+    return rows, pairs, series.links(pairs)
+
+
+@query("t11_source_keys", _DAY + " SELECT capture_id, 'user-' || user_id AS thread_name, '0x' || lower(printf('%x', user_id + 4096)) AS source_key FROM t")
+def t11_source_keys(spark, sf_dir):
+    return series.source_keys(threads.threads(_dump(spark, sf_dir))).select("capture_id", "thread_name", "source_key")
+
+
+@query("t13_session_snapshots", _SES + " SELECT session, capture_id, snapshot, count(*) AS threads FROM d GROUP BY ALL")
+def t13_session_snapshots(spark, sf_dir):
+    return _session(spark, sf_dir)[0].groupBy("session", "capture_id", "snapshot").agg(F.count("*").alias("threads"))
+
+
+@query("j7_identity_links", _SES + " SELECT session, snapshot, 'user-' || user_id AS thread_name FROM l")
+def j7_identity_links(spark, sf_dir):
+    rows, _, links = _session(spark, sf_dir)
+    return rows.join(links, ["session", "snapshot", "source_key"]).select("session", "snapshot", "thread_name")
+
+
+def _series(spark, sf_dir):
+    _checkpoints(spark)
+    rows, _, links = _session(spark, sf_dir)
+    return series.series(rows, links), links
+
+
+@query("j8_series", _SES + " SELECT session, snapshot, 'user-' || user_id AS thread_name, first_snapshot FROM c")
+def j8_series(spark, sf_dir):
+    return _series(spark, sf_dir)[0].select("session", "snapshot", "thread_name", "first_snapshot")
+
+
+@query(
+    "j10_change_counts",
+    _SES + ", n AS (SELECT d.session, d.snapshot, count(*) FILTER (WHERE d.snapshot = 1) AS baseline, count(*) FILTER (WHERE k.m >= k.m0) AS continued, count(*) FILTER (WHERE k.m < k.m0) AS unresolved, count(*) FILTER (WHERE d.snapshot > 1 AND k.user_id IS NULL) AS new FROM d LEFT JOIN k USING (session, snapshot, user_id) GROUP BY ALL), g AS (SELECT d.session, d.snapshot + 1 AS snapshot, count(*) FILTER (WHERE l.user_id IS NULL) AS gone FROM d LEFT JOIN l ON l.session = d.session AND l.user_id = d.user_id AND l.snapshot = d.snapshot + 1 GROUP BY ALL) SELECT n.*, CASE WHEN snapshot > 1 AND unresolved = 0 THEN coalesce(gone, 0) END AS ended FROM n LEFT JOIN g USING (session, snapshot)",
+)
+def j10_change_counts(spark, sf_dir):
+    return series.change_counts(*_session(spark, sf_dir))
+
+
+@query(
+    "j11_material_changes",
+    _SES + ", f AS (SELECT session, snapshot, unnest([CASE WHEN java_state <> state0 THEN 'state' END, CASE WHEN m % 7 <> m0 % 7 THEN 'top-frame' END, CASE WHEN (kind = 'error') <> (kind0 = 'error') THEN 'waiting-locks' END, CASE WHEN user_id = 0 AND (kind = 'error') <> (kind0 = 'error') THEN 'held-locks' END, CASE WHEN cpu - cpu0 >= 20000 THEN 'cpu-activity' END]) AS change FROM l) SELECT session, snapshot, change, count(*) AS n FROM f WHERE change IS NOT NULL GROUP BY ALL",
+)
+def j11_material_changes(spark, sf_dir):
+    rows, _, links = _session(spark, sf_dir)
+    keys = ["capture_id", "snapshot_index", "start_line"]
+    ids = lambda kinds: F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("lock_id"))))
+    locks = threads.lock_observations(_dump(spark, sf_dir)).groupBy(*keys).agg(ids(threads.CONTENDED).alias("waiting_locks"), ids(threads.HOLDS).alias("held_locks"))
+    full = rows.join(locks, keys, "left").withColumn("top_method", F.try_element_at(threads.normalize_frames("frames"), F.lit(1)))
+    return series.material_changes(full, links, 20_000).groupBy("session", "snapshot", "change").agg(F.count("*").alias("n"))
+
+
+def _rates(spark, sf_dir):
+    rows, _, links = _session(spark, sf_dir)
+    return series.cpu_rates(rows, links)
+
+
+@query("w4_series_totals", _SES + " SELECT session, thread_name, CAST(sum(delta) AS BIGINT) AS delta_ms, CAST(sum(gap) AS BIGINT) AS interval_ms, count(*) AS samples, round(sum(delta) * 100.0::DOUBLE / sum(gap), 6) AS percent FROM r GROUP BY ALL")
+def w4_series_totals(spark, sf_dir):
+    return series.series_totals(_rates(spark, sf_dir), "session", "thread_name").withColumn("delta_ms", F.col("delta_ms").cast("long"))
+
+
+@query("w5_busiest_threads", _SES + ", b AS (SELECT session, thread_name, max(percent) AS highest, avg(percent) AS mean FROM r GROUP BY ALL) SELECT session, thread_name, CAST(row_number() OVER (PARTITION BY session ORDER BY highest DESC, mean DESC, thread_name) AS INTEGER) AS rank, highest FROM b QUALIFY rank <= 10")
+def w5_busiest_threads(spark, sf_dir):
+    return series.busiest(_rates(spark, sf_dir), "thread_name", 10).select("session", "thread_name", "rank", "highest")
+
+
+@query("a29_interval_summary", _SES + ", x AS (SELECT session, snapshot, max(delta) AS peak_ms, count(*) FILTER (WHERE delta >= 20000) AS hot FROM r GROUP BY ALL) SELECT x.session, x.snapshot, CAST(peak_ms AS BIGINT) AS peak_ms, hot, min(thread_name) AS peak FROM x JOIN r ON r.session = x.session AND r.snapshot = x.snapshot AND r.delta = x.peak_ms GROUP BY ALL")
+def a29_interval_summary(spark, sf_dir):
+    return series.interval_summary(_rates(spark, sf_dir), "thread_name", 20_000).withColumn("peak_ms", F.col("peak_ms").cast("long"))
+
+
+@query("a26_cpu_coverage", _SES + " SELECT session, snapshot, count(*) AS threads, count(r.user_id) AS covered, round(count(r.user_id) * 1.0::DOUBLE / count(*), 6) AS coverage FROM d LEFT JOIN (SELECT session, snapshot, user_id FROM r) r USING (session, snapshot, user_id) GROUP BY ALL")
+def a26_cpu_coverage(spark, sf_dir):
+    rows, _, links = _session(spark, sf_dir)
+    known = series.cpu_rates(rows, links).select("session", "snapshot", "source_key", F.lit(1).alias("known"))
+    per = rows.join(known, ["session", "snapshot", "source_key"], "left").groupBy("session", "snapshot").agg(F.count("*").alias("threads"), F.count("known").alias("covered"))
+    return per.withColumn("coverage", F.round(F.col("covered") / F.col("threads"), 6))
+
+
+_RUNS = ", p AS (SELECT session, user_id, first_snapshot, snapshot, CAST(kind = 'error' AS INTEGER) AS on_, coalesce(CAST(kind = 'error' AS INTEGER) <> lag(CAST(kind = 'error' AS INTEGER)) OVER w, FALSE) AS ch FROM c WINDOW w AS (PARTITION BY session, user_id, first_snapshot ORDER BY snapshot)), q AS (SELECT *, sum(CAST(ch AS INTEGER)) OVER (PARTITION BY session, user_id, first_snapshot ORDER BY snapshot) AS run FROM p), z AS (SELECT session, user_id, first_snapshot, run, count(*) AS n, max(on_) AS on_ FROM q GROUP BY ALL)"
+
+
+@query("w6_blocked_trend", _SES + _RUNS + " SELECT session, '0x' || lower(printf('%x', user_id + 4096)) AS first_key, first_snapshot, CAST(sum(n) AS BIGINT) AS snapshots, CAST(sum(n * on_) AS BIGINT) AS present, CAST(max(run) AS BIGINT) AS transitions, max(n * on_) AS longest, arg_max(n * on_, run) AS current FROM z GROUP BY ALL")
+def w6_blocked_trend(spark, sf_dir):
+    return series.presence_trend(_series(spark, sf_dir)[0], F.col("java_state") == "BLOCKED", "session", "first_snapshot", "first_key")
+
+
+@query("a13_snapshot_deltas", _SES + ", n AS (SELECT session, snapshot, count(*) AS threads, count(*) FILTER (WHERE java_state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE java_state = 'RUNNABLE') AS runnable, count(*) FILTER (WHERE java_state LIKE '%WAITING') AS waiting FROM d GROUP BY ALL) SELECT *, threads - lag(threads) OVER w AS threads_delta, blocked - lag(blocked) OVER w AS blocked_delta, runnable - lag(runnable) OVER w AS runnable_delta, waiting - lag(waiting) OVER w AS waiting_delta FROM n WINDOW w AS (PARTITION BY session ORDER BY snapshot)")
+def a13_snapshot_deltas(spark, sf_dir):
+    return series.snapshot_deltas(_session(spark, sf_dir)[0])
+
+
+@query("w13_spaced_snapshots", _SES + ", n AS (SELECT session, max(snapshot) AS size FROM d GROUP BY 1) SELECT DISTINCT session, CAST(CASE WHEN size <= 7 THEN i ELSE round(i * (size - 1) / 6.0::DOUBLE) END AS INTEGER) AS snapshot FROM n, range(7) g(i) WHERE i < size")
+def w13_spaced_snapshots(spark, sf_dir):
+    places = _session(spark, sf_dir)[0].select("session", (F.col("snapshot") - 1).alias("snapshot"))
+    return series.evenly_spaced(places, "session", "snapshot", 7)
+
+
+# --- lines, stacks and locks of one dump ---------------------------------------
+
+
+@query("p7_line_kinds", _DAY + ", x AS (SELECT capture_id, count(*) AS n, count(*) FILTER (WHERE kind = 'error') AS b FROM t GROUP BY 1) SELECT capture_id, unnest(['header', 'state', 'frame', 'lock', 'empty', 'detail']) AS kind, unnest([n, n, 2 * n, n + b, n + 1, 2]) AS n FROM x")
+def p7_line_kinds(spark, sf_dir):
+    return _dump(spark, sf_dir).groupBy("capture_id", threads.line_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("p4_source_search", _DAY + " SELECT capture_id, o AS \"offset\", count(*) AS n FROM t, (VALUES (8), (21)) v(o) GROUP BY ALL")
+def p4_source_search(spark, sf_dir):
+    return generic.find_literal(_dump(spark, sf_dir), "text", "hANDLER").groupBy("capture_id", "offset").agg(F.count("*").alias("n"))
+
+
+@query("p10_stack_highlights", _DAY + " SELECT capture_id, 'user-' || user_id AS thread_name, 'at app.Handler' || m % 7 || '.run(Handler.java:' || user_id || ') < at app.Main.loop(Main.java:5)' AS highlights, 'outside-jdk-packages' AS selection FROM t")
+def p10_stack_highlights(spark, sf_dir):
+    shown, selection = threads.highlights(F.col("frames"))
+    return threads.threads(_dump(spark, sf_dir)).select("capture_id", "thread_name", F.array_join(shown, " < ").alias("highlights"), selection.alias("selection"))
+
+
+_LOCKS = ", i AS (SELECT capture_id, lock, waiter, NULL AS owner FROM w UNION ALL SELECT capture_id, user_id, NULL, user_id FROM h), x AS (SELECT capture_id, lock, count(*) AS occurrences, count(DISTINCT owner) AS owners, count(DISTINCT waiter) AS contended FROM i GROUP BY ALL)"
+
+
+@query("a4_lock_index", _DAY + _LOCKS + " SELECT capture_id, '0x' || lower(printf('%x', lock)) AS lock_id, occurrences, owners, contended, CAST(0 AS BIGINT) AS notified, contended > 0 AND owners = 0 AS unresolved, 'monitor' AS category FROM x")
+def a4_lock_index(spark, sf_dir):
+    return threads.lock_index(threads.lock_observations(_dump(spark, sf_dir))).drop("snapshot_index")
+
+
+_ROLES = ", o AS (SELECT t.capture_id, t.user_id, t.java_state, w.waiter IS NOT NULL AS waits, h.user_id IS NOT NULL AS holds, w.lock FROM t2 t LEFT JOIN w ON w.capture_id = t.capture_id AND w.waiter = t.user_id LEFT JOIN h ON h.capture_id = t.capture_id AND h.user_id = t.user_id)"
+
+
+@query("g6_lock_roles", _DAY + _ROLES + " SELECT capture_id, count(*) FILTER (WHERE waits) AS monitor_waiters, count(*) FILTER (WHERE holds) AS monitor_holders, count(*) FILTER (WHERE waits AND holds) AS both FROM o GROUP BY 1")
+def g6_lock_roles(spark, sf_dir):
+    roles = threads.lock_roles(threads.lock_observations(_dump(spark, sf_dir)))
+    return roles.groupBy("capture_id").agg(F.count_if("monitor_waiter").alias("monitor_waiters"), F.count_if("monitor_holder").alias("monitor_holders"), F.count_if(F.col("monitor_waiter") & F.col("monitor_holder")).alias("both"))
+
+
+@query("a5_evidence_counts", _DAY + _ROLES + " SELECT o.capture_id, count(*) FILTER (WHERE java_state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE java_state = 'WAITING') AS waiting, count(*) FILTER (WHERE java_state = 'TIMED_WAITING') AS timed, count(*) FILTER (WHERE waits) AS contended, count(*) FILTER (WHERE holds) AS owners, count(*) FILTER (WHERE waits AND holds) AS holding_and_waiting, count(*) FILTER (WHERE waits AND h.user_id IS NULL) AS unresolved FROM o LEFT JOIN h ON h.capture_id = o.capture_id AND h.user_id = o.lock GROUP BY 1")
+def a5_evidence_counts(spark, sf_dir):
+    d = _dump(spark, sf_dir)
+    return threads.evidence_counts(threads.threads(d), threads.lock_observations(d)).drop("snapshot_index")
+
+
+@query("g5_node_roles", _DAY + _ROLES + ", edge AS (SELECT w.capture_id, w.waiter, h.user_id AS owner FROM w JOIN h ON h.capture_id = w.capture_id AND h.user_id = w.lock) SELECT o.capture_id, 'user-' || o.user_id AS thread_name, (SELECT count(*) FROM edge e WHERE e.capture_id = o.capture_id AND e.waiter = o.user_id) AS depends, (SELECT count(*) FROM edge e WHERE e.capture_id = o.capture_id AND e.owner = o.user_id) AS blocks, CASE WHEN waits AND holds THEN 'waiter-owner' WHEN waits THEN 'waiter' ELSE 'owner' END AS role FROM o")
+def g5_node_roles(spark, sf_dir):
+    d = _dump(spark, sf_dir)
+    return threads.degrees(threads.threads(d), threads.lock_observations(d)).drop("snapshot_index", "start_line")
+
+
+@query("k6_top_locks", _DAY + ", x AS (SELECT capture_id, '0x' || lower(printf('%x', lock)) AS lock_id, count(*) AS waiters FROM w GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY waiters DESC, lock_id) AS INTEGER) AS rank, greatest(0, waiters - 1) AS hidden FROM x QUALIFY rank <= 5")
+def k6_top_locks(spark, sf_dir):
+    return threads.top_locks(threads.lock_observations(_dump(spark, sf_dir)), 5, 1).drop("snapshot_index")
+
+
 # --- handshake logs ----------------------------------------------------------
 
 
