@@ -195,3 +195,64 @@ def highlights(frames) -> tuple[F.Column, F.Column]:
     outside = F.filter(frames, lambda f: ~f.rlike(jdk) & ~F.contains(f, F.lit("$$Lambda")))
     found = F.size(outside) > 0
     return F.slice(F.when(found, outside).otherwise(frames), 1, 3), F.when(found, "outside-jdk-packages").otherwise("first-recorded-frames")
+
+
+def runtime_info(marked: DataFrame) -> DataFrame:
+    """Per snapshot: VM name, version and info of its boundary line; null where the line has no version in brackets."""
+    head = marked.where(F.col("text").rlike(_BOUNDARY)).groupBy("capture_id", "snapshot_index").agg(F.min_by("text", "line_no").alias("t"))
+    part = lambda n: F.nullif(F.regexp_extract("t", r"^Full thread dump (.*) \(([^\s()]+)\s*([^()]*)\):?\s*$", n), F.lit(""))
+    whole = F.regexp_replace(F.regexp_replace("t", _BOUNDARY, ""), r":?\s*$", "")
+    return head.select("capture_id", "snapshot_index", F.coalesce(part(1), whole).alias("vm_name"), part(2).alias("vm_version"), part(3).alias("vm_info"))
+
+
+def deadlock_entries(marked: DataFrame) -> DataFrame:
+    """Entries of the JVM's deadlock sections in order; cycle_id counts the sections that have an entry with a holder."""
+    keys = ["capture_id", "snapshot_index"]
+    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    found, end = F.col("text").rlike(r"^Found (one|a|\d+) Java-level deadlocks?:"), F.col("text").rlike(r"^Java stack information for the threads listed above:")
+    section = F.last(F.when(found, F.col("line_no")).when(end, F.lit(-1)), ignorenulls=True).over(upto)
+    inside = marked.withColumn("section", section).where("section > 0")
+    name = F.nullif(F.regexp_extract("text", r'^"(.*)":\s*$', 1), F.lit(""))
+    within = Window.partitionBy(*keys, "section").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    entry = inside.withColumn("entry_line", F.last(F.when(name.isNotNull(), F.col("line_no")), ignorenulls=True).over(within)).where("entry_line IS NOT NULL")
+    last = lambda pattern, n=1: F.max_by(F.regexp_extract("text", pattern, n), F.when(F.col("text").rlike(pattern), F.col("line_no")))
+    lock = r"^\s*waiting (?:to lock monitor|for ownable synchronizer) (0x[0-9a-fA-F]+)(?: \(object (0x[0-9a-fA-F]+))?,? ?\(?,?\s*an? ([^),]+)\)?"
+    per = entry.groupBy(*keys, "section", "entry_line").agg(F.min_by(name, "line_no").alias("thread_name"), last(lock, 1).alias("monitor"), last(lock, 2).alias("object"), last(lock, 3).alias("waiting_lock_type"), last(r'^\s*(?:which|in JNI, which) is held by "(.*)"').alias("held_by"))
+    kept = per.where("held_by IS NOT NULL")
+    order = Window.partitionBy(*keys).orderBy("section")
+    return kept.select(
+        *keys, F.dense_rank().over(order).alias("cycle_id"), F.row_number().over(Window.partitionBy(*keys, "section").orderBy("entry_line")).alias("entry_no"), "thread_name",
+        F.coalesce(F.nullif("object", F.lit("")), "monitor").alias("waiting_lock_id"), "waiting_lock_type", "held_by",
+    )
+
+
+def deadlock_summary(entries: DataFrame, threads_: DataFrame) -> DataFrame:
+    """Per snapshot with a deadlock: cycles, reported entries, and threads whose name only they have and an entry names."""
+    keys = ["capture_id", "snapshot_index"]
+    single = threads_.groupBy(*keys, "thread_name").agg(F.count("*").alias("times")).where("times = 1").drop("times")
+    matched = single.join(entries, [*keys, "thread_name"], "left_semi").groupBy(*keys).agg(F.count("*").alias("matched_threads"))
+    counts = entries.groupBy(*keys).agg(F.max("cycle_id").alias("cycles"), F.count("*").alias("entries"))
+    return counts.join(matched, keys, "left").withColumn("matched_threads", F.coalesce("matched_threads", F.lit(0)))
+
+
+def class_initialization(marked: DataFrame) -> DataFrame:
+    """Per thread and class: class-initialization-wait (each line) or class-initializer (its first <clinit> frame)."""
+    wait = F.nullif(F.regexp_extract("text", r"^\s*- waiting on the Class initialization monitor for (\S+)", 1), F.lit(""))
+    init = F.nullif(F.regexp_extract("text", r"^\s*at (?:\S*/)?(\S+)\.<clinit>\(", 1), F.lit(""))
+    keys = ["capture_id", "snapshot_index", "start_line"]
+    seen = _blocks(marked).select(*keys, "line_no", F.explode(F.array_compact(F.array(F.when(wait.isNotNull(), F.struct(wait.alias("class_name"), F.lit("class-initialization-wait").alias("kind"))), F.when(init.isNotNull(), F.struct(init.alias("class_name"), F.lit("class-initializer").alias("kind")))))).alias("o"))
+    return seen.groupBy(*keys, "o.class_name", "o.kind").agg(F.min("line_no").alias("line_no"))
+
+
+def class_chains(observed: DataFrame, threads_: DataFrame) -> DataFrame:
+    """Per waited class: waiters, initializers and status; a lone initializer that waits itself is a stall candidate."""
+    keys = ["capture_id", "snapshot_index"]
+    states = threads_.select(*keys, "start_line", F.col("java_state").isin("BLOCKED", "WAITING", "TIMED_WAITING").alias("idle"))
+    waits = observed.groupBy(*keys, "start_line").agg(F.bool_or(F.col("kind") == "class-initialization-wait").alias("waits"))
+    both = observed.join(states, [*keys, "start_line"], "left").join(waits, [*keys, "start_line"]).withColumn("stuck", F.coalesce("idle", F.lit(False)) | F.col("waits"))
+    per = both.groupBy(*keys, "class_name").agg(
+        F.count_distinct(F.when(F.col("kind") == "class-initialization-wait", F.col("start_line"))).alias("waiters"), F.count_distinct(F.when(F.col("kind") == "class-initializer", F.col("start_line"))).alias("initializers"),
+        F.bool_or((F.col("kind") == "class-initializer") & F.col("stuck")).alias("stuck"),
+    )
+    status = F.when(F.col("initializers") == 0, "initializer-not-observed").when(F.col("initializers") > 1, "ambiguous-initializer").when(F.col("stuck"), "stall-candidate").otherwise("initializing")
+    return per.where("waiters > 0").select(*keys, "class_name", "waiters", "initializers", status.alias("status"))
