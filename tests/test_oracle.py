@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from capturelake.plans import catalogue
+from capturelake.plans import catalogue, findings  # noqa: F401
 
 
 @pytest.fixture(scope="session")
