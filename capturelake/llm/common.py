@@ -76,7 +76,7 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, most: int = 1_000_000):
+def row_blocks(offsets: np.ndarray, most: int = 250_000):
     """Consecutive row ranges of about `most` bytes each; a longer row is a range of its own."""
     n, start = len(offsets) - 1, 0
     while start < n:

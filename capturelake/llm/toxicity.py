@@ -19,7 +19,6 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ MAX_UNITS = 60_000
 BEGINNINGS = (4, 5, 6)
 STRENGTH = 4.0
 DRIFT = 1.2
-WORDS_KEPT = 120_000
+WORDS_KEPT = 40_000
 _WORD = re.compile(r"\w+")
 
 
@@ -146,18 +145,20 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     model = Model({r.unit: (r.t, r.c) for r in kept}, sums.t / (sums.t + sums.c), min(rest, 0.0))
     shared = model
 
-    def scan(frames):
-        for f in frames:
+    def scan(batches):
+        for batch in batches:
             out = []
-            for text, toxic in zip(f.text, f.toxic, strict=True):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = tokens(text or "")
                 s = shared.scores(words)
                 segments = maximal_segments(s) if s and max(s) > 0 else []
                 cells = collections.Counter(np.round(np.array(s) * 4).astype(int).tolist()) if not toxic else {}
                 out.append((int(toxic), len(words), [x for _, _, x in segments], list(cells), list(cells.values())))
-            yield pd.DataFrame(out, columns=["toxic", "n", "found", "cell", "times"])
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "n", "found", "cell", "times"])
 
-    seen = rows.select("text", "toxic").mapInPandas(scan, "toxic int, n long, found array<double>, cell array<int>, times array<long>")
+    seen = rows.select("text", "toxic").mapInArrow(scan, "toxic int, n long, found array<double>, cell array<int>, times array<long>")
     seen = seen.collect()  # at most 2 * max_per_class rows
     cells: collections.Counter = collections.Counter()
     for r in seen:
