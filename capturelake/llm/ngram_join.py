@@ -284,7 +284,7 @@ def ngram_components(df: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     return rows.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, columns unchanged, without those that a smaller doc_id reaches by links; of repeated rows one stays."""
     found = cut_lineage(ngram_components(documents, width, percent))
     kept = documents.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
