@@ -8,7 +8,7 @@ and of the sum over its significant segments.
 
 Counts and calibration use at most `max_per_class` labelled documents of each label, taken in hash order, never the
 held-out fold crc32(doc_id) mod 5 = 0. A doc_id labelled more than once is toxic if any label says so; null labels are
-left out. Null and empty texts have no segments and get the score of a text without toxic tokens.
+left out. Every unit of two or more of these toxic documents is kept, whatever their number. Null and empty texts have no segments and get the score of a text without toxic tokens.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from capturelake.llm.common import base_columns
 
 MAX_PER_CLASS = 5_000
-MAX_UNITS = 60_000
 BEGINNINGS = (4, 5, 6)
 STRENGTH = 4.0
 DRIFT = 1.2
@@ -140,9 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     sums = whole.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.expr("if(t < 2, t, 0)")).alias("rt"), F.sum(F.expr("if(t < 2, c, 0)")).alias("rc")).first()
     if not sums.t or not sums.c:
         return Model({}, 0.5, -DRIFT)
-    kept = counted.where("t >= 2").orderBy(F.desc(F.expr("t / (t + c)")), F.desc("t"), "unit").limit(MAX_UNITS).collect()
+    kept = counted.where("t >= 2").collect()  # units of at most max_per_class toxic texts
+    pairs: dict[tuple[int, int], tuple[int, int]] = {}  # equal counts are one object, here and in the tasks
     rest = math.log(((sums.rt or 0) + 1) / (sums.t + 1)) - math.log(((sums.rc or 0) + 1) / (sums.c + 1))
-    model = Model({r.unit: (r.t, r.c) for r in kept}, sums.t / (sums.t + sums.c), min(rest, 0.0))
+    model = Model({r.unit: pairs.setdefault((r.t, r.c), (r.t, r.c)) for r in kept}, sums.t / (sums.t + sums.c), min(rest, 0.0))
     shared = model
 
     def scan(batches):
