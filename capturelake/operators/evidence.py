@@ -255,6 +255,14 @@ def interval_matrix(rates: DataFrame, group: str, series: str, interval: str, va
     return top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def interval_rows(rates: DataFrame, group: str, series: str, interval: str, value: str, n: int) -> DataFrame:
+    """One row per series and interval of its group, whatever their number (null where it has no value), of the n series of each group with the highest value."""
+    cells = rates.groupBy(group, series, interval).agg(F.max(value).alias(value))
+    best = cells.groupBy(group, series).agg(F.max(value).alias("highest")).where("highest IS NOT NULL")
+    top = best.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("highest"), series))).where(F.col("rank") <= n)
+    return top.join(cells.select(group, interval).distinct(), group).join(cells, [group, series, interval], "left").select(group, series, interval, value, "highest", "rank")
+
+
 def graph_metrics(threads_: DataFrame, locks: DataFrame) -> DataFrame:
     """Per snapshot: threads, locks by kind, hold and wait relations, unresolved and ambiguous waits, fan-in, isolated threads."""
     from capturelake.operators import threads as T

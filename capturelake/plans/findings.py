@@ -140,6 +140,14 @@ def w15_interval_matrix(spark, sf_dir):
     return wide.withColumnsRenamed({str(i): f"i{i}" for i in (2, 3, 4, 5)})
 
 
+@query(
+    "w15_interval_rows",
+    _SES + _MINUTES + ", cl AS (SELECT session, 'user-' || user_id AS thread_name, snapshot, max(pct) AS percent FROM mi GROUP BY ALL), bs AS (SELECT session, thread_name, max(percent) AS highest FROM cl GROUP BY ALL HAVING highest IS NOT NULL), tp AS (SELECT *, CAST(row_number() OVER (PARTITION BY session ORDER BY highest DESC, thread_name) AS INTEGER) AS rank FROM bs QUALIFY rank <= 20) SELECT session, thread_name, snapshot, percent, highest, rank FROM tp JOIN (SELECT DISTINCT session, snapshot FROM cl) USING (session) LEFT JOIN cl USING (session, thread_name, snapshot)",
+)
+def w15_interval_rows(spark, sf_dir):
+    return evidence.interval_rows(_minute_rates(spark, sf_dir), "session", "thread_name", "snapshot", "percent", 20)
+
+
 @query(
     "a27_graph_metrics",
     _DAY + ", k AS (SELECT capture_id, lock FROM w UNION SELECT capture_id, user_id FROM h), f AS (SELECT w.capture_id, w.lock, count(*) AS n, count(h.user_id) AS owned FROM w LEFT JOIN h ON h.capture_id = w.capture_id AND h.user_id = w.lock GROUP BY ALL), fs AS (SELECT capture_id, count(*) AS contended_locks, max(n) AS largest_fan_in, sum(n) AS wait_relations, sum(n - owned) AS unresolved_waits FROM f GROUP BY 1) SELECT t.capture_id, count(*) AS threads, CAST(0 AS BIGINT) AS isolated_threads, any_value(kk.n) AS locks, any_value(kk.n) AS monitors, CAST(0 AS BIGINT) AS synchronizers, coalesce(any_value(contended_locks), 0) AS contended_locks, coalesce(any_value(largest_fan_in), 0) AS largest_fan_in, any_value(hh.n) AS hold_relations, CAST(coalesce(any_value(wait_relations), 0) AS BIGINT) AS wait_relations, CAST(coalesce(any_value(unresolved_waits), 0) AS BIGINT) AS unresolved_waits, CAST(0 AS BIGINT) AS ambiguous_waits FROM t JOIN (SELECT capture_id, count(*) AS n FROM k GROUP BY 1) kk USING (capture_id) JOIN (SELECT capture_id, count(*) AS n FROM h GROUP BY 1) hh USING (capture_id) LEFT JOIN fs USING (capture_id) GROUP BY 1",

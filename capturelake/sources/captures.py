@@ -39,6 +39,18 @@ def ranges(all_lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return all_lines.join(wanted, "capture_id").where("line_no BETWEEN first_line AND last_line").select("capture_id", "first_line", "last_line", "line_no", "text")
 
 
+def checked_ranges(captures: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines of any number of wanted ranges (capture_id, sha256, first_line, last_line); fails where a capture is gone or its text has another hash."""
+    now = captures.where("text IS NOT NULL").select("capture_id", "text", F.sha2("text", 256).alias("_now"))
+    asked = wanted.select("capture_id", "sha256").distinct().join(now, "capture_id", "left")
+    changed = F.raise_error(F.concat(F.lit("capture changed: "), F.col("capture_id"))).cast("string")
+    all_lines = lines(asked.withColumn("text", F.when(F.col("_now").eqNullSafe(F.col("sha256")), F.col("text")).otherwise(changed)))
+    asked = wanted.select("capture_id", "first_line", "last_line").distinct().join(all_lines.groupBy("capture_id").agg(F.max("line_no").alias("_n")), "capture_id")
+    asked = asked.withColumn("first_line_", F.greatest("first_line", F.lit(1))).withColumn("last_line_", F.least("last_line", "_n")).where("first_line_ <= last_line_")
+    numbers = asked.select("capture_id", "first_line", "last_line", F.explode(F.sequence("first_line_", "last_line_")).alias("line_no"))
+    return numbers.join(all_lines, ["capture_id", "line_no"]).select("capture_id", "first_line", "last_line", "line_no", "text")
+
+
 def _events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US).alias("us"), F.round(F.col("value") * 100).cast("long").alias("n"))
 
