@@ -49,36 +49,96 @@ def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def reach(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All (source, target) pairs joined by a path of (source, target) edges; each round extends only the pairs it has just found."""
+def reach(edges: DataFrame) -> DataFrame:
+    """All (source, target) pairs joined by a path of (source, target) edges; each round extends only the pairs it has just found.
+
+    Rounds go on until a round finds no pair, so any length of path is followed. The result itself may hold a pair for
+    every two nodes of a component: use `in_cycles` or `depths` where pairs are not wanted.
+    """
     edges = edges.select("source", "target").distinct()
     known = fresh = edges.checkpoint()
-    for _ in range(rounds):
+    while True:
         step = fresh.alias("f").join(edges.alias("e"), F.col("f.target") == F.col("e.source")).select("f.source", "e.target").distinct()
         fresh = step.join(known, ["source", "target"], "left_anti").checkpoint()
         if not fresh.take(1):
-            break
+            return known
         known = known.unionByName(fresh).checkpoint()
-    return known
 
 
-def in_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle, self loops included."""
-    pairs = reach(edges)
-    return pairs.where("source = target").select(F.col("source").alias("node"))
-
-
-def depths(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Longest path length from each node of an acyclic edge table (self loops are left out)."""
-    edges = edges.where("source <> target").select("source", "target").distinct().checkpoint()
-    level = edges.select(F.col("target").alias("node")).union(edges.select("source")).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    for _ in range(rounds):
-        longer = edges.join(level.withColumnRenamed("node", "target"), "target").groupBy(F.col("source").alias("node")).agg((F.max("depth") + 1).alias("d"))
-        new = level.join(longer, "node", "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth")).checkpoint()
-        if not new.join(level.withColumnRenamed("depth", "old"), "node").where("depth <> old").take(1):
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest label that reaches a node along edges (source, target), its own included."""
+    while True:
+        sent = edges.join(labels.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("met"))
+        new = labels.join(sent, "node", "left").select("node", F.least("label", "met").alias("label"), (F.col("met") < F.col("label")).alias("moved")).checkpoint()
+        if not new.where("moved").take(1):
+            return new.drop("moved")
+        labels = new.drop("moved")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the strongly connected component of every node, named by its smallest member.
+
+    Nodes without an edge in or out of the rest are components of their own and leave, again and again. Then each node
+    takes the smallest label that reaches it; those that their label's node is reached by, inside the same label, are its
+    component and leave too; edges between labels fall away. Rows in memory never exceed nodes and edges.
+    """
+    edges = edges.select("source", "target").distinct().checkpoint()
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    done, left = [], edges.where("source <> target").checkpoint()
+    while True:
+        while True:
+            both = left.select(F.col("source").alias("node")).distinct().join(left.select(F.col("target").alias("node")).distinct(), "node")
+            kept = left.join(both.withColumnRenamed("node", "source"), "source", "left_semi").join(both.withColumnRenamed("node", "target"), "target", "left_semi").checkpoint()
+            if kept.count() == left.count():
+                break
+            left = kept
+        if not left.take(1):
             break
-        level = new
-    return level
+        inner = left.select(F.col("source").alias("node")).distinct()
+        forward = _spread(inner.withColumn("label", F.col("node")), left).checkpoint()
+        a, b = forward.withColumnsRenamed({"node": "source", "label": "label_a"}), forward.withColumnsRenamed({"node": "target", "label": "label_b"})
+        own = left.join(a, "source").join(b, "target").where("label_a = label_b").select("source", "target").checkpoint()
+        back = own.select(F.col("target").alias("source"), F.col("source").alias("target"))
+        start = forward.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).otherwise(F.lit(2**63 - 1)).alias("label"))
+        found = _spread(start, back).alias("b").join(forward.alias("f"), "node").where("b.label = f.label").select("node", F.col("f.label").alias("component")).checkpoint()
+        done.append(found)
+        left = own.join(found.withColumnRenamed("node", "source"), "source", "left_anti").join(found.withColumnRenamed("node", "target"), "target", "left_anti").checkpoint()
+    found = done[0] if done else nodes.select("node", F.col("node").alias("component")).limit(0)
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle, self loops included: those of components with several members, and those with an edge to themselves."""
+    parts = strong_components(edges)
+    several = parts.groupBy("component").count().where("count > 1").select("component")
+    return parts.join(several, "component", "left_semi").select("node").union(edges.where("source = target").select(F.col("source").alias("node"))).distinct()
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """Longest path length from each node over the graph whose cycles are drawn together; nodes of one cycle share it.
+
+    Rounds follow the longest path; since the condensed graph has no cycle they end.
+    """
+    edges = edges.select("source", "target").distinct().checkpoint()
+    parts = strong_components(edges).checkpoint()
+    a, b = parts.withColumnsRenamed({"node": "source", "component": "from"}), parts.withColumnsRenamed({"node": "target", "component": "to"})
+    links = edges.join(a, "source").join(b, "target").where("`from` <> `to`").select("from", "to").distinct().checkpoint()
+    level = parts.select(F.col("component").alias("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    while True:
+        longer = links.join(level.withColumnsRenamed({"node": "to"}), "to").groupBy(F.col("from").alias("node")).agg((F.max("depth") + 1).alias("d"))
+        new = level.join(longer, "node", "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.col("d") > F.col("depth")).alias("moved")).checkpoint()
+        level = new.drop("moved")
+        if not new.where("moved").take(1):
+            return parts.join(level.withColumnRenamed("node", "component"), "component").select("node", "depth")
+
+
+def set_sides(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Keys of two tables: gone (only before), appeared (only after) or both."""
+    a, b = before.select(key).distinct().withColumn("_a", F.lit(1)), after.select(key).distinct().withColumn("_b", F.lit(1))
+    side = F.when(F.col("_b").isNull(), "gone").when(F.col("_a").isNull(), "appeared").otherwise("both")
+    return a.join(b, key, "full").select(key, side.alias("side"))
 
 
 def find_literal(rows: DataFrame, text: str, query: str) -> DataFrame:

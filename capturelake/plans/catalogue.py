@@ -6,16 +6,18 @@ events alone and never sees the text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import functions as F
 
 from capturelake.operators import gc, generic, series, threads, tls
+from capturelake.plans import rendered
 from capturelake.sources import captures
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-BASE_US = captures.EPOCH_US
+BASE_US = rendered.EPOCH_US
 _E = f"e AS (SELECT event_id, user_id, event_type, ts, epoch_us(ts) - {BASE_US} AS us, CAST(round(value * 100) AS BIGINT) AS n FROM events)"
 _GC = f"WITH {_E}, g AS (SELECT CAST(user_id AS VARCHAR) AS capture_id, event_id AS gc_id, CASE event_type WHEN 'error' THEN 'stall' WHEN 'click' THEN 'cycle' ELSE 'pause' END AS kind, event_type, greatest(0, us - n) AS start_us, greatest(us, n) AS end_us, n, us, CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN event_id % 97 + 1 END AS after_mb FROM e)"
 _DAY = f"WITH {_E}, t AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, user_id, arg_max(event_type, us) AS kind, count(*) AS m, sum(n) AS cpu FROM e GROUP BY ALL), t2 AS (SELECT *, CASE kind WHEN 'click' THEN 'WAITING' WHEN 'purchase' THEN 'TIMED_WAITING' WHEN 'error' THEN 'BLOCKED' ELSE 'RUNNABLE' END AS java_state FROM t), w AS (SELECT capture_id, user_id AS waiter, user_id // 2 AS lock FROM t WHERE kind = 'error'), h AS (SELECT t.capture_id, t.user_id FROM t WHERE NOT (kind = 'error' AND user_id = user_id // 2))"
@@ -37,15 +39,15 @@ def _table(spark, sf_dir, name):
 
 
 def _gc_lines(spark, sf_dir):
-    return captures.lines(captures.gc_logs(_table(spark, sf_dir, "events")))
+    return rendered.lines(rendered.gc_logs(_table(spark, sf_dir, "events")))
 
 
 def _dump(spark, sf_dir):
-    return threads.snapshots(captures.lines(captures.thread_dumps(_table(spark, sf_dir, "events"))))
+    return threads.snapshots(rendered.lines(rendered.thread_dumps(_table(spark, sf_dir, "events"))))
 
 
 def _tls(spark, sf_dir):
-    return tls.interactions(tls.records(captures.lines(captures.tls_logs(_table(spark, sf_dir, "events")))))
+    return tls.interactions(tls.records(rendered.lines(rendered.tls_logs(_table(spark, sf_dir, "events")))))
 
 
 def _us(c):
@@ -53,8 +55,13 @@ def _us(c):
 
 
 def _checkpoints(spark):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    """The folder named by the session. A cluster must name one; a local master, all in one process, may use a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 # --- sources -----------------------------------------------------------------
@@ -77,7 +84,7 @@ def s5_evidence_ranges(spark, sf_dir):
     _GC + ", v AS (SELECT user_id, event_id, us, 1 AS part, '[' || us || 'us][info][gc] GC(' || event_id || ') ' AS line FROM e UNION ALL SELECT user_id, event_id, us - n, 0, '[' || (us - n) || 'us][info][gc,start] GC(' || event_id || ') ' FROM e WHERE event_type = 'click'), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, part, line) AS line_no FROM v) SELECT CAST(user_id AS VARCHAR) AS capture_id, event_id AS gc_id, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, max(line_no) - min(line_no) + 1 AS n_lines, count(*) AS own_lines FROM o GROUP BY ALL",
 )
 def s5_gc_event_ranges(spark, sf_dir):
-    logs = captures.gc_logs(_table(spark, sf_dir, "events"))
+    logs = rendered.text(rendered.gc_logs(_table(spark, sf_dir, "events")))
     found = gc.events(captures.lines(logs)).select("capture_id", "gc_id", F.col("line").alias("first_line"), F.col("end_line").alias("last_line"))
     wanted = found.join(logs.select("capture_id", F.sha2("text", 256).alias("sha256")), "capture_id")
     met = captures.checked_ranges(logs, wanted).join(found, ["capture_id", "first_line", "last_line"])
@@ -135,10 +142,9 @@ def a16_gc_findings(spark, sf_dir):
     return _findings(spark, sf_dir).groupBy("capture_id", "rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query("a17_gc_capture_summary", _GC + _FINDINGS + " SELECT capture_id, count(*) FILTER (WHERE rule = 'pause-budget') AS over_budget, count(*) FILTER (WHERE severity = 'critical') AS critical, CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'warning') THEN 'warning' ELSE 'info' END AS headline FROM f GROUP BY 1")
+@query("a17_gc_capture_summary", _GC + _FINDINGS + " SELECT capture_id, count(*) FILTER (WHERE rule = 'pause-budget') AS over_budget, count(*) FILTER (WHERE severity = 'critical') AS critical, bool_or(rule IN ('occupancy', 'jvm-signal')) AS pressure, CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'warning') THEN 'warning' ELSE 'info' END AS headline FROM f GROUP BY 1")
 def a17_gc_capture_summary(spark, sf_dir):
-    has = lambda s: F.bool_or(F.col("severity") == s)
-    return _findings(spark, sf_dir).groupBy("capture_id").agg(F.count_if(F.col("rule") == "pause-budget").alias("over_budget"), F.count_if(F.col("severity") == "critical").alias("critical"), F.when(has("critical"), "critical").when(has("warning"), "warning").otherwise("info").alias("headline"))
+    return gc.capture_summary(_findings(spark, sf_dir))
 
 
 @query("a18_gc_kind_census", _GC + " SELECT kind, count(*) AS n FROM g GROUP BY 1")
@@ -173,6 +179,11 @@ def a22_gc_overview(spark, sf_dir):
     return gc.overview(gc.events(_gc_lines(spark, sf_dir))).groupBy("capture_id").agg(F.max("longest_ms").alias("longest_ms")).select("capture_id", _us("longest_ms").alias("longest_us"))
 
 
+@query("a22_gc_overview_bins", _GC + ", b AS (SELECT capture_id, min(start_us) AS lo, max(end_us) AS hi FROM g GROUP BY 1) SELECT capture_id, CAST(least(399, floor((start_us / 1000.0::DOUBLE - lo / 1000.0::DOUBLE) / (hi / 1000.0::DOUBLE - lo / 1000.0::DOUBLE) * 400)) AS INTEGER) AS bin, max(n) AS longest_us FROM g JOIN b USING (capture_id) WHERE kind = 'pause' GROUP BY ALL")
+def a22_gc_overview_bins(spark, sf_dir):
+    return gc.overview(gc.events(_gc_lines(spark, sf_dir))).select("capture_id", "bin", _us("longest_ms").alias("longest_us"))
+
+
 # --- thread dumps ------------------------------------------------------------
 
 
@@ -465,7 +476,7 @@ def k6_top_locks(spark, sf_dir):
 
 @query("l1_tls_records", _TLS + " SELECT capture_id, tid, ms AS epoch_ms, 3 AS line_count, count(*) AS n FROM r GROUP BY ALL")
 def l1_tls_records(spark, sf_dir):
-    return tls.records(captures.lines(captures.tls_logs(_table(spark, sf_dir, "events")))).groupBy("capture_id", "tid", "epoch_ms", "line_count").agg(F.count("*").alias("n"))
+    return tls.records(rendered.lines(rendered.tls_logs(_table(spark, sf_dir, "events")))).groupBy("capture_id", "tid", "epoch_ms", "line_count").agg(F.count("*").alias("n"))
 
 
 @query("l3_tls_interactions", _TLS + " SELECT * FROM i")
@@ -539,6 +550,12 @@ def u2_distinct_last(spark, sf_dir):
     return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
 
 
+@query("u3_both_differences", "WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < DATE '1993-01-01'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01') SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'gone' WHEN a.o_custkey IS NULL THEN 'appeared' ELSE 'both' END AS side FROM a FULL JOIN b ON a.o_custkey = b.o_custkey")
+def u3_both_differences(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    return generic.set_sides(o.where("o_orderdate < DATE '1993-01-01'"), o.where("o_orderdate >= DATE '1998-01-01'"), "o_custkey")
+
+
 @query("u3_set_difference", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < DATE '1996-01-01' EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1996-01-01'")
 def u3_set_difference(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")

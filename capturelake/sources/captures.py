@@ -1,25 +1,28 @@
-"""Capture text as tables: files and lines, the ingest gate, and captures rendered from an events table."""
+"""Capture text as tables: files and lines, the ingest gate, evidence ranges, JSON dumps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BYTES = 64 * 1024 * 1024
-EPOCH_US = 1_704_067_200_000_000  # 2024-01-01, the first day of the events table
+
+
+def gate(content) -> F.Column:
+    """Why a file's bytes are kept out (empty, too large, compressed, binary, not UTF-8); null where they are not."""
+    return (
+        F.when(F.length(content) == 0, "empty")
+        .when(F.length(content) > MAX_BYTES, "too large")
+        .when(F.hex(F.substring(content, 1, 2)) == "1F8B", "compressed")
+        .when(F.position(F.lit(b"\x00"), content) > 0, "binary")
+        .when(~F.is_valid_utf8(content.cast("string")), "not UTF-8")
+    )
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """capture_id, path, bytes, sha256, reason, text: text is null where a reason keeps the file out."""
-    raw = spark.read.format("binaryFile").load(path)
-    reason = (
-        F.when(F.col("length") == 0, "empty")
-        .when(F.col("length") > MAX_BYTES, "too large")
-        .when(F.substring(F.hex(F.expr("substring(content, 1, 2)")), 1, 4) == "1F8B", "compressed")
-        .when(F.expr("position(X'00' IN content) > 0"), "binary")
-        .when(~F.expr("is_valid_utf8(cast(content AS STRING))"), "not UTF-8")
-    )
-    gated = raw.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), reason.alias("reason"), F.col("content").cast("string").alias("text"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    gated = raw.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), gate(F.col("content")).alias("reason"), F.col("content").cast("string").alias("text"))
     return gated.select(F.sha2("path", 256).substr(1, 16).alias("capture_id"), "path", "bytes", "sha256", "reason", F.when(F.col("reason").isNull(), F.col("text")).alias("text"))
 
 
@@ -28,6 +31,19 @@ def duplicates(captures: DataFrame) -> DataFrame:
     return captures.groupBy("path").agg(F.count("*").alias("times"), (F.count_distinct("sha256") > 1).alias("conflict")).where("times > 1")
 
 
+def numbered(pieces: DataFrame, bucket: F.Column, *order: str) -> DataFrame:
+    """capture_id, line_no, text of pieces (capture_id, order columns, line: one or more lines) without gathering a capture.
+
+    Lines are numbered inside (capture_id, bucket), where the bucket grows with the order; the counts of the buckets
+    before are added. So a long capture is numbered by many tasks.
+    """
+    each = pieces.select("capture_id", bucket.alias("bucket"), *order, F.posexplode(F.split("line", "\n")).alias("pos", "text"))
+    before = Window.partitionBy("capture_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.groupBy("capture_id", "bucket").agg(F.count("*").alias("n")).select("capture_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("capture_id", "bucket").orderBy(*order, "pos"))
+    return each.withColumn("place", place).join(offsets, ["capture_id", "bucket"]).select("capture_id", (F.col("place") + F.col("offset")).cast("int").alias("line_no"), "text")
+
+
 def lines(captures: DataFrame) -> DataFrame:
     """capture_id, line_no (from 1), text: CRLF and CR count as LF, a byte order mark goes."""
     clean = F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), "\r\n?", "\n")
@@ -51,57 +67,6 @@ def checked_ranges(captures: DataFrame, wanted: DataFrame) -> DataFrame:
     return numbers.join(all_lines, ["capture_id", "line_no"]).select("capture_id", "first_line", "last_line", "line_no", "text")
 
 
-def _events(events: DataFrame) -> DataFrame:
-    return events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US).alias("us"), F.round(F.col("value") * 100).cast("long").alias("n"))
-
-
-def _text(rows: DataFrame, key: str) -> DataFrame:
-    """One capture per key from (key, us, part, line)."""
-    ordered = F.array_sort(F.collect_list(F.struct("us", "part", "line")))
-    return rows.groupBy(F.col(key).cast("string").alias("capture_id")).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
-
-
-def gc_logs(events: DataFrame) -> DataFrame:
-    """A unified collector log per user."""
-    e = _events(events)
-    heap = F.format_string("%dM->%dM(100M)", F.col("event_id") % 97 + 1 + F.col("event_id") % 31, F.col("event_id") % 97 + 1)
-    body = F.create_map(
-        F.lit("view"), F.concat(F.lit("Pause Young (Normal) (G1 Evacuation Pause) "), heap),
-        F.lit("purchase"), F.concat(F.lit("Pause Full (System.gc()) "), heap),
-        F.lit("signup"), F.concat(F.lit("Pause Remark "), heap),
-        F.lit("click"), F.lit("Concurrent Mark Cycle"),
-        F.lit("error"), F.lit("Allocation Stall (main)"),
-    )[F.col("event_type")]
-    done = e.select("user_id", "us", F.lit(1).alias("part"), F.format_string("[%dus][info][gc] GC(%d) %s %dus", F.col("us"), F.col("event_id"), body, F.col("n")).alias("line"))
-    start = e.where("event_type = 'click'").select("user_id", (F.col("us") - F.col("n")).alias("us"), F.lit(0).alias("part"), F.format_string("[%dus][info][gc,start] GC(%d) Concurrent Mark Cycle", F.col("us") - F.col("n"), F.col("event_id")).alias("line"))
-    return _text(done.unionByName(start), "user_id")
-
-
-def thread_dumps(events: DataFrame) -> DataFrame:
-    """A classic thread dump per day: one thread per user seen that day, in the state of the user's last event."""
-    e = _events(events).withColumn("day", F.to_date("at"))
-    day = e.groupBy("day", "user_id").agg(F.max_by("event_type", "us").alias("kind"), F.count("*").alias("n"), F.sum("n").alias("cpu"))
-    state = F.create_map(*[F.lit(x) for x in ("view", "RUNNABLE", "click", "WAITING (parking)", "purchase", "TIMED_WAITING (sleeping)", "signup", "RUNNABLE", "error", "BLOCKED (on object monitor)")])[F.col("kind")]
-    block = F.concat(
-        F.format_string('"user-%d" #%d%s prio=5 os_prio=0 cpu=%dms elapsed=%dms tid=0x%x nid=0x%x waiting [0x1]\n   java.lang.Thread.State: ', F.col("user_id"), F.col("user_id") + 1, F.when(F.col("user_id") % 4 == 0, " daemon").otherwise(""), F.col("cpu"), F.col("n") * 1000, F.col("user_id") + 4096, F.col("user_id") + 1),
-        state,
-        F.format_string("\n\tat app.Handler%d.run(Handler.java:%d)\n", F.col("n") % 7, F.col("user_id")),
-        F.when(F.col("kind") == "error", F.format_string("\t- waiting to lock <0x%x> (a app.Session)\n", F.expr("user_id div 2"))).otherwise(""),
-        F.format_string("\tat app.Main.loop(Main.java:5)\n\t- locked <0x%x> (a app.Session)\n", F.col("user_id")),
-    )
-    rows = day.select("day", F.col("user_id").alias("us"), F.lit(1).alias("part"), block.alias("line"))
-    head = day.select("day").distinct().select("day", F.lit(-1).cast("long").alias("us"), F.lit(0).alias("part"), F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" 00:00:00\nFull thread dump OpenJDK 64-Bit Server VM (21.0.1+12 mixed mode):\n")).alias("line"))
-    return _text(rows.unionByName(head), "day")
-
-
-def tls_logs(events: DataFrame) -> DataFrame:
-    """A handshake debug log per twentieth user id, one thread per user, in compact records."""
-    e = _events(events)
-    message = F.create_map(*[F.lit(x) for x in ("signup", "Produced ClientHello handshake message", "view", "Consuming ServerHello handshake message", "purchase", "Consuming server Finished handshake message", "click", "Ignore unavailable extension: cookie", "error", "Fatal (HANDSHAKE_FAILURE): Received fatal alert: handshake_failure")])[F.col("event_type")]
-    line = F.concat(F.format_string("javax.net.ssl|DEBUG|%x|thread-%d|", F.col("user_id"), F.col("user_id")), F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC|Handshake.java:1|"), message, F.format_string(' (\n  "event": "%d"\n)', F.col("event_id")))
-    return _text(e.select((F.col("user_id") % 20).alias("log"), "us", F.lit(0).alias("part"), line.alias("line")), "log")
-
-
 #: Schema of JSON thread dumps; ids may be numbers or strings there.
 JSON_DUMP = (
     "threadDump struct<processId: string, time: string, runtimeVersion: string, threadContainers: array<struct<container: string, parent: string, owner: string, threadCount: string,"
