@@ -117,12 +117,51 @@ def test_ngram_join(spark, sf_dir, made):
         assert sorted(map(tuple, ngram_join.ngram_components(df).collect()), key=str) == brute_components(texts_of(df))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ngram_join_large_near_group(spark, seed):
+    """One base edited now and then, so that most sets link through a hub and many stay just below the limit."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5])):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [f"x{rng.randrange(300)}"], [w[at], "again"]])
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for width, percent, hot in ((4, 85, ngram_join.HOT), (5, 80, ngram_join.HOT), (4, 85, 16)):
+        assert sorted(map(tuple, ngram_join.ngram_components(df, width, percent, hot).collect()), key=str) == brute_components(docs, width, percent)
+
+
+def test_ngram_join_without_doc_id(spark):
+    """A text without a doc_id still links two others; a component without any doc_id has none."""
+    w = [f"w{i}" for i in range(60)]
+    far = w[:57] + ["a", "b", "c"] + w[57:]
+    docs = [(7, " ".join(w[4:])), (None, " ".join(w)), (3, " ".join(far)), (None, "alone here in the world now"), (None, None)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = brute_components([(i if i is not None else 100 + k, t or "") for k, (i, t) in enumerate(docs)])
+    assert sorted((c if c < 100 else None for _, _, c in linked), key=str) == sorted(got.values(), key=str)
+
+
+def test_keep_one_by_row(spark):
+    """Rows of one doc_id with different texts are judged apart; equal rows are one; blank texts stay."""
+    s, other = "one two three four five six seven", "another text of the same id stays here"
+    docs = [(1, s), (5, s), (5, other), (5, other), (9, ""), (None, s), (None, "no id but a text of its own here")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, key int")
+    got = sorted(((r.doc_id, r.text, r.key) for r in ngram_join.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, s, 0), (5, other, 0), (9, "", 0), (None, docs[-1][1], 0)], key=str)
+
+
 def test_set_trie_links():
     rng = np.random.default_rng(1)
     sets = [np.sort(rng.choice(60, rng.integers(1, 50), replace=False)).astype(np.uint64) for _ in range(80)]
     query = sets[0]
     want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, query)) >= 50 * len(np.union1d(s, query))}
-    assert set(ngram_join.SetTrie(sets).links(query, 50, step=4)) == want
+    trie = ngram_join.SetTrie(sets)
+    assert {i for i, _, _ in trie.walk(query, 50, step=4)} == want
+    whole = {i: (n, at.tolist()) for i, n, at in trie.walk(query, 50, whole=True, step=4)}
+    assert whole == {i: (len(both := np.intersect1d(s, query)), np.searchsorted(query, both).tolist()) for i, s in enumerate(sets)}
 
 
 def test_components_of_a_chain(spark):
