@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import base_columns
+from capturelake.llm.common import base_columns, cut_lineage
 
 MAX_PER_CLASS = 5_000
 BEGINNINGS = (4, 5, 6)
 STRENGTH = 4.0
 DRIFT = 1.2
 WORDS_KEPT = 40_000
+#: A word met again after more tokens than this counts as new.
+STRETCH = 500
 _WORD = re.compile(r"\w+")
 
 
@@ -43,23 +45,25 @@ def units(word: str) -> list[str]:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence, in order, in linear time."""
-    found: list[list] = []  # start, end, sum before, sum through
+    """All maximal scoring segments (start, end, score) of a sequence, in order, in linear time.
+
+    A candidate keeps the place of the nearest one before it whose sum before is smaller; a search follows these links, so
+    every candidate is passed over once.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum through, link
     total = 0.0
     for i, s in enumerate(scores):
         if s > 0:
-            new = [i, i + 1, total, total + s]
-            while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= new[3]:
-                    found.append(new)
-                    break
-                new = [found[j][0], new[1], found[j][2], new[3]]
+            start, before, through, j = i, total, total + s, len(found) - 1
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            while j >= 0 and found[j][3] < through:  # what ends lower is part of this one
+                start, _, before, _, link = found[j]
                 del found[j:]
+                j = link
+            found.append((start, i + 1, before, through, j))
         total += s
-    return [(a, b, right - left) for a, b, left, right in found]
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 @dataclass
@@ -84,14 +88,16 @@ class Model:
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
-        times: dict[str, int] = {}
+        times: dict[str, tuple[int, int]] = {}
         out = []
-        for w in words:
+        for i, w in enumerate(words):
             s = known.get(w)
             if s is None:
                 s = known[w] = self.word_score(w)
-            if s > 0:  # the k-th time counts 1/k, so that repetition alone makes no passage
-                times[w] = k = times.get(w, 0) + 1
+            if s > 0:  # in a stretch of text the k-th time counts 1/k, so that repetition alone makes no passage
+                k, at = times.get(w, (0, i))
+                k = k + 1 if i - at <= STRETCH else 1
+                times[w] = k, i
                 s /= k
             out.append(s)
         return out
@@ -124,7 +130,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
     """docs: doc_id, text. Without usable labels every text gets the score 0.5 * base rate."""
-    rows = _training_rows(docs, labels, max_per_class)
+    rows = cut_lineage(_training_rows(docs, labels, max_per_class).select("text", "toxic"))
 
     def count(batches):
         seen: dict[str, list[int]] = collections.defaultdict(lambda: [0, 0])
@@ -134,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
                     seen[u][0 if toxic else 1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["unit", "t", "c"])
 
-    counted = rows.select("text", "toxic").mapInArrow(count, "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = rows.mapInArrow(count, "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     whole = counted.where("not endswith(unit, '*')")
     sums = whole.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.expr("if(t < 2, t, 0)")).alias("rt"), F.sum(F.expr("if(t < 2, c, 0)")).alias("rc")).first()
     if not sums.t or not sums.c:
@@ -143,27 +149,28 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     pairs: dict[tuple[int, int], tuple[int, int]] = {}  # equal counts are one object, here and in the tasks
     rest = math.log(((sums.rt or 0) + 1) / (sums.t + 1)) - math.log(((sums.rc or 0) + 1) / (sums.c + 1))
     model = Model({r.unit: pairs.setdefault((r.t, r.c), (r.t, r.c)) for r in kept}, sums.t / (sums.t + sums.c), min(rest, 0.0))
-    shared = model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def found(m: Model, text: str | None) -> tuple[list[float], list[tuple[int, int, float]]]:
+        scores = m.scores(tokens(text or ""))
+        return scores, (maximal_segments(scores) if scores and max(scores) > 0 else [])
 
     def scan(batches):
         for batch in batches:
-            out = []
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = tokens(text or "")
-                s = shared.scores(words)
-                segments = maximal_segments(s) if s and max(s) > 0 else []
-                cells = collections.Counter(np.round(np.array(s) * 4).astype(int).tolist()) if not toxic else {}
-                out.append((int(toxic), len(words), [x for _, _, x in segments], list(cells), list(cells.values())))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["toxic", "n", "found", "cell", "times"])
-
-    seen = rows.select("text", "toxic").mapInArrow(scan, "toxic int, n long, found array<double>, cell array<int>, times array<long>")
-    seen = seen.collect()  # at most 2 * max_per_class rows
-    cells: collections.Counter = collections.Counter()
-    for r in seen:
-        for k, n in zip(r.cell, r.times, strict=True):
-            cells[k / 4] += n
+            cells: collections.Counter = collections.Counter()
+            best, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                scores, segments = found(shared.value, text)
+                cells.update(np.round(np.array(scores) * 4).astype(int).tolist())
+                best.append(max((x for _, _, x in segments), default=None))
+                sizes.append(len(scores))
+            none = pa.nulls(len(cells), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(best, pa.float64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([none, none.cast(pa.float64()), pa.array(list(cells), pa.int32()), pa.array(list(cells.values()), pa.int64())], names)
+
+    names = ["n", "best", "cell", "times"]
+    clean = cut_lineage(rows.where("toxic = 0").select("text").mapInArrow(scan, "n long, best double, cell int, times long"))
+    cells = {r.cell / 4: r.times for r in clean.where("cell is not null").groupBy("cell").agg(F.sum("times").alias("times")).collect()}  # a row for each quarter of a score
     value, weight = np.array(list(cells), float), np.array(list(cells.values()), float)
     low, high = 1e-3, 20.0
     if len(value) and value.max() > 0:
@@ -171,9 +178,21 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
             mid = (low + high) / 2
             low, high = (mid, high) if np.average(np.exp(np.clip(mid * value, None, 50)), weights=weight) < 1 else (low, mid)
     model.rate = min(low, 5.0)
-    tails = [model.rate * max(r.found) - math.log(r.n) for r in seen if not r.toxic and r.found]
+    tails = [model.rate * r.best - math.log(r.n) for r in clean.where("best is not null").select("n", "best").collect()]  # at most max_per_class rows
     model.log_k = float(np.median(tails)) - 0.3665 if tails else 0.0
-    x = np.array([(1.0, *model.features(r.n, [(0, 0, s) for s in r.found])) for r in seen])
+    fitted = docs.sparkSession.sparkContext.broadcast(Model(model.counts, model.base, model.rest, model.rate, model.log_k))
+
+    def measure(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                scores, segments = found(fitted.value, text)
+                out.append(fitted.value.features(len(scores), segments))
+            columns = list(zip(*out, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", "best", "total"])
+
+    seen = rows.mapInArrow(measure, "toxic int, best double, total double").collect()  # at most 2 * max_per_class rows
+    x = np.array([(1.0, r.best, r.total) for r in seen])
     y = np.array([r.toxic for r in seen], float)
     w, center, scale = np.zeros(3), np.array([0, *x[:, 1:].mean(0)]), np.array([1, *(x[:, 1:].std(0) + 1e-9)])
     z = (x - center) / scale
