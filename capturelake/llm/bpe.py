@@ -79,7 +79,14 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+        """The tokens' bytes; an id outside the vocabulary (or null) stands for the replacement character U+FFFD."""
+        try:
+            if min(ids, default=0) >= 0:
+                return b"".join(map(self.token_bytes.__getitem__, ids))
+        except (IndexError, TypeError):
+            pass
+        known = self.token_bytes
+        return b"".join(known[i] if i is not None and 0 <= i < len(known) else b"\xef\xbf\xbd" for i in ids)
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """Code point range of each token; tokens that share a split character all cover it."""

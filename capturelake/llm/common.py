@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_folder(context: SparkContext) -> None:
+    """The folder named by the session. A cluster must name one; a local master, all in one process, may use a temporary one."""
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """A reliable checkpoint in the cluster's shared folder; spark.cleaner.referenceTracking.cleanCheckpoints removes it when unused."""
     checkpoint_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 

@@ -1,8 +1,8 @@
 """ISO media containers in a binary column: write, walk, decode sample tables.
 
 `wrap` stores bytes losslessly as 24 x 24 frames of 8-bit grey samples, 576 bytes a frame, in one raw video track.
-`walk` yields nested boxes, `track_table` decodes a file's sample tables into codec, duration and the byte ranges of
-its key frames without touching the payload. Null and empty texts give one frame of padding.
+`walk` yields nested boxes, `tracks` decodes each track's sample tables and movie fragments into codec, duration and the
+byte ranges of its key frames without touching the payload. Null and empty texts give one frame of padding.
 """
 
 from __future__ import annotations
@@ -76,76 +76,178 @@ def wrap(payload: bytes) -> bytes:
     return b"".join((head, moov, mdat_head, payload))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of every box, outer boxes first; a damaged or cut box ends its level."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", data, start)
+def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, body start, body end) of every box, outer boxes first; a damaged or cut box ends its level. Any depth."""
+    levels = [(start, len(data) if end is None else min(end, len(data)), ())]
+    while levels:
+        at, stop, path = levels.pop()
+        if at + 8 > stop:
+            continue
+        size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
-            if start + 16 > end:
-                return
-            (size,), head = struct.unpack_from(">Q", data, start + 8), 16
+            if at + 16 > stop:
+                continue
+            (size,), head = struct.unpack_from(">Q", data, at + 8), 16
         elif size == 0:
-            size = end - start
-        if size < head or start + size > end:
-            return
-        yield (*path, kind), start + head, start + size
+            size = stop - at
+        if size < head or at + size > stop:
+            continue
+        levels.append((at + size, stop, path))
+        inner = (*path[-7:], kind)  # standard boxes nest less deep
+        yield inner, at + head, at + size
         if kind in NESTED:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            levels.append((at + head, at + size, inner))
 
 
-def _ints(data: bytes, at: int, stop: int, width: int, form: str) -> list[tuple[int, ...]]:
-    (n,) = struct.unpack_from(">I", data, at)
-    n = min(n, max(0, stop - at - 4) // width)
-    return list(struct.iter_unpack(form, data[at + 4 : at + 4 + n * width]))
+class _Body:
+    """Reads inside one box; what lies beyond its end is missing, never taken from the next box."""
 
+    def __init__(self, data: bytes, start: int, end: int) -> None:
+        self.data, self.at, self.end = data, start, end
 
-def track_table(data: bytes) -> dict | None:
-    """Of the first track: codec, timescale, duration in ticks, sample byte ranges in runs, and ranges that start at key frames. None without a sample table."""
-    found = {}
-    for path, a, b in walk(data):
-        found.setdefault(path[-1], (a, b))
-    need = (b"stsd", b"stts", b"stsc", b"stsz", b"mdhd")
-    if any(k not in found for k in need) or not (b"stco" in found or b"co64" in found):
-        return None
-    at = {k: (a + 4, b) for k, (a, b) in found.items()}
-    codec = data[at[b"stsd"][0] + 8 : at[b"stsd"][0] + 12].decode("latin-1")
-    long = data[found[b"mdhd"][0]] == 1
-    timescale, duration = struct.unpack_from(">IQ" if long else ">II", data, at[b"mdhd"][0] + (16 if long else 8))
-    size, count = struct.unpack_from(">II", data, at[b"stsz"][0])
-    sizes = [size] * count if size else [x for (x,) in struct.iter_unpack(">I", data[at[b"stsz"][0] + 8 : at[b"stsz"][0] + 8 + 4 * count])]
-    ticks = sum(n * d for n, d in _ints(data, *at[b"stts"], 8, ">II"))
-    places = [x for (x,) in (_ints(data, *at[b"co64"], 8, ">Q") if b"co64" in found else _ints(data, *at[b"stco"], 4, ">I"))]
-    runs = _ints(data, *at[b"stsc"], 12, ">III")
-    starts: list[int] = []
+    def ints(self, form: str) -> tuple[int, ...]:
+        size = struct.calcsize(form)
+        if self.at + size > self.end:
+            raise ValueError("box too short")
+        out = struct.unpack_from(form, self.data, self.at)
+        self.at += size
+        return out
+
+    def table(self, form: str) -> list[tuple[int, ...]]:
+        """Entries after their count; those that the box has room for."""
+        (n,) = self.ints(">I")
+        n = min(n, (self.end - self.at) // struct.calcsize(form))
+        return list(struct.iter_unpack(form, self.data[self.at : self.at + n * struct.calcsize(form)]))
+
+
+def _media_head(body: _Body) -> tuple[int, int]:
+    (version,) = body.ints(">B3x")
+    return body.ints(">16xIQ" if version == 1 else ">8xII")
+
+
+def _sizes(body: _Body, room: int) -> tuple[int, int | list[int]]:
+    """(count, one size or all sizes); samples that the file cannot hold are left out."""
+    size, count = body.ints(">4xII")
+    if size:
+        return min(count, room // size), size
+    count = min(count, (body.end - body.at) // 4)
+    return count, [x for (x,) in struct.iter_unpack(">I", body.data[body.at : body.at + 4 * count])]
+
+
+def _sample_table(boxes: dict[bytes, tuple[int, int]], data: bytes) -> list[tuple[int, int, bool]]:
+    """(start, size, key) of the samples that a track's tables place inside the file."""
+    body = lambda kind, skip=4: _Body(data, boxes[kind][0] + skip, boxes[kind][1])
+    count, size = _sizes(body(b"stsz", 0), len(data))
+    places = [x for (x,) in (body(b"co64").table(">Q") if b"co64" in boxes else body(b"stco").table(">I"))]
+    runs = body(b"stsc").table(">III")
+    keys = {k for (k,) in body(b"stss").table(">I")} if b"stss" in boxes else None
+    out: list[tuple[int, int, bool]] = []
     for i, (chunk, per, _) in enumerate(runs):
-        for c in range(chunk, (runs[i + 1][0] if i + 1 < len(runs) else len(places) + 1)):
+        last = runs[i + 1][0] if i + 1 < len(runs) else len(places) + 1
+        for c in range(max(chunk, 1), min(last, len(places) + 1)):
             place = places[c - 1]
-            for _ in range(min(per, len(sizes) - len(starts))):
-                starts.append(place)
-                place += sizes[len(starts) - 1]
-    keys = {k for (k,) in _ints(data, *at[b"stss"], 4, ">I")} if b"stss" in found else set(range(1, len(starts) + 1))
-    ranges = [(starts[k - 1], starts[k - 1] + sizes[k - 1]) for k in sorted(keys) if 0 < k <= len(starts)]
-    spans: list[list[int]] = []
-    for s, n in zip(starts, sizes, strict=False):
-        if spans and spans[-1][1] == s:
-            spans[-1][1] = s + n
-        else:
-            spans.append([s, s + n])
-    return {"codec": codec.strip(), "timescale": timescale, "duration": duration, "ticks": ticks, "samples": len(starts), "spans": spans, "keys": ranges}
+            for _ in range(min(per, count - len(out))):
+                n = size if isinstance(size, int) else size[len(out)]
+                if place + n > len(data):
+                    return out
+                out.append((place, n, keys is None or len(out) + 1 in keys))
+                place += n
+    return out
+
+
+def _fragments(data: bytes, track: int, defaults: tuple[int, int, int]) -> tuple[list[tuple[int, int, bool]], int]:
+    """Samples and ticks of a track's movie fragments (moof, traf, trun)."""
+    out: list[tuple[int, int, bool]] = []
+    ticks, moof, here, base, settings = 0, 0, None, 0, defaults
+    for path, a, b in walk(data):
+        body = _Body(data, a, b)
+        try:
+            if path[-1] == b"moof":
+                moof = a - 8
+            elif path[-1] == b"tfhd":
+                flags, here = body.ints(">II")
+                base = body.ints(">Q")[0] if flags & 1 else moof
+                if flags & 2:
+                    body.ints(">I")
+                settings = tuple(body.ints(">I")[0] if flags & bit else d for bit, d in zip((8, 16, 32), defaults, strict=True))
+            elif path[-1] == b"trun" and here == track:
+                flags, count = body.ints(">II")
+                place = base + body.ints(">i")[0] if flags & 1 else base
+                first = body.ints(">I")[0] if flags & 4 else None
+                width = 4 * sum(bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800))
+                room = (b - body.at) // width if width else len(data) // max(settings[1], 1)
+                for i in range(min(count, room)):
+                    duration, size, marks = (body.ints(">I")[0] if flags & bit else d for bit, d in zip((0x100, 0x200, 0x400), settings, strict=True))
+                    if flags & 0x800:
+                        body.ints(">I")
+                    if i == 0 and first is not None:
+                        marks = first
+                    if place < 0 or place + size > len(data):
+                        break
+                    out.append((place, size, not marks & 0x10000))
+                    ticks += duration
+                    place += size
+                base = place
+        except ValueError:
+            continue
+    return out, ticks
+
+
+def tracks(data: bytes) -> list[dict]:
+    """Per track with a readable head and sample description, in file order: id, codec, timescale, duration in ticks,
+    summed ticks, samples, their byte ranges in runs, and the ranges of key samples, fragments included.
+
+    A damaged file gives what its whole boxes say: samples that lie beyond the file are left out, tracks without a
+    media head or sample description are too.
+    """
+    found: list[dict[bytes, tuple[int, int]]] = []
+    extends: dict[int, tuple[int, int, int]] = {}
+    for path, a, b in walk(data):
+        if path[-1] == b"trak":
+            found.append({})
+        elif b"trak" in path and found:
+            found[-1].setdefault(path[-1], (a, b))
+        elif path[-1] == b"trex" and b - a >= 24:
+            track, _, duration, size, marks = struct.unpack_from(">4xIIIII", data, a)
+            extends[track] = (duration, size, marks)
+    out = []
+    for boxes in found:
+        try:
+            timescale, duration = _media_head(_Body(data, *boxes[b"mdhd"]))
+            (codec,) = _Body(data, *boxes[b"stsd"]).ints(">12x4s")
+            version = _Body(data, *boxes[b"tkhd"]).ints(">B")[0] if b"tkhd" in boxes else 0
+            (track,) = _Body(data, *boxes[b"tkhd"]).ints(">20xI" if version == 1 else ">12xI") if b"tkhd" in boxes else (0,)
+            samples = _sample_table(boxes, data) if b"stsz" in boxes and b"stsc" in boxes and (b"stco" in boxes or b"co64" in boxes) else []
+            ticks = sum(n * d for n, d in _Body(data, boxes[b"stts"][0] + 4, boxes[b"stts"][1]).table(">II")) if b"stts" in boxes else 0
+        except (KeyError, ValueError):
+            continue
+        more, more_ticks = _fragments(data, track, extends.get(track, (0, 0, 0)))
+        samples += more
+        spans: list[list[int]] = []
+        for s, n, _ in samples:
+            if spans and spans[-1][1] == s:
+                spans[-1][1] = s + n
+            else:
+                spans.append([s, s + n])
+        out.append({"track": track, "codec": codec.decode("latin-1").strip(), "timescale": timescale, "duration": duration, "ticks": ticks + more_ticks, "samples": len(samples), "spans": spans, "keys": [(s, s + n) for s, n, key in samples if key]})
+    return out
+
+
+def track_table(data: bytes) -> dict | None:
+    """The first readable track of a file, or None."""
+    return next(iter(tracks(data)), None)
 
 
 def container_index(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """Codec, duration in seconds, sample count and key frame byte ranges of a binary column of files; nulls where there is no sample table."""
+    """Codec, duration in seconds, sample count and key frame byte ranges of each file's first track in a binary column; nulls where the file is null, damaged or without a track."""
 
     def run(batches):
         for batch in batches:
             rows = [track_table(m) if m else None for m in batch.column(media).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(key), pa.array([r and r["codec"] for r in rows], pa.string()), pa.array([r and r["duration"] / max(r["timescale"], 1) for r in rows], pa.float64()), pa.array([r and r["samples"] for r in rows], pa.int64()),
+                    batch.column(key), pa.array([r and r["codec"] for r in rows], pa.string()), pa.array([r and (r["duration"] or r["ticks"]) / max(r["timescale"], 1) for r in rows], pa.float64()), pa.array([r and r["samples"] for r in rows], pa.int64()),
                     pa.array([r and [{"start": a, "end": b} for a, b in r["keys"]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 [key, "codec", "seconds", "samples", "key_ranges"],

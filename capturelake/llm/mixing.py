@@ -11,14 +11,17 @@ Repeated rows are drawn alike. An empty table stays empty.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import shuffle_width
+from capturelake.llm.common import cut_lineage, shuffle_width
 
 ALPHA = 0.5
-#: Rate tables up to this many sources are broadcast (about 1 kB each); larger ones are joined with salted keys.
-BROADCAST_SOURCES = 10_000
+#: Rate tables of up to so many bytes are broadcast; larger ones are joined with salted keys.
+BROADCAST_BYTES = 64 << 20
+BLOCK = 128
 SALTS = 32
 _UNIT = float(16**13)
 
@@ -30,22 +33,36 @@ def _hash(seed: int, *parts) -> F.Column:
 
 
 def poisson_table(rate) -> F.Column:
-    """Cumulative probabilities of 0, 1, 2, ... until nothing that a double can tell from 1 remains."""
-    reach = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    log_p = F.aggregate(
-        F.sequence(F.lit(1), reach),
-        F.array((-rate).cast("double")),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(rate) - F.log(k.cast("double")))),
-    )
-    return F.aggregate(
-        log_p,
-        F.array().cast("array<double>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + F.exp(x))),
+    """struct(base, cdf): cumulative probabilities of base, base + 1, ... up to where a double cannot tell them from 1.
+
+    `base` is the first count whose cumulative probability a double can tell from 0; each is the chance to stay at or below it.
+    """
+    spread = 12 * F.sqrt(rate) + 20
+    base = F.greatest(F.lit(0), F.floor(rate - spread)).cast("int")
+    steps = F.sequence(base, F.ceil(rate + spread).cast("int"))
+    table = F.transform(steps, lambda k: F.exp(k * F.log(rate) - rate - _log_factorial(k)))
+    block = F.transform(F.sequence(F.lit(0), F.floor((F.size(table) - 1) / BLOCK).cast("int")), lambda i: F.slice(table, i * BLOCK + 1, F.lit(BLOCK)))
+    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    summed = F.aggregate(
+        block,
+        F.struct(F.lit(0.0).alias("at"), F.array().cast("array<array<double>>").alias("out")),
+        lambda acc, xs: F.struct(
+            F.aggregate(xs, acc["at"], lambda a, x: a + x).alias("at"),
+            F.concat(acc["out"], F.array(F.slice(F.aggregate(xs, F.array(acc["at"]), grow), F.lit(2), F.size(xs)))).alias("out"),
+        ),
     )
+    return F.struct(base.alias("base"), F.flatten(summed["out"]).alias("cdf"))
+
+
+def _log_factorial(k) -> F.Column:
+    """ln k!: exact sums below 10, Stirling's series (error below 1e-12) from there on."""
+    x = F.greatest(k, F.lit(10)).cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    return F.when(k < 10, F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(10)]), F.least(k, F.lit(9)) + 1)).otherwise(series)
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, alpha: float = ALPHA) -> DataFrame:
-    """source, rate, cdf. `total`: expected number of documents out; as many as come in by default."""
+    """source, rate, base, cdf. `total`: expected number of documents out; as many as come in by default."""
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weighted = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
@@ -55,26 +72,31 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int |
     sums = weighted.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
     want = float(total if total is not None else sums.n or 0)
     rated = weighted.where("weight > 0").select("source", (F.col("weight") / F.lit(sums.weight or 1.0) * F.lit(want) / F.col("n")).alias("rate"))
-    return rated.withColumn("cdf", poisson_table(F.col("rate")))
+    return rated.withColumn("table", poisson_table(F.col("rate"))).select("source", "rate", "table.base", "table.cdf")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, alpha: float = ALPHA, seed: int = 11) -> DataFrame:
-    """The documents' columns, repeated to the target weights and shuffled, with replica (from 1) and mix_key."""
-    columns = docs.columns
-    table = rates(docs.select("source"), weights, total, alpha).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table), docs["source"].eqNullSafe(table["_source"]))
-    else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = docs.withColumn("_salt0", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, left["source"].eqNullSafe(salted["_source"]) & (left["_salt0"] == salted["_salt"]))
+    """The documents' columns, repeated to the target weights and shuffled, with replica (from 1) and mix_key.
+
+    Columns of docs named replica or mix_key are replaced; other names, whatever they are, stay.
+    """
+    columns = [c for c in docs.columns if c not in ("replica", "mix_key")]
+    table = cut_lineage(rates(docs.select("source"), weights, total, alpha))  # a row for each source
+    size = table.agg(F.coalesce(F.sum(F.size("cdf") * 8 + F.coalesce(F.length("source"), F.lit(0)) + 64), F.lit(0)).alias("bytes")).first().bytes
     identity = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    u = _hash(seed, identity) / F.lit(_UNIT)
-    counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= u))).where("_n > 0")
-    copies = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("replica"))
-    keyed = copies.withColumn("mix_key", _hash(seed + 1, identity, F.col("replica").cast("string")))
-    width = shuffle_width(docs.sparkSession)
-    return keyed.repartition(width, "mix_key").sortWithinPartitions("mix_key", "doc_id", "replica")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("source"), F.col("doc_id"), identity.alias("identity"))
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"]))
+    else:
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, rows["source"].eqNullSafe(salted["source"]) & (F.pmod(F.xxhash64("identity"), F.lit(SALTS)).cast("int") == salted["salt"]))
+    u = _hash(seed, F.col("identity")) / F.lit(_UNIT)
+    times = F.col("base") + F.size(F.filter("cdf", lambda c: c <= u))
+    counted = joined.select("row", rows["doc_id"], "identity", times.alias("times")).where("times > 0")
+    copies = counted.select("row", "doc_id", "identity", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("replica"))
+    keyed = copies.withColumn("mix_key", _hash(seed + 1, F.col("identity"), F.col("replica").cast("string")))
+    dealt = keyed.repartition(shuffle_width(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key", "doc_id", "replica")
+    return dealt.select(*[F.col("row").getField(c).alias(c) for c in columns], "replica", "mix_key")
 
 
 def oracle(alpha: float = ALPHA, seed: int = 11) -> str:

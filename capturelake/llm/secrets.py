@@ -28,25 +28,61 @@ KINDS = ("assign", "access", "hex", "markov")
 SAMPLE = 2_000
 THRESHOLD = 12.0
 MARK = "[SECRET]"
+BLOCK = 1024
+STEP = 128
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
+_MATCH = "array<struct<start:int,rank:int,end:int,match:string>>"
+
+
+def _let(value, use) -> F.Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(items, zero, step) -> F.Column:
+    """The state after each item of an array, from `zero` by step(state, item).
+
+    Spark copies an array to append to it, so blocks of STEP states are built apart and joined at the end.
+    """
+
+    def scan_of(xs):
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+        grow = lambda acc, x: _let(step(acc["at"], x), lambda new: F.struct(new.alias("at"), F.concat(acc["out"], F.array(new)).alias("out")))
+        none = lambda state: F.struct(state.alias("at"), F.slice(F.array(state), F.lit(1), F.lit(0)).alias("out"))
+        block = lambda acc, i: _let(F.aggregate(F.slice(xs, i, F.lit(STEP)), none(acc["at"]), grow), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        first = F.struct(zero.alias("at"), F.slice(F.array(F.array(zero)), F.lit(1), F.lit(0)).alias("out"))
+        return F.flatten(F.aggregate(starts, first, block)["out"])
+
+    return _let(items, scan_of)
 
 
 def _spans(text, pattern: str, rank: int, value_length: int = 0) -> F.Column:
-    """(start, rank, end) of a pattern's matches: lengths of the pieces between them add up to the positions."""
+    """(start, rank, end, match) of a pattern's matches: lengths of the pieces between them add up to the positions."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if value_length else found
     pieces = F.arrays_zip(gaps.alias("gap"), found.alias("match"), values.alias("value"))
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull() | (F.length(x["value"]) < value_length), acc["spans"])
-            .otherwise(F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end")))))
-            .alias("spans"),
-        ),
-    )["spans"]
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPAN))
+
+    def placed(ps):
+        ends = _scan(F.transform(ps, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))), F.lit(0), lambda at, n: at + n)
+        spans = F.zip_with(ps, ends, lambda x, end: F.when(F.length(x["value"]) >= value_length, F.struct((end - F.length(x["match"])).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["match"].alias("match"))))
+        return F.array_compact(spans)
+
+    return F.when(text.rlike(pattern), _let(pieces, placed)).otherwise(F.array().cast(_MATCH))
+
+
+def _apart(runs, base) -> F.Column:
+    """The runs that overlap no base span: no earlier start reaches into them, no later one begins in them."""
+    wide = F.lit(2**31 - 1)
+    both = F.array_sort(F.concat(F.transform(base, lambda s: s.withField("match", F.lit(None).cast("string"))), runs))
+
+    def kept(xs):
+        is_base = lambda x: x["match"].isNull()
+        before = _scan(xs, F.lit(0), lambda at, x: F.greatest(at, F.when(is_base(x), x["end"]).otherwise(F.lit(0))))
+        after = F.reverse(_scan(F.reverse(xs), wide, lambda at, x: F.least(at, F.when(is_base(x), x["start"]).otherwise(wide))))
+        near = F.zip_with(before, after, lambda a, b: F.struct(a.alias("reach"), b.alias("next")))
+        return F.array_compact(F.zip_with(xs, near, lambda x, n: F.when(~is_base(x) & (n["reach"] <= x["start"]) & (n["next"] >= x["end"]), x)))
+
+    return F.when(F.size(base) == 0, runs).when(F.size(runs) == 0, runs).otherwise(_let(both, kept))
 
 
 def _bigrams(samples: DataFrame) -> DataFrame:
@@ -83,16 +119,18 @@ def _ratio(run, table) -> F.Column:
 
 
 def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) with base_spans and all_spans: start, rank (place in KINDS), end."""
+    """The rows of docs (doc_id, text and any others) with base_spans and all_spans: start, rank (place in KINDS), end.
+
+    Columns of these two names are replaced. Work grows linearly with a text's length and number of matches.
+    """
     table = F.lit(log_ratios(docs.select("doc_id", "text")))
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    runs = F.when(text.rlike(RUN), _spans(text, RUN, 3)).otherwise(F.array().cast(_SPAN))
-    with_base = docs.withColumn("base_spans", base).withColumn("_runs", runs)
-    fresh = F.filter("_runs", lambda r: ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    likely = F.filter(fresh, lambda r: _ratio(F.substring(text, r["start"] + 1, r["end"] - r["start"]), table) > threshold)
-    extra = F.when(F.size("_runs") > 0, likely).otherwise(F.array().cast(_SPAN))
-    return with_base.withColumn("all_spans", F.array_sort(F.concat("base_spans", extra))).drop("_runs")
+    runs = F.filter(_spans(text, RUN, 3), lambda r: _ratio(r["match"], table) > threshold)
+    found = _let(base, lambda b: F.struct(b.alias("base"), _apart(runs, b).alias("more")))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+    with_found = docs.withColumn("all_spans", found)
+    return with_found.withColumn("base_spans", plain(F.col("all_spans.base"))).withColumn("all_spans", F.array_sort(F.concat(plain(F.col("all_spans.base")), plain(F.col("all_spans.more")))))
 
 
 def _written(spans) -> F.Column:
@@ -110,18 +148,26 @@ def secret_digests(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """The documents, columns unchanged, with every span replaced by a mark (overlapping spans by one) and n_chars renewed."""
-    found = find_secrets(documents)
-    cut = F.aggregate(
-        "all_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).alias("out"),
-        ),
-    )
-    text = F.when(F.size("all_spans") > 0, F.concat(cut["out"], F.substring(F.col("text"), cut["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    """The documents, columns unchanged whatever their names, with every span replaced by a mark (overlapping spans by one) and n_chars renewed."""
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    found = find_secrets(whole)
+    reach = _scan(F.col("all_spans"), F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def cut(x):
+        def piece(a, b):  # characters a up to b, from the blocks that hold them
+            first = F.floor(a / BLOCK).cast("int")
+            last = F.floor((b - 1) / BLOCK).cast("int")
+            return F.when(b > a, F.substring(F.array_join(F.slice(x["blocks"], first + 1, last - first + 1), ""), a - first * BLOCK + 1, b - a)).otherwise("")
+
+        before = F.concat(F.array(F.lit(0)), x["reach"])
+        kept = F.zip_with(x["spans"], F.slice(before, F.lit(1), F.size(x["spans"])), lambda s, at: F.when(s["start"] >= at, F.concat(piece(at, s["start"]), F.lit(MARK))))
+        return F.concat(F.array_join(F.array_compact(kept), ""), piece(F.element_at(before, -1), x["length"]))
+
+    parts = F.struct(F.col("all_spans").alias("spans"), reach.alias("reach"), blocks.alias("blocks"), F.length("text").alias("length"))
+    hit = F.size("all_spans") > 0
+    new = found.select("row", hit.alias("hit"), F.when(hit, _let(parts, cut)).otherwise(F.col("text")).alias("text"))
+    value = {"text": F.col("text").cast(documents.schema["text"].dataType)}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(documents.columns)
+        value["n_chars"] = F.when(F.col("hit"), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return new.select(*[value.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
