@@ -91,3 +91,79 @@ def handshakes(events: DataFrame) -> DataFrame:
     clock = F.date_format(F.timestamp_add("MINUTE", shift, F.col("at")), "yyyy-MM-dd HH:mm:ss.SSS")
     line = F.concat_ws("\n", F.concat(F.format_string("javax.net.ssl|DEBUG|%x|thread-%d|", F.col("user_id"), F.col("user_id")), clock, F.lit(" "), zone, F.lit("|Handshake.java:1|"), message), body)
     return _keyed(e.select((F.col("user_id") % 20).alias("log"), "us", F.lit(0).alias("part"), line.alias("line")), "log")
+
+
+WEEK_US = 7 * 86_400_000_000
+
+
+def collector_logs(events: DataFrame) -> DataFrame:
+    """Collector logs whose uptime starts anew every week, with start banners, starts without gap and pressure lines inside a cycle."""
+    e = _events(events)
+    us, n, number = F.col("us"), F.col("n"), F.col("event_id")
+    began = F.greatest(F.lit(0), us - n)
+    heap = F.format_string("%dM->%dM(100M)", number % 97 + 1 + number % 31, number % 97 + 1)
+    body = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit("Pause Young (Normal) (Allocation Failure) "), heap)).when(F.col("event_type") == "purchase", F.concat(F.lit("Pause Full (System.gc()) "), heap))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("Pause Remark "), heap)).when(F.col("event_type") == "click", "Concurrent Mark Cycle").otherwise("Allocation Stall (main)")
+    )
+    line = lambda at, tags, text: F.concat(F.format_string("[%dus]", at % WEEK_US), F.lit(f"[info][{tags}] "), text)
+    named = lambda text: F.concat(F.format_string("GC(%d) ", number), text)
+    piece = lambda rows, at, part, text: rows.select("user_id", at.alias("us"), F.lit(part).alias("part"), text.alias("line"))
+    done = piece(e, us, 2, line(us, "gc", named(F.concat(body, F.format_string(" %dus", n)))))
+    start = piece(e.where("event_type = 'click'"), began, 0, line(began, "gc,start", named(F.lit("Concurrent Mark Cycle"))))
+    inside = F.greatest(F.lit(0), us - F.floor(n / 2))
+    pressure = piece(e.where("event_type = 'click' AND event_id % 2 = 0"), inside, 1, line(inside, "gc", named(F.lit("To-space exhausted"))))
+    banner = piece(e.where("event_type = 'signup'"), us, 1, line(us, "gc,init", F.when(number % 2 == 0, "Using G1").otherwise("Using Parallel")))
+    return _keyed(done.unionByName(start).unionByName(pressure).unionByName(banner), "user_id")
+
+
+def legacy_logs(events: DataFrame) -> DataFrame:
+    """Records of the older format over two lines, one for each purchase; those of some events do not close."""
+    e = _events(events).where("event_type = 'purchase'")
+    seconds = lambda c: F.format_string("%d.%06d", F.floor(c / 1_000_000), c % 1_000_000)
+    number = F.col("event_id")
+    text = F.concat(
+        seconds(F.col("us")), F.format_string(": [Full GC (System.gc()) [PSYoungGen: %dK->0K(2000K)]\n  [ParOldGen: 5K->4K(4000K)] %dK->%dK(6000K), [Metaspace: 1K->1K(2K)], ", number % 500, number % 500 + 5, number % 97 + 4),
+        seconds(F.col("n")), F.when(number % 10 == 3, " secs").otherwise(" secs] [Times: user=0.01 sys=0.00, real=0.00 secs]"),
+    )
+    return _keyed(e.select("user_id", "us", F.lit(0).alias("part"), text.alias("line")), "user_id")
+
+
+def trouble_dumps(events: DataFrame, by: str = "day") -> DataFrame:
+    """Dumps with class initialization, waits in the JDK's HTTP client, allocation counters and deadlock sections; `by` day or month (many snapshots a capture)."""
+    e = _events(events).withColumn("day", F.to_date("at"))
+    day = e.groupBy("day", "user_id").agg(F.max_by("event_type", "us").alias("kind"), F.count("*").alias("n"), F.sum("n").alias("cpu"))
+    user, kind = F.col("user_id"), F.col("kind")
+    state = F.when(kind == "click", "WAITING (parking)").when(kind == "purchase", "TIMED_WAITING (sleeping)").otherwise("RUNNABLE")
+    frames = (
+        F.when(kind == "error", F.format_string("\tat app.Caller.call(Caller.java:1)\n\t- waiting on the Class initialization monitor for app.C%d\n", user % 5))
+        .when(kind == "signup", F.format_string("\tat app.C%d.<clinit>(C.java:1)\n", user % 5))
+        .when(kind == "click", "\tat jdk.internal.misc.Unsafe.park(java.base@21/Native Method)\n\tat java.util.concurrent.CompletableFuture.get(java.base@21/CompletableFuture.java:1)\n\tat jdk.internal.net.http.HttpClientImpl.send(java.net.http@21/HttpClientImpl.java:2)\n")
+        .otherwise(F.format_string("\tat app.Handler%d.run(Handler.java:%d)\n", F.col("n") % 7, user))
+    )
+    block = F.concat(
+        F.format_string('"user-%d" #%d prio=5 os_prio=0 cpu=%dms elapsed=%dms allocated=%s tid=0x%x nid=0x%x waiting [0x1]\n   java.lang.Thread.State: ', user, user + 1, F.col("cpu"), F.col("n") * 1000, F.when(user % 3 == 0, F.format_string("%d.5M", user)).otherwise(F.format_string("%dK", user)), user + 4096, user + 1),
+        state, F.lit("\n"), frames, F.lit("\tat app.Main.loop(Main.java:5)\n"),
+    )
+    head = day.select("day").distinct().select("day", F.lit(-2).cast("long").alias("us"), F.lit(0).alias("part"), F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" 00:00:00\nFull thread dump OpenJDK 64-Bit Server VM (21.0.1+12 mixed mode):\n")).alias("line"))
+    rows = day.select("day", user.alias("us"), F.lit(1).alias("part"), block.alias("line"))
+    a, b = day.where("user_id % 10 = 0").select("day", "user_id"), day.where("user_id % 10 = 1").select("day", (user - 1).alias("user_id"))
+    entry = lambda who, held: F.format_string('"user-%d":\n  waiting to lock monitor 0x%x (object 0x%x, a app.Session),\n  which is held by "user-%d"\n', who, who + 1, who + 7, held)
+    section = F.concat(F.lit("Found one Java-level deadlock:\n=============================\n"), entry(user, user + 1), entry(user + 1, user), F.lit("\nJava stack information for the threads listed above:\n"))
+    locked = a.join(b, ["day", "user_id"]).select("day", (user + 1_000_000).alias("us"), F.lit(2).alias("part"), section.alias("line"))
+    all_ = rows.unionByName(head).unionByName(locked)
+    if by == "day":
+        return _keyed(all_, "day")
+    offset = F.date_diff(F.col("day"), F.lit("2024-01-01").cast("date")).cast("long") * 3_600_000_000  # a snapshot is an hour's bucket
+    return all_.select(F.date_format("day", "yyyy-MM").alias("capture_id"), (F.col("us") + offset + 10).alias("us"), "part", "line")
+
+
+def json_dumps(events: DataFrame) -> DataFrame:
+    """JSON dumps, one for each user and day: a container for each event type with a thread for each event; some records lack an id."""
+    e = _events(events).withColumn("day", F.to_date("at"))
+    number = F.col("event_id")
+    thread = F.struct(F.when(number % 9 != 4, number.cast("string")).alias("tid"), F.format_string("worker-%d", number % 5).alias("name"), F.lit("RUNNABLE").alias("state"), F.array(F.lit("app.Main.loop(Main.java:5)")).alias("stack"))
+    box = e.groupBy("user_id", "day", "event_type").agg(F.array_sort(F.collect_list(thread)).alias("threads"), F.count("*").alias("n"))  # a user's events of one type and day
+    box = box.select("user_id", "day", F.struct(F.col("event_type").alias("container"), (F.col("n") + F.when(F.col("event_type") == "error", 1).otherwise(0)).cast("string").alias("threadCount"), "threads").alias("box"))
+    dump = box.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.col("box"))).alias("threadContainers"))
+    return dump.select(F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("day", "yyyy-MM-dd")).alias("capture_id"), F.to_json(F.struct(F.struct("threadContainers").alias("threadDump"))).alias("text"))
