@@ -256,3 +256,146 @@ def class_chains(observed: DataFrame, threads_: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("initializers") == 0, "initializer-not-observed").when(F.col("initializers") > 1, "ambiguous-initializer").when(F.col("stuck"), "stall-candidate").otherwise("initializing")
     return per.where("waiters > 0").select(*keys, "class_name", "waiters", "initializers", status.alias("status"))
+
+
+def allocation_bounds(printed) -> F.Column:
+    """struct(minimum, maximum, resolution) in bytes of a printed counter: whole units are cut off, fractions may be rounded either way."""
+    digits, unit = F.regexp_extract(printed, r"^([0-9]+(?:\.[0-9]+)?) *([KMGTPkmgtp]?)B?$", 1), F.upper(F.regexp_extract(printed, r"^([0-9]+(?:\.[0-9]+)?) *([KMGTPkmgtp]?)B?$", 2))
+    scale = F.pow(F.lit(1024.0), F.when(unit != "", F.instr(F.lit("KMGTP"), unit)).otherwise(0))
+    decimals = F.length(F.regexp_extract(digits, r"\.([0-9]+)$", 1))
+    size = F.round(digits.try_cast("double") * scale)
+    resolution = F.greatest(F.lit(1.0), scale * F.pow(F.lit(10.0), -decimals))
+    low = F.when(decimals > 0, F.greatest(F.lit(0.0), F.floor(size - resolution))).otherwise(size)
+    return F.when(size.isNotNull(), F.struct(low.cast("long").alias("minimum"), (F.ceil(size + resolution) - 1).cast("long").alias("maximum"), resolution.alias("resolution")))
+
+
+def timestamp_quality(text) -> F.Column:
+    """struct(quality, timezone, epoch_ms) of a printed time: missing, invalid or valid; utc, offset or unspecified."""
+    shape = r"^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[ T]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]{1,3}))?\s*(Z|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})?\s*$"
+    part = lambda k: F.regexp_extract(text, shape, k)
+    clock = F.concat_ws(" ", part(1), part(2)).try_cast("timestamp_ntz")
+    zone = part(4)
+    minutes = F.regexp_extract(zone, r"([0-9]{2}):?([0-9]{2})", 1).try_cast("int") * 60 + F.regexp_extract(zone, r"([0-9]{2}):?([0-9]{2})", 2).try_cast("int")
+    offset = F.coalesce(minutes * F.when(zone.startswith("-"), -1).otherwise(1), F.lit(0)).cast("long") * 60_000
+    millis = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), clock) + F.coalesce(F.rpad(part(3), 3, "0").try_cast("int"), F.lit(0)) - offset
+    quality = F.when(text.isNull() | (F.trim(text) == ""), "missing").when(clock.isNull(), "invalid").otherwise("valid")
+    kind = F.when(quality != "valid", None).when(zone.isin("Z", "UTC", "GMT"), "utc").when(zone != "", "offset").otherwise("unspecified")
+    return F.struct(quality.alias("quality"), kind.alias("timezone"), millis.alias("epoch_ms"))
+
+
+def parse_status(marked: DataFrame) -> DataFrame:
+    """Per snapshot: threads, lines that look like a header but are none, blocks without state or frames, and success or partial."""
+    keys = ["capture_id", "snapshot_index"]
+    text = F.col("text")
+    torn = marked.groupBy(*keys).agg(F.count_if(text.startswith('"') & ~text.rlike(r'^".*"( #\d+|.* tid=0x)') & ~text.rlike(r'^".*":\s*$')).alias("unparsed"))
+    blocks = _blocks(marked).groupBy(*keys, "start_line").agg(F.bool_or(text.contains("java.lang.Thread.State:") | text.rlike(r"^\s*at ")).alias("body"))
+    per = blocks.groupBy(*keys).agg(F.count("*").alias("threads"), F.count_if(~F.col("body")).alias("header_only"))
+    both = torn.join(per, keys, "left").na.fill(0, ["threads", "header_only"])
+    return both.withColumn("status", F.when((F.col("unparsed") > 0) | (F.col("threads") == 0), "partial").otherwise("success"))
+
+
+def comparable(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Snapshots (status, embedded, scope, segment, process) with whether they can be compared with the one before: both whole, none with mounted virtual threads, and no scope, segment or process that is known to differ."""
+    w = Window.partitionBy(key).orderBy(order)
+    before = lambda c: F.lag(c).over(w)
+    whole = lambda s, e: (F.coalesce(s, F.lit("success")) == "success") & ~F.coalesce(e, F.lit(False))
+    same = F.lit(True)
+    for c in ("scope", "segment", "process"):
+        same = same & F.coalesce(F.col(c) == before(c), F.lit(True))
+    return rows.withColumn("comparable", (F.row_number().over(w) > 1) & whole(F.col("status"), F.col("embedded")) & whole(before("status"), before("embedded")) & same)
+
+
+def waits_for_http(frames, state) -> F.Column:
+    """Whether a waiting thread's frames hold a park, below it CompletableFuture.get, below it HttpClientImpl.send."""
+    method = F.transform(frames, lambda f: F.regexp_replace(F.regexp_replace(f, r"\(.*$", ""), r"^at (\S*/)?", ""))
+    park = F.array_position(F.transform(method, lambda m: m.rlike(r"^(jdk\.internal\.misc\.Unsafe|sun\.misc\.Unsafe|java\.util\.concurrent\.locks\.LockSupport)\.park(Nanos|Until)?$")), True)
+    future, send = F.array_position(method, "java.util.concurrent.CompletableFuture.get"), F.array_position(method, "jdk.internal.net.http.HttpClientImpl.send")
+    return state.isin("WAITING", "TIMED_WAITING") & (park > 0) & (future > park) & (send > future)
+
+
+def source_lines(marked: DataFrame, threads_: DataFrame) -> DataFrame:
+    """threads with local_line, the place of their header inside their snapshot, beside start_line, that in the file."""
+    keys = ["capture_id", "snapshot_index"]
+    first = marked.groupBy(*keys).agg(F.min("line_no").alias("first_line"))
+    return threads_.join(first, keys).withColumn("local_line", F.col("start_line") - F.col("first_line") + 1)
+
+
+def thread_evidence(threads_: DataFrame, locks: DataFrame, classes: DataFrame | None = None, deadlocked: DataFrame | None = None) -> DataFrame:
+    """threads with what filters and orders read: lock roles, waiters blocked by them, unresolved waits, class initialization, deadlock."""
+    keys = ["capture_id", "snapshot_index", "start_line"]
+    has = lambda *kinds: F.bool_or(F.col("kind").isin(*kinds))
+    roles = lock_roles(locks).join(locks.groupBy(*keys).agg(has("monitor-wait").alias("notified")), keys)
+    waits = locks.where(F.col("kind").isin(*CONTENDED)).select("capture_id", "snapshot_index", "lock_id", F.col("start_line").alias("waiter"))
+    holds = locks.where(F.col("kind").isin(*HOLDS)).select(*keys, "lock_id")
+    blocks = waits.join(holds, ["capture_id", "snapshot_index", "lock_id"]).groupBy(*keys).agg(F.count_distinct("waiter").alias("blocked_waiters"))
+    lost = relations(locks).where("resolution = 'owner-not-observed'").select("capture_id", "snapshot_index", F.col("waiter").alias("start_line"), F.lit(True).alias("unresolved")).distinct()
+    out = threads_.join(roles, keys, "left").join(blocks, keys, "left").join(lost, keys, "left")
+    if classes is not None:
+        out = out.join(classes.groupBy(*keys).agg(has("class-initialization-wait").alias("class_wait"), has("class-initializer").alias("class_initializer")), keys, "left")
+    else:
+        out = out.withColumn("class_wait", F.lit(False)).withColumn("class_initializer", F.lit(False))
+    out = out.join(deadlocked.select(*keys, F.lit(True).alias("deadlocked")).distinct(), keys, "left") if deadlocked is not None else out.withColumn("deadlocked", F.lit(False))
+    flags = ("monitor_waiter", "monitor_holder", "synchronizer_waiter", "synchronizer_holder", "notified", "unresolved", "class_wait", "class_initializer", "deadlocked")
+    return out.na.fill(0, ["blocked_waiters"]).select(*threads_.columns, "blocked_waiters", *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
+
+
+def block_filters() -> dict[str, F.Column]:
+    """Named predicates over `thread_evidence`; the neighbourhood of one lock is a semi join on `lock_neighbourhood`."""
+    c = F.col
+    contended = c("monitor_waiter") | c("synchronizer_waiter")
+    holds = c("monitor_holder") | c("synchronizer_holder")
+    blocked = c("java_state") == "BLOCKED"
+    classes = c("class_wait") | c("class_initializer")
+    return {
+        "everything": F.lit(True), "problems": c("deadlocked") | classes | blocked | contended | (c("blocked_waiters") > 0), "contended": contended | (c("blocked_waiters") > 0), "deadlocks": c("deadlocked"),
+        "blocked": blocked, "holders": holds, "holding-and-waiting": contended & holds, "monitor-enter": c("monitor_waiter"), "monitor-holders": c("monitor_holder"),
+        "synchronizer-wait": c("synchronizer_waiter"), "synchronizer-holders": c("synchronizer_holder"), "notification-wait": c("notified"), "class-initialization": classes, "unresolved": c("unresolved"),
+    }
+
+
+def lock_neighbourhood(locks: DataFrame, lock_id: str) -> DataFrame:
+    """Threads that hold or wait for one lock."""
+    return locks.where(F.lower("lock_id") == lock_id.strip().lower()).select("capture_id", "snapshot_index", "start_line").distinct()
+
+
+def evidence_order(evidence: DataFrame) -> DataFrame:
+    """`thread_evidence` with its priority class (0 to 7) and place in its snapshot: class, then name, then source key."""
+    f = block_filters()
+    contended = F.col("monitor_waiter") | F.col("synchronizer_waiter")
+    priority = (
+        F.when(F.col("deadlocked"), 0).when(F.col("class_initializer"), 1).when(F.col("class_wait"), 2).when(f["blocked"], 3).when(contended, 4).when(F.col("blocked_waiters") > 0, 5).when(f["holding-and-waiting"], 6).otherwise(7)
+    )
+    rows = evidence.withColumn("priority", priority)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("capture_id", "snapshot_index").orderBy("priority", "thread_name", "source_key")))
+
+
+def carriers(marked: DataFrame, threads_: DataFrame) -> DataFrame:
+    """Carrier and mounted virtual thread of a snapshot; null where the id is not that of exactly one thread and one carrier."""
+    keys = ["capture_id", "snapshot_index"]
+    named = F.nullif(F.regexp_extract("text", r"^\s*Carrying virtual thread #(\d+)", 1), F.lit(""))
+    carried = _blocks(marked).withColumn("jvm_id", named).where("jvm_id IS NOT NULL").select(*keys, F.col("start_line").alias("carrier_line"), "jvm_id").distinct()
+    carried = carried.withColumn("carriers", F.count("*").over(Window.partitionBy(*keys, "jvm_id")))
+    known = threads_.groupBy(*keys, "jvm_id").agg(F.count("*").alias("times"), F.min("start_line").alias("line"))
+    one = (F.col("carriers") == 1) & (F.col("times") == 1)
+    return carried.join(known, [*keys, "jvm_id"], "left").select(*keys, "carrier_line", "jvm_id", F.when(one, F.col("line")).alias("virtual_line"))
+
+
+def closed_loops(annotated: DataFrame) -> DataFrame:
+    """Per deadlock cycle of annotated entries (waiter_key, holder_key): entries, and whether the walk from the first one passes all and returns.
+
+    Each round moves every cycle's walk by one entry, all cycles at once; rounds follow the longest cycle.
+    """
+    cycle = ["capture_id", "snapshot_index", "cycle_id"]
+    entries = annotated.select(*cycle, "entry_no", "waiter_key", "holder_key", "mapped").checkpoint()
+    size = entries.groupBy(*cycle).agg(F.count("*").alias("entries"), F.count_distinct("waiter_key").alias("names"), F.bool_and("mapped").alias("all_mapped"))
+    start = entries.where("entry_no = 1").select(*cycle, F.col("waiter_key").alias("first"), F.col("holder_key").alias("at"), F.lit(1).alias("hops")).checkpoint()
+    walks = start.where("`at` <> first")
+    ended = start.where("`at` = first")
+    while walks.take(1):
+        step = walks.join(entries.select(*cycle, F.col("waiter_key").alias("at"), F.col("holder_key").alias("next")), [*cycle, "at"]).join(size.select(*cycle, "entries"), cycle)
+        moved = step.where("hops < entries").select(*cycle, "first", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops")).checkpoint()
+        ended = ended.unionByName(moved.where("`at` = first")).checkpoint()
+        walks = moved.where("`at` <> first")
+    met = ended.groupBy(*cycle).agg(F.max("hops").alias("hops"))
+    closed = F.col("all_mapped") & (F.col("names") == F.col("entries")) & F.coalesce(F.col("hops") == F.col("entries"), F.lit(False))
+    return size.join(met, cycle, "left").select(*cycle, "entries", closed.alias("closed"))
