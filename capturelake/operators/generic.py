@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder and read again, so that the plan of a loop does not grow and a lost executor costs no round."""
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_of(states: DataFrame, wanted: DataFrame, key: str, since: str, at: str, value: str) -> DataFrame:
     """Per wanted (key, at): the value of the latest state with since <= at; null where there is none."""
     met = wanted.join(states.select(key, since, value), key, "left").where(F.col(since).isNull() | (F.col(since) <= F.col(at)))
@@ -56,20 +66,20 @@ def reach(edges: DataFrame) -> DataFrame:
     every two nodes of a component: use `in_cycles` or `depths` where pairs are not wanted.
     """
     edges = edges.select("source", "target").distinct()
-    known = fresh = edges.checkpoint()
+    known = fresh = cut(edges)
     while True:
         step = fresh.alias("f").join(edges.alias("e"), F.col("f.target") == F.col("e.source")).select("f.source", "e.target").distinct()
-        fresh = step.join(known, ["source", "target"], "left_anti").checkpoint()
+        fresh = cut(step.join(known, ["source", "target"], "left_anti"))
         if not fresh.take(1):
             return known
-        known = known.unionByName(fresh).checkpoint()
+        known = cut(known.unionByName(fresh))
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the smallest label that reaches a node along edges (source, target), its own included."""
     while True:
         sent = edges.join(labels.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("met"))
-        new = labels.join(sent, "node", "left").select("node", F.least("label", "met").alias("label"), (F.col("met") < F.col("label")).alias("moved")).checkpoint()
+        new = cut(labels.join(sent, "node", "left").select("node", F.least("label", "met").alias("label"), (F.col("met") < F.col("label")).alias("moved")))
         if not new.where("moved").take(1):
             return new.drop("moved")
         labels = new.drop("moved")
@@ -82,27 +92,27 @@ def strong_components(edges: DataFrame) -> DataFrame:
     takes the smallest label that reaches it; those that their label's node is reached by, inside the same label, are its
     component and leave too; edges between labels fall away. Rows in memory never exceed nodes and edges.
     """
-    edges = edges.select("source", "target").distinct().checkpoint()
+    edges = cut(edges.select("source", "target").distinct())
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    done, left = [], edges.where("source <> target").checkpoint()
+    done, left = [], cut(edges.where("source <> target"))
     while True:
         while True:
             both = left.select(F.col("source").alias("node")).distinct().join(left.select(F.col("target").alias("node")).distinct(), "node")
-            kept = left.join(both.withColumnRenamed("node", "source"), "source", "left_semi").join(both.withColumnRenamed("node", "target"), "target", "left_semi").checkpoint()
+            kept = cut(left.join(both.withColumnRenamed("node", "source"), "source", "left_semi").join(both.withColumnRenamed("node", "target"), "target", "left_semi"))
             if kept.count() == left.count():
                 break
             left = kept
         if not left.take(1):
             break
         inner = left.select(F.col("source").alias("node")).distinct()
-        forward = _spread(inner.withColumn("label", F.col("node")), left).checkpoint()
+        forward = cut(_spread(inner.withColumn("label", F.col("node")), left))
         a, b = forward.withColumnsRenamed({"node": "source", "label": "label_a"}), forward.withColumnsRenamed({"node": "target", "label": "label_b"})
-        own = left.join(a, "source").join(b, "target").where("label_a = label_b").select("source", "target").checkpoint()
+        own = cut(left.join(a, "source").join(b, "target").where("label_a = label_b").select("source", "target"))
         back = own.select(F.col("target").alias("source"), F.col("source").alias("target"))
         start = forward.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).otherwise(F.lit(2**63 - 1)).alias("label"))
-        found = _spread(start, back).alias("b").join(forward.alias("f"), "node").where("b.label = f.label").select("node", F.col("f.label").alias("component")).checkpoint()
+        found = cut(_spread(start, back).alias("b").join(forward.alias("f"), "node").where("b.label = f.label").select("node", F.col("f.label").alias("component")))
         done.append(found)
-        left = own.join(found.withColumnRenamed("node", "source"), "source", "left_anti").join(found.withColumnRenamed("node", "target"), "target", "left_anti").checkpoint()
+        left = cut(own.join(found.withColumnRenamed("node", "source"), "source", "left_anti").join(found.withColumnRenamed("node", "target"), "target", "left_anti"))
     found = done[0] if done else nodes.select("node", F.col("node").alias("component")).limit(0)
     for more in done[1:]:
         found = found.unionByName(more)
@@ -121,14 +131,14 @@ def depths(edges: DataFrame) -> DataFrame:
 
     Rounds follow the longest path; since the condensed graph has no cycle they end.
     """
-    edges = edges.select("source", "target").distinct().checkpoint()
-    parts = strong_components(edges).checkpoint()
+    edges = cut(edges.select("source", "target").distinct())
+    parts = cut(strong_components(edges))
     a, b = parts.withColumnsRenamed({"node": "source", "component": "from"}), parts.withColumnsRenamed({"node": "target", "component": "to"})
-    links = edges.join(a, "source").join(b, "target").where("`from` <> `to`").select("from", "to").distinct().checkpoint()
-    level = parts.select(F.col("component").alias("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    links = cut(edges.join(a, "source").join(b, "target").where("`from` <> `to`").select("from", "to").distinct())
+    level = cut(parts.select(F.col("component").alias("node")).distinct().withColumn("depth", F.lit(0)))
     while True:
         longer = links.join(level.withColumnsRenamed({"node": "to"}), "to").groupBy(F.col("from").alias("node")).agg((F.max("depth") + 1).alias("d"))
-        new = level.join(longer, "node", "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.col("d") > F.col("depth")).alias("moved")).checkpoint()
+        new = cut(level.join(longer, "node", "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.col("d") > F.col("depth")).alias("moved")))
         level = new.drop("moved")
         if not new.where("moved").take(1):
             return parts.join(level.withColumnRenamed("node", "component"), "component").select("node", "depth")
@@ -148,3 +158,72 @@ def find_literal(rows: DataFrame, text: str, query: str) -> DataFrame:
     gaps = F.transform(F.split(F.lower(text), quoted, -1), lambda x: F.length(x))
     ends = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, b: a + b) + (i - 1) * len(wanted))
     return rows.where(F.contains(F.lower(text), F.lit(wanted))).withColumn("offset", F.explode(ends))
+
+
+def query_words(query: str) -> list[str]:
+    """Distinct words of a query in order."""
+    return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+
+
+def _hits(words, wanted: str):
+    """How a word list meets a query word: as a part of a word, a number only whole."""
+    return F.exists(words, (lambda w: w == wanted) if wanted.isdigit() else (lambda w: F.contains(w, F.lit(wanted))))
+
+
+def weighted_search(docs: DataFrame, query: str, key: str, title: str, terms: str, body: str) -> DataFrame:
+    """Documents in which every query word occurs: 8 for each in the title, else 4 in the terms, else 1, and 100 for the whole query in the title."""
+    wanted = query_words(query)
+    listed = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    rows = docs.select(key, F.lower(F.coalesce(title, F.lit(""))).alias("_t"), listed(title).alias("_a"), listed(terms).alias("_b"), listed(body).alias("_c"))
+    weights = [F.when(_hits("_a", w), 8).when(_hits("_b", w), 4).when(_hits("_c", w), 1) for w in wanted]
+    if not wanted:
+        return rows.select(key, F.lit(0).alias("score")).limit(0)
+    score = sum(weights, F.when(F.contains("_t", F.lit(query.lower().strip())), 100).otherwise(0))
+    return rows.select(key, score.alias("score")).where("score IS NOT NULL")
+
+
+def word_hits(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(key, start, end, word): where query words occur in a text, numbers only as whole words, each word's hits apart from each other.
+
+    Offsets count characters from 0; ends are exclusive.
+    """
+    found = docs.select(key, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("word")).limit(0)
+    for w in query_words(query):
+        pattern = "(?iu)" + (rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])" if w.isdigit() else w)
+        gaps = F.transform(F.split(F.col(text), pattern, -1), lambda x: F.length(x))
+        hits = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda x: F.length(x))
+        each = docs.where(F.col(text).rlike(pattern)).select(F.col(key), F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("pos", "x"))
+        upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        end = F.sum(F.col("x.gap") + F.coalesce(F.col("x.hit"), F.lit(0))).over(upto).cast("int")
+        ranges = each.select(key, end.alias("end"), F.col("x.hit").alias("hit")).where("hit IS NOT NULL")
+        found = found.unionByName(ranges.select(key, (F.col("end") - F.col("hit")).alias("start"), "end", F.lit(w).alias("word")))
+    return found
+
+
+def match_ranges(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(key, start, end): `word_hits`, overlapping ones as one range."""
+    order = Window.partitionBy(key).orderBy("start", F.desc("end"), "word")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = word_hits(docs, key, text, query).withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    return marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def best_excerpt(docs: DataFrame, key: str, text: str, query: str, width: int = 240, lead: int = 65) -> DataFrame:
+    """Per document with a match the window of `width` characters, begun `lead` before a match, that holds most different query words, the earliest of such: start, words, excerpt."""
+    hits = word_hits(docs, key, text, query)
+    starts = hits.select(key, F.greatest(F.lit(0), F.col("start") - lead).alias("from")).distinct()
+    # windows meet the hits of their own and the next stretch of `width` characters only
+    cell = lambda c: F.floor(c / width)
+    near = starts.withColumn("cell", F.explode(F.array(cell(F.col("from")), cell(F.col("from")) + 1)))
+    inside = near.join(hits.withColumn("cell", cell(F.col("start"))), [key, "cell"]).where((F.col("start") >= F.col("from")) & (F.col("end") <= F.col("from") + width))
+    counted = inside.groupBy(key, "from").agg(F.count_distinct("word").alias("words"))
+    best = counted.groupBy(key).agg(F.max_by("from", F.struct("words", -F.col("from"))).alias("from"), F.max("words").alias("words"))
+    return docs.join(best, key).select(key, F.col("from").alias("start"), "words", F.substring(F.col(text), F.col("from") + 1, F.lit(width)).alias("excerpt"))
+
+
+def availability(wanted: DataFrame, known_versions: list[int], file_formats: tuple[str, ...] = ("plain", "json"), formats: tuple[str, ...] = ("classic", "plain", "json", "tls"), since: int = 19) -> DataFrame:
+    """wanted (format, version, vm) with `available` (null where unknown) and status, in this order: an unknown format, an unknown version or VM, a file dump before `since`, available."""
+    known = F.col("version").isin(known_versions) & (F.col("vm") == "hotspot")
+    early = F.col("format").isin(*file_formats) & (F.col("version") < since)
+    status = F.when(~F.col("format").isin(*formats), "unknown format").when(~known, "not established").when(early, "not available").otherwise("available")
+    return wanted.withColumn("status", status).withColumn("available", F.when(F.col("status").isin("available", "not available"), F.col("status") == "available"))

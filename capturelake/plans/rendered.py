@@ -167,3 +167,15 @@ def json_dumps(events: DataFrame) -> DataFrame:
     box = box.select("user_id", "day", F.struct(F.col("event_type").alias("container"), (F.col("n") + F.when(F.col("event_type") == "error", 1).otherwise(0)).cast("string").alias("threadCount"), "threads").alias("box"))
     dump = box.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.col("box"))).alias("threadContainers"))
     return dump.select(F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("day", "yyyy-MM-dd")).alias("capture_id"), F.to_json(F.struct(F.struct("threadContainers").alias("threadDump"))).alias("text"))
+
+
+def carrier_dumps(events: DataFrame) -> DataFrame:
+    """Dumps of a day in which each user's worker carries a virtual thread; that of every fifth user is printed twice."""
+    e = _events(events)
+    day = e.select(F.to_date("at").alias("day"), "user_id").distinct()
+    user = F.col("user_id")
+    worker = F.format_string('"worker-%d" #%d prio=5 tid=0x%x nid=0x1 runnable\n   java.lang.Thread.State: RUNNABLE\n   Carrying virtual thread #%d\n', user, user + 1, user + 4096, user + 100_000)
+    virtual = F.format_string('"" #%d virtual\n\tat app.Task.run(Task.java:1)\n', user + 100_000)
+    head = day.select("day").distinct().select("day", F.lit(-1).cast("long").alias("us"), F.lit(0).alias("part"), F.lit("Full thread dump OpenJDK 64-Bit Server VM (21.0.1+12 mixed mode):\n").alias("line"))
+    piece = lambda rows, part, line: rows.select("day", user.alias("us"), F.lit(part).alias("part"), line.alias("line"))
+    return _keyed(head.unionByName(piece(day, 1, worker)).unionByName(piece(day, 2, virtual)).unionByName(piece(day.where("user_id % 5 = 0"), 3, virtual)), "day")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from capturelake.plans import catalogue, collector, dumps, findings, handshakes  # noqa: F401
+from capturelake.plans import catalogue, collector, dumps, findings, handshakes, searches  # noqa: F401
 
 
 @pytest.fixture(scope="session")
