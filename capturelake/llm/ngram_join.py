@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from capturelake.llm.common import base_columns, cut_lineage, mix64, row_blocks, shingles, utf8_buffers, words, written
 from capturelake.llm.components import components
 
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 _BLOCK = 4096
 _SHARD = 512
 #: Up to this many pairs of 8-byte keys are broadcast (they are counted first); beyond that the join is shuffled.
@@ -276,11 +276,13 @@ def _labelled_rows(df: DataFrame, width: int, percent: int, hot: int = HOT) -> D
                         c.append(v)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
+        pa.default_memory_pool().release_unused()
 
     def needed_sets(batches):
         for _, sets in _sets(batches, width):
             some = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in some], pa.int64()), pa.array([_ordered(s, cells.value).tobytes() for s in some], pa.binary())], ["id", "grams"])
+        pa.default_memory_pool().release_unused()
 
     holders = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("holder"))
 
@@ -317,6 +319,7 @@ def _labelled_rows(df: DataFrame, width: int, percent: int, hot: int = HOT) -> D
     done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cut_lineage(_candidates(left, percent).join(done.hint("merge"), ["a", "b"], "left_anti"))
     roots = components(links.unionByName(verified(cross, False).select("a", "b")))
+    cells.destroy()  # all that it served is checkpointed or written
 
     named = holders.join(roots.withColumnRenamed("id", "set_id").hint("merge"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     heads = named.groupBy("root").agg(F.min("holder").alias("head"))

@@ -180,18 +180,21 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     model.rate = min(low, 5.0)
     tails = [model.rate * r.best - math.log(r.n) for r in clean.where("best is not null").select("n", "best").collect()]  # at most max_per_class rows
     model.log_k = float(np.median(tails)) - 0.3665 if tails else 0.0
-    fitted = docs.sparkSession.sparkContext.broadcast(Model(model.counts, model.base, model.rest, model.rate, model.log_k))
+    rate, log_k = model.rate, model.log_k
 
     def measure(batches):
+        m = shared.value
+        fitted = Model(m.counts, m.base, m.rest, rate, log_k, known=m.known)
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                scores, segments = found(fitted.value, text)
-                out.append(fitted.value.features(len(scores), segments))
+                scores, segments = found(fitted, text)
+                out.append(fitted.features(len(scores), segments))
             columns = list(zip(*out, strict=True)) or [()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", "best", "total"])
 
     seen = rows.mapInArrow(measure, "toxic int, best double, total double").collect()  # at most 2 * max_per_class rows
+    shared.destroy()  # what it served is checkpointed or here
     x = np.array([(1.0, r.best, r.total) for r in seen])
     y = np.array([r.toxic for r in seen], float)
     w, center, scale = np.zeros(3), np.array([0, *x[:, 1:].mean(0)]), np.array([1, *(x[:, 1:].std(0) + 1e-9)])
