@@ -13,7 +13,7 @@ anchor form a record, at most 368 bytes of text. Records of equal bytes are one
 
 An anchor with more than `hot` contents is compared by counting its windows' hashes with map-side combining instead, so
 no group of any size meets in one task. Windows are compared by 64-bit hashes of their left part and real bytes of
-their right part. Null text counts as empty; texts are taken up to 256 MB; equal rows are repeats of each other.
+their right part. Null text counts as empty; a text over 256 MB is an error, never cut; equal rows are repeats of each other.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 def records(data: np.ndarray, offsets: np.ndarray, window: int):
     """Of a block of rows: row, anchor hash, first window, last window, anchor position (block byte offsets)."""
     none = np.zeros(0, np.int64)
+    if len(data) > 2**28:
+        raise ValueError("a text is longer than 256 MB: split it first, its positions have 28 bits")
     if len(data) < window or not (np.diff(offsets) >= window).any():
         return none, none.astype(np.uint64), none, none, none
     with np.errstate(over="ignore"):
