@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from capturelake.operators import blocking, evidence, ordering, series, threads
+from capturelake.operators import blocking, evidence, ordering, patterns, series, threads
 from capturelake.plans import rendered
 from capturelake.plans.catalogue import _DAY, _E, _EDGES, _ROLES, _SES, _checkpoints, _dump, _session, _table, query
 
@@ -305,3 +305,30 @@ def w7_earlier_evidence(spark, sf_dir):
     seen = named.join(locks, ["capture_id", "start_line"]).select("session", "series", "snapshot", "lock_id", F.lit("previously-waited-on-lock").alias("relation"), F.lit(None).cast("int").alias("waiters"))
     found = blocking.earlier_evidence(named.where("java_state = 'TIMED_WAITING'").select("session", "series", "snapshot"), seen)
     return found.select("session", "series", F.col("last_point").cast("int").alias("last_point"), "lock_id", F.col("first_seen").cast("int").alias("first_seen"), F.col("last_seen").cast("int").alias("last_seen"), "times")
+
+
+# --- patterns and scenarios ----------------------------------------------------------
+
+
+def _scored(spark, sf_dir):
+    marked = _trouble(spark, sf_dir)
+    detail = marked.select("capture_id", F.regexp_extract("text", r"java\.lang\.Thread\.State: [A-Z_]+ \(([^)]*)\)", 1).alias("state_detail"), (F.col("line_no") - 1).alias("start_line")).where("state_detail <> ''")
+    return marked, patterns.scored(threads.threads(marked).join(detail, ["capture_id", "start_line"], "left"))
+
+
+@query("a6_pattern_scores", _DAY + " SELECT capture_id, 'user-' || user_id AS thread_name, 'parked' AS key, 80 AS score, 'medium' AS confidence FROM t WHERE kind = 'click'")
+def a6_pattern_scores(spark, sf_dir):
+    rows = _scored(spark, sf_dir)[1]
+    return rows.select("capture_id", "thread_name", F.explode("patterns").alias("p")).select("capture_id", "thread_name", "p.key", "p.score", "p.confidence")
+
+
+@query("a7_scenarios", _DAY + _PAIRS + ", dd AS (SELECT capture_id, user_id FROM z UNION ALL SELECT capture_id, user_id + 1 FROM z), cw AS (SELECT DISTINCT capture_id, user_id % 5 AS c FROM t WHERE kind = 'error'), sc AS (SELECT t.capture_id, t.user_id, CASE WHEN dd.user_id IS NOT NULL THEN 'deadlock' WHEN kind = 'error' THEN 'class-initialization-wait' WHEN kind = 'signup' AND cw.c IS NOT NULL THEN 'class-initializer-with-waiters' WHEN kind = 'click' THEN 'parked' END AS scenario FROM t LEFT JOIN dd USING (capture_id, user_id) LEFT JOIN cw ON cw.capture_id = t.capture_id AND cw.c = t.user_id % 5) SELECT capture_id, scenario, CASE scenario WHEN 'deadlock' THEN 'critical' WHEN 'parked' THEN 'info' WHEN NULL THEN NULL ELSE CASE WHEN scenario IS NOT NULL THEN 'medium' END END AS severity, count(*) AS n FROM sc GROUP BY ALL")
+def a7_scenarios(spark, sf_dir):
+    marked, rows = _scored(spark, sf_dir)
+    keys = ["capture_id", "snapshot_index", "start_line"]
+    classes = threads.class_initialization(marked)
+    waited = threads.class_chains(classes, threads.threads(marked)).select("capture_id", "snapshot_index", "class_name")
+    of_class = classes.join(waited, ["capture_id", "snapshot_index", "class_name"], "left_semi").groupBy(*keys).agg(F.bool_or(F.col("kind") == "class-initialization-wait").alias("class_wait"), F.bool_or(F.col("kind") == "class-initializer").alias("class_initializer"))
+    dead = threads.deadlock_entries(marked).select("capture_id", "snapshot_index", "thread_name").distinct().withColumn("deadlocked", F.lit(True))
+    told = patterns.scenario(rows.join(of_class, keys, "left").join(dead, ["capture_id", "snapshot_index", "thread_name"], "left"))
+    return told.groupBy("capture_id", "scenario", F.col("scenario_severity").alias("severity")).agg(F.count("*").alias("n"))

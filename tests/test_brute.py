@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from capturelake.operators import clusters, gc, generic, threads
+from capturelake.operators import clusters, gc, generic, patterns, threads
 from capturelake.sources import captures
 
 
@@ -130,3 +130,14 @@ def test_collector_log_by_hand(spark):
 def test_allocation_bounds_and_unknown_sizes(spark):
     one = spark.createDataFrame([("12",), ("3K",), ("1.5M",), ("odd",), (None,)], "p string").select(threads.allocation_bounds(F.col("p")).alias("b")).collect()
     assert [r.b and (r.b.minimum, r.b.maximum) for r in one] == [(12, 12), (3072, 4095), (1468006, 1677721), None, None]
+
+
+def test_pattern_points(spark):
+    q, g, s, p = "at java.base@21/java.util.concurrent.LinkedBlockingQueue.take(L.java:1)", "at java.util.concurrent.ThreadPoolExecutor.getTask(T.java:2)", "at java.lang.Thread.sleep(Native Method)", "at java.util.concurrent.locks.LockSupport.parkNanos(L.java:3)"
+    rows = [(1, [q, g], "WAITING", None), (2, [g], "RUNNABLE", None), (3, [s, p], "TIMED_WAITING", "sleeping"), (4, [p], "WAITING", "parking"), (5, [], "WAITING", "parking"), (6, [], "RUNNABLE", None)]
+    got = {r.k: [(p.key, p.score, p.confidence) for p in r.patterns] for r in patterns.scored(spark.createDataFrame(rows, "k int, frames array<string>, java_state string, state_detail string")).collect()}
+    assert got == {
+        1: [("executor-idle", 100, "high")], 2: [("executor-idle", 45, "low")], 3: [("sleeping", 85, "high"), ("parked", 85, "high")], 4: [("parked", 95, "high")], 5: [("parked", 80, "medium")], 6: [],
+    }
+    told = patterns.scenario(patterns.scored(spark.createDataFrame(rows, "k int, frames array<string>, java_state string, state_detail string")).withColumn("cpu_hot", F.col("k") == 6).withColumn("carrier", F.col("k") == 2))
+    assert [r.scenario for r in told.orderBy("k").collect()] == ["executor-idle", "carrier-thread", "sleeping", "parked", "parked", "cpu-hot"]
