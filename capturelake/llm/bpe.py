@@ -79,12 +79,11 @@ class Codec:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        """The tokens' bytes; an id outside the vocabulary (or null) stands for the replacement character U+FFFD."""
-        try:
-            if min(ids, default=0) >= 0:
-                return b"".join(map(self.token_bytes.__getitem__, ids))
-        except (IndexError, TypeError):
-            pass
+        """The bytes of ids of this vocabulary."""
+        return b"".join(map(self.token_bytes.__getitem__, ids))
+
+    def decode_any(self, ids: list[int | None]) -> bytes:
+        """The bytes of any ids; one outside the vocabulary, or null, stands for the replacement character U+FFFD."""
         known = self.token_bytes
         return b"".join(known[i] if i is not None and 0 <= i < len(known) else b"\xef\xbf\xbd" for i in ids)
 
@@ -140,12 +139,12 @@ def encode(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", tex
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """One row per input row: the key and the UTF-8 bytes that the ids stand for (binary: ids may end inside a character)."""
+    """One row per input row: the key and the UTF-8 bytes that the ids stand for (binary: ids may end inside a character); see `Codec.decode_any` for other ids."""
 
     def run(batches):
         c = codec(rank_path, pattern)
         for batch in batches:
-            raw = [c.decode(i or []) for i in batch.column(ids).to_pylist()]
+            raw = [c.decode_any(i or []) for i in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(raw, pa.binary())], ["id", "bytes"])
 
     schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("bytes", T.BinaryType())])
