@@ -130,17 +130,6 @@ def test_license_families(spark):
     assert (got[1].n_licence, got[1].n_unknown) == (0, 1) and got[2].families == "apache-2.0" and got[3].n_unknown == 0
 
 
-def test_wrapped_notices(spark):
-    """Notices broken over lines, alone and between other paragraphs, and a text of several."""
-    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
-    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"
-    docs = [(1, bsd), (2, f"A word before.\n\n{isc}\n\nA word after."), (3, f"{bsd}\n * \n{isc}"), (4, f"{isc}\r\n\r\n{isc}"), (5, "\n\n"), (6, None)]
-    plain = read(spark, LARGE, "documents").select("doc_id", "text").where("doc_id > 100").limit(300)
-    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string").unionByName(plain)).where("doc_id < 10").collect()}
-    assert [got[i].families for i in range(1, 7)] == ["bsd", "isc", "bsd,isc", "isc", "", ""]
-    assert [got[i].n_paragraphs for i in range(1, 7)] == [1, 3, 2, 2, 0, 0]
-
-
 @pytest.mark.parametrize("stage", ["secrets", "mixing", "licenses", "toxicity", "keep_one"])
 def test_edges(spark, sf_dir, stage):
     labels = read(spark, sf_dir, "labels")
