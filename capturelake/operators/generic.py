@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(context: SparkContext) -> str:
+    """The folder named by the session. A cluster must name one; a local master, all in one process, may use a temporary one."""
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder and read again, so that the plan of a loop does not grow and a lost executor costs no round."""
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    path = f"{checkpoint_folder(df.sparkSession.sparkContext)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -152,12 +164,18 @@ def set_sides(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def find_literal(rows: DataFrame, text: str, query: str) -> DataFrame:
-    """One row per occurrence of a literal, whatever its case, with its offset from 0; occurrences do not overlap."""
+    """One row per occurrence of a literal, whatever its case, with its offset from 0; occurrences do not overlap.
+
+    The gaps between occurrences are summed by a window over a row's own gaps, so work is linear in the text.
+    """
     wanted = query.lower()
     quoted = "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in wanted)
     gaps = F.transform(F.split(F.lower(text), quoted, -1), lambda x: F.length(x))
-    ends = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda a, b: a + b) + (i - 1) * len(wanted))
-    return rows.where(F.contains(F.lower(text), F.lit(wanted))).withColumn("offset", F.explode(ends))
+    found = rows.where(F.contains(F.lower(text), F.lit(wanted))).withColumn("_row", F.monotonically_increasing_id())
+    order = Window.partitionBy("_row").orderBy("_pos")
+    end = F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_pos") * len(wanted)
+    each = found.select("*", F.posexplode(gaps).alias("_pos", "_gap")).withColumn("offset", end.cast("int")).withColumn("_rest", F.lead("_pos").over(order).isNull())
+    return each.where("NOT _rest").select(*rows.columns, "offset")
 
 
 def query_words(query: str) -> list[str]:

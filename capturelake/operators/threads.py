@@ -5,25 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.operators import carry
+
 _BOUNDARY = r"^Full thread dump "
 _STAMP = r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d"
 
 
-def snapshots(lines: DataFrame) -> DataFrame:
-    """lines with snapshot_index: a boundary line, moved up to a timestamp just above it; earlier text belongs to snapshot 0."""
-    w = Window.partitionBy("capture_id").orderBy("line_no")
-    ahead, own = F.lead("text").over(w), F.col("text")
-    stamped = own.rlike(_STAMP) & F.coalesce(ahead.rlike(_BOUNDARY), F.lit(False))
-    bare = own.rlike(_BOUNDARY) & ~F.coalesce(F.lag("text").over(w).rlike(_STAMP), F.lit(False))
-    flagged = lines.withColumn("starts", (stamped | bare).cast("int"))
-    return flagged.withColumn("snapshot_index", F.greatest(F.lit(0), F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)).drop("starts")
+#: What a line may be at the head of a snapshot, by letter: the boundary, a clock, a clock in ISO form, a process id, a number alone, a version.
+_SHAPES = (
+    ("B", _BOUNDARY),
+    ("S", r"^\s*\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\s*$"),
+    ("I", r"^\s*\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?\s*$"),
+    ("P", r"^\s*[1-9]\d*:\s*$"),
+    ("D", r"^\s*\d+\s*$"),
+    ("V", r"^\d+[.\-+]"),
+)
+
+
+def snapshots(lines: DataFrame, width: int | None = None) -> DataFrame:
+    """lines with snapshot_index; text before the first snapshot belongs to it, and a capture without a boundary is one.
+
+    A snapshot begins at its boundary line, or above it: at a clock line, at a process id above that clock, at a
+    collector's ISO clock above both. A dump to a file begins with a number, a clock and a version, one a line.
+    """
+    shape = F.coalesce(*[F.when(F.col("text").rlike(p), letter) for letter, p in _SHAPES], F.lit("-"))
+    near = carry.beside(lines.withColumn("shape", shape), ["capture_id"], "line_no", 3, width, up=(-1, F.col("shape")), down=(1, F.col("shape")), down2=(2, F.col("shape")), down3=(3, F.col("shape")))
+    own, up, down, down2, down3 = (F.coalesce(c, F.lit("-")) for c in ("shape", "up", "down", "down2", "down3"))
+    clock = lambda c: c.isin("S", "I")
+    starts = (
+        ((own == "B") & ~clock(up))
+        | (clock(own) & (down == "B") & (up != "P"))
+        | ((own == "P") & clock(down) & (down2 == "B") & (up != "I"))
+        | ((own == "I") & (down == "P") & clock(down2) & (down3 == "B"))
+        | ((own == "D") & clock(down) & down2.isin("V", "D", "S", "I"))
+    )
+    flagged = near.withColumn("starts", starts.cast("int")).select(*lines.columns, "starts")
+    counted = carry.carried(flagged, ["capture_id"], carry.stretch("line_no", width), ["line_no"], snapshot_index=carry.total(F.col("starts")))
+    return counted.select(*lines.columns, F.greatest(F.lit(0), F.col("snapshot_index") - 1).alias("snapshot_index"))
 
 
 def snapshot_times(marked: DataFrame) -> DataFrame:
     """Per snapshot: raw timestamp, epoch_ms, and its order against the one before (first, ordered, duplicate, reversed, unavailable)."""
     raw = marked.groupBy("capture_id", "snapshot_index").agg(F.min_by("text", F.when(F.col("text").rlike(_STAMP), F.col("line_no"))).alias("t"))
     raw = raw.withColumn("timestamp_raw", F.nullif(F.regexp_extract("t", r"^(\S+ \S+)", 1), F.lit(""))).withColumn("epoch_ms", F.unix_millis(F.try_to_timestamp("timestamp_raw")))
-    before = F.lag("epoch_ms").over(Window.partitionBy("capture_id").orderBy("snapshot_index"))
+    raw = carry.beside(raw, ["capture_id"], "snapshot_index", 1, before=(-1, F.col("epoch_ms")))
+    before = F.col("before")
     status = F.when(F.col("snapshot_index") == 0, "first").when(F.col("epoch_ms").isNull() | before.isNull(), "unavailable").when(F.col("epoch_ms") == before, "duplicate").when(F.col("epoch_ms") < before, "reversed").otherwise("ordered")
     return raw.select("capture_id", "snapshot_index", "timestamp_raw", "epoch_ms", status.alias("ordering_status"), (F.col("epoch_ms") - before).alias("gap_ms"))
 

@@ -6,9 +6,6 @@ events alone and never sees the text.
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import functions as F
 
 from capturelake.operators import gc, generic, series, threads, tls
@@ -39,15 +36,23 @@ def _table(spark, sf_dir, name):
 
 
 def _gc_lines(spark, sf_dir):
-    return rendered.lines(rendered.gc_logs(_table(spark, sf_dir, "events")))
+    return generic.cut(rendered.lines(rendered.gc_logs(_table(spark, sf_dir, "events"))))
+
+
+def _gc_events(spark, sf_dir):
+    return generic.cut(gc.events(_gc_lines(spark, sf_dir)))
 
 
 def _dump(spark, sf_dir):
-    return threads.snapshots(rendered.lines(rendered.thread_dumps(_table(spark, sf_dir, "events"))))
+    return generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.thread_dumps(_table(spark, sf_dir, "events"))))))
+
+
+def _tls_records(spark, sf_dir):
+    return generic.cut(tls.records(generic.cut(rendered.lines(rendered.tls_logs(_table(spark, sf_dir, "events"))))))
 
 
 def _tls(spark, sf_dir):
-    return tls.interactions(tls.records(rendered.lines(rendered.tls_logs(_table(spark, sf_dir, "events")))))
+    return tls.interactions(_tls_records(spark, sf_dir))
 
 
 def _us(c):
@@ -55,13 +60,7 @@ def _us(c):
 
 
 def _checkpoints(spark):
-    """The folder named by the session. A cluster must name one; a local master, all in one process, may use a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    generic.checkpoint_folder(spark.sparkContext)
 
 
 # --- sources -----------------------------------------------------------------
@@ -120,13 +119,13 @@ _UNION = "p AS (SELECT *, max(end_us) OVER (PARTITION BY capture_id ORDER BY sta
     _GC + f", {_UNION} SELECT g.capture_id, count(*) FILTER (WHERE kind = 'pause') AS pauses, CAST(coalesce(sum(n) FILTER (WHERE kind = 'pause'), 0) AS BIGINT) AS total_us, max(n) FILTER (WHERE kind = 'pause') AS max_us, CAST(quantile_disc(n, 0.95) FILTER (WHERE kind = 'pause') AS BIGINT) AS p95_us, max(end_us) - min(start_us) AS observed_us, CAST(any_value(coalesce(covered, 0)) AS BIGINT) AS covered_us, count(after_mb) AS heap_samples FROM g LEFT JOIN u USING (capture_id) GROUP BY g.capture_id",
 )
 def a15_gc_pause_stats(spark, sf_dir):
-    s = gc.pause_stats(gc.events(_gc_lines(spark, sf_dir)))
+    s = gc.pause_stats(_gc_events(spark, sf_dir))
     return s.select("capture_id", "pauses", _us("total_pause_ms").alias("total_us"), _us("max_pause_ms").alias("max_us"), _us("p95_pause_ms").alias("p95_us"), _us("observed_ms").alias("observed_us"), F.coalesce(_us("covered"), F.lit(0)).alias("covered_us"), "heap_samples")
 
 
 @query("w10_pause_union", _GC + f", {_UNION} SELECT capture_id, CAST(covered AS BIGINT) AS covered_us FROM u")
 def w10_pause_union(spark, sf_dir):
-    return gc.interval_union(gc.events(_gc_lines(spark, sf_dir)).where("kind = 'pause'"), "capture_id", "start_ms", "end_ms").select("capture_id", _us("covered").alias("covered_us"))
+    return gc.interval_union(_gc_events(spark, sf_dir).where("kind = 'pause'"), "capture_id", "start_ms", "end_ms").select("capture_id", _us("covered").alias("covered_us"))
 
 
 _FINDINGS = ", f AS (SELECT capture_id, 'pause-budget' AS rule, 'warning' AS severity FROM g WHERE kind = 'pause' AND n > 5000 UNION ALL SELECT capture_id, 'full', 'info' FROM g WHERE event_type = 'purchase' UNION ALL SELECT capture_id, 'occupancy', 'warning' FROM g WHERE after_mb >= 90 UNION ALL SELECT capture_id, 'jvm-signal', 'critical' FROM g WHERE kind = 'stall')"
@@ -134,7 +133,7 @@ _FINDINGS = ", f AS (SELECT capture_id, 'pause-budget' AS rule, 'warning' AS sev
 
 def _findings(spark, sf_dir):
     lines = _gc_lines(spark, sf_dir)
-    return gc.findings(gc.events(lines), gc.signals(lines), budget_ms=5.0)
+    return gc.findings(generic.cut(gc.events(lines)), gc.signals(lines), budget_ms=5.0)
 
 
 @query("a16_gc_findings", _GC + _FINDINGS + " SELECT capture_id, rule, severity, count(*) AS n FROM f GROUP BY ALL")
@@ -171,17 +170,17 @@ def p6_gc_event_filter(spark, sf_dir):
 
 @query("w12_gc_event_window", _GC + " SELECT capture_id, gc_id, min(start_us) OVER w AS from_us, max(end_us) OVER w AS to_us FROM g WINDOW w AS (PARTITION BY capture_id ORDER BY start_us, us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 def w12_gc_event_window(spark, sf_dir):
-    return gc.neighbours(gc.events(_gc_lines(spark, sf_dir))).select("capture_id", "gc_id", _us("from_ms").alias("from_us"), _us("to_ms").alias("to_us"))
+    return gc.neighbours(_gc_events(spark, sf_dir)).select("capture_id", "gc_id", _us("from_ms").alias("from_us"), _us("to_ms").alias("to_us"))
 
 
 @query("a22_gc_overview", _GC + " SELECT capture_id, max(n) AS longest_us FROM g WHERE kind = 'pause' GROUP BY 1")
 def a22_gc_overview(spark, sf_dir):
-    return gc.overview(gc.events(_gc_lines(spark, sf_dir))).groupBy("capture_id").agg(F.max("longest_ms").alias("longest_ms")).select("capture_id", _us("longest_ms").alias("longest_us"))
+    return gc.overview(_gc_events(spark, sf_dir)).groupBy("capture_id").agg(F.max("longest_ms").alias("longest_ms")).select("capture_id", _us("longest_ms").alias("longest_us"))
 
 
 @query("a22_gc_overview_bins", _GC + ", b AS (SELECT capture_id, min(start_us) AS lo, max(end_us) AS hi FROM g GROUP BY 1) SELECT capture_id, CAST(least(399, floor((start_us / 1000.0::DOUBLE - lo / 1000.0::DOUBLE) / (hi / 1000.0::DOUBLE - lo / 1000.0::DOUBLE) * 400)) AS INTEGER) AS bin, max(n) AS longest_us FROM g JOIN b USING (capture_id) WHERE kind = 'pause' GROUP BY ALL")
 def a22_gc_overview_bins(spark, sf_dir):
-    return gc.overview(gc.events(_gc_lines(spark, sf_dir))).select("capture_id", "bin", _us("longest_ms").alias("longest_us"))
+    return gc.overview(_gc_events(spark, sf_dir)).select("capture_id", "bin", _us("longest_ms").alias("longest_us"))
 
 
 # --- thread dumps ------------------------------------------------------------
@@ -476,7 +475,7 @@ def k6_top_locks(spark, sf_dir):
 
 @query("l1_tls_records", _TLS + " SELECT capture_id, tid, ms AS epoch_ms, 3 AS line_count, count(*) AS n FROM r GROUP BY ALL")
 def l1_tls_records(spark, sf_dir):
-    return tls.records(rendered.lines(rendered.tls_logs(_table(spark, sf_dir, "events")))).groupBy("capture_id", "tid", "epoch_ms", "line_count").agg(F.count("*").alias("n"))
+    return _tls_records(spark, sf_dir).groupBy("capture_id", "tid", "epoch_ms", "line_count").agg(F.count("*").alias("n"))
 
 
 @query("l3_tls_interactions", _TLS + " SELECT * FROM i")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capturelake.operators import evidence, series, threads, tls
 from capturelake.plans import rendered
-from capturelake.plans.catalogue import _DAY, _SES, _TLS, _dump, _session, _table, query
+from capturelake.plans.catalogue import _DAY, _SES, _TLS, _dump, _session, _table, _tls_records, query
 
 _INTERVAL = ", q AS (SELECT *, m > m0 AND abs(gap - (m - m0) * 1000) > 1010 AS apart FROM l), iv AS (SELECT *, 'user-' || user_id AS thread_name, CASE WHEN apart THEN 'conflicting' ELSE 'reliable' END AS quality, CASE WHEN apart THEN NULL WHEN m > m0 THEN (m - m0) * 1000 ELSE gap END AS interval_ms FROM q)"
 _MINUTES = ", mi AS (SELECT *, gap // 1440 AS ms, round((cpu - cpu0) * 100.0::DOUBLE / (gap // 1440), 6) AS pct, (cpu - cpu0) * 100000000.0::DOUBLE / (gap // 1440) AS bytes_s FROM l WHERE cpu >= cpu0)"
@@ -161,7 +161,7 @@ _FACTS = _TLS + ", fa AS (SELECT capture_id, tid, CAST(interaction AS BIGINT) AS
 
 
 def _facts(spark, sf_dir):
-    return tls.interaction_facts(tls.records(rendered.lines(rendered.tls_logs(_table(spark, sf_dir, "events")))))
+    return tls.interaction_facts(_tls_records(spark, sf_dir))
 
 
 @query("l5_failure_keys", _FACTS + " SELECT capture_id, tid, interaction, CASE WHEN failed THEN 'fatal_handshake_failure' END AS failure_key, ambiguous, outcome FROM fc")

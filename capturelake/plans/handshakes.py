@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from capturelake.operators import tls
+from capturelake.operators import generic, tls
 from capturelake.plans import rendered
 from capturelake.plans.catalogue import _E, _JAN, BASE_US, _table, query
 
@@ -21,8 +21,12 @@ _FACTS = (
 _ENTRIES = _FACTS + ", n AS (SELECT capture_id, tid, interaction, lower(concat_ws(' | ', outcome, direction, tid, sni, sni, tls_version, cipher_suite, failure_key)) AS search, lower(sni) AS host, lower(sni) AS sni, CASE WHEN outcome = 'failure' THEN coalesce(failure_key, 'other') END AS failure, outcome, direction, CASE WHEN time_quality = 'reliable' THEN start_ms END AS start_ms, CASE WHEN time_quality = 'reliable' THEN end_ms END AS end_ms FROM f)"
 
 
+def _records(spark, sf_dir):
+    return generic.cut(tls.records(generic.cut(rendered.lines(rendered.handshakes(_table(spark, sf_dir, "events"))))))
+
+
 def _placed(spark, sf_dir):
-    return tls.placed(tls.records(rendered.lines(rendered.handshakes(_table(spark, sf_dir, "events")))))
+    return tls.placed(_records(spark, sf_dir))
 
 
 def _facts(spark, sf_dir):
@@ -35,7 +39,7 @@ def _entries(spark, sf_dir):
 
 @query("l2_zoned_times", _FACTS + " SELECT capture_id, tid, ms AS epoch_ms, count(*) AS n FROM r GROUP BY ALL")
 def l2_zoned_times(spark, sf_dir):
-    return tls.records(rendered.lines(rendered.handshakes(_table(spark, sf_dir, "events")))).groupBy("capture_id", "tid", "epoch_ms").agg(F.count("*").alias("n"))
+    return _records(spark, sf_dir).groupBy("capture_id", "tid", "epoch_ms").agg(F.count("*").alias("n"))
 
 
 @query("l3_retried_hellos", _FACTS + " SELECT capture_id, tid, interaction, count(*) AS records FROM p GROUP BY ALL")
@@ -55,7 +59,7 @@ def l8_ambiguous_handshakes(spark, sf_dir):
 
 @query("l7_tls_alerts", f"WITH {_E} SELECT CAST(user_id % 20 AS VARCHAR) AS capture_id, CASE event_id % 3 WHEN 1 THEN 'fatal' ELSE 'warning' END AS level, CASE event_id % 3 WHEN 1 THEN 'bad_certificate' ELSE 'close_notify' END AS description, 'Received' AS origin, event_id % 3 = 1 AS failure, count(*) AS n FROM e WHERE event_type = 'error' AND event_id % 3 <> 0 GROUP BY ALL")
 def l7_tls_alerts(spark, sf_dir):
-    rows = tls.records(rendered.lines(rendered.handshakes(_table(spark, sf_dir, "events"))))
+    rows = _records(spark, sf_dir)
     return rows.select("capture_id", tls.alert(F.col("message"), F.col("body"), F.lit("TLSv1.2")).alias("a")).where("a IS NOT NULL").groupBy("capture_id", "a.level", "a.description", "a.origin", "a.failure").agg(F.count("*").alias("n"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capturelake.operators import carry
+
 MAX_BYTES = 64 * 1024 * 1024
 
 
@@ -34,14 +36,10 @@ def duplicates(captures: DataFrame) -> DataFrame:
 def numbered(pieces: DataFrame, bucket: F.Column, *order: str) -> DataFrame:
     """capture_id, line_no, text of pieces (capture_id, order columns, line: one or more lines) without gathering a capture.
 
-    Lines are numbered inside (capture_id, bucket), where the bucket grows with the order; the counts of the buckets
-    before are added. So a long capture is numbered by many tasks.
+    The bucket is a whole number that grows with the order: lines are numbered in many tasks, whatever a capture's length.
     """
-    each = pieces.select("capture_id", bucket.alias("bucket"), *order, F.posexplode(F.split("line", "\n")).alias("pos", "text"))
-    before = Window.partitionBy("capture_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = each.groupBy("capture_id", "bucket").agg(F.count("*").alias("n")).select("capture_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("capture_id", "bucket").orderBy(*order, "pos"))
-    return each.withColumn("place", place).join(offsets, ["capture_id", "bucket"]).select("capture_id", (F.col("place") + F.col("offset")).cast("int").alias("line_no"), "text")
+    each = pieces.select("capture_id", bucket.cast("long").alias("part_of"), *order, F.posexplode(F.split("line", "\n")).alias("pos", "text"))
+    return carry.numbered(each, ["capture_id"], F.col("part_of"), [*order, "pos"]).select("capture_id", F.col("place").cast("int").alias("line_no"), "text")
 
 
 def lines(captures: DataFrame) -> DataFrame:
