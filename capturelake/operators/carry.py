@@ -1,9 +1,9 @@
 """Running sums, maxima and last values, places and neighbours in sequences of any length.
 
 A sequence (the lines of a capture) is cut into buckets that follow its order. Inside a bucket a window does the work; what
-a bucket passes on is one row, and what all buckets before one pass on is put together from blocks of 1, 2, 4, ... buckets,
-as the ones of the bucket's number written in binary ask for. So no task holds a sequence, nor the totals of all its
-buckets, and every step is a grouping or an equi-join.
+a bucket passes on is one row. A window over the rows of a thousand buckets, a shelf, carries them on; what all shelves
+before one pass on is put together from blocks of 1, 2, 4, ... shelves, as the ones of the shelf's number written in binary
+ask for. So no task holds a sequence, nor the totals of all its buckets; the steps beyond a bucket are short tables.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a bucket where the caller names no other width; results don't depend on it.
 WIDTH = 100_000
-#: Doublings of the blocks: bucket numbers are below 2 ** LEVELS.
-LEVELS = 40
+#: Buckets of a shelf as a power of two, and doublings of the blocks: bucket numbers are below 2 ** (SHELF + LEVELS).
+SHELF, LEVELS = 10, 30
 
 
 class Carried(NamedTuple):
@@ -51,19 +51,30 @@ def _merged(how: str, value: str, at: str) -> Column:
 def before_buckets(totals: DataFrame, key: list[str], bucket: str, hows: dict[str, str]) -> DataFrame:
     """totals (key, bucket, one column for each of `hows`: sum, max or last): per row the columns over the buckets before.
 
-    Buckets are whole numbers from 0; those without a row pass nothing on. The first bucket of a key has no row.
+    Buckets are whole numbers from 0; those without a row pass nothing on.
     """
-    b = F.col(bucket)
-    checked = totals.where(F.when((b >= 0) & (b < 2**LEVELS), True).otherwise(F.raise_error(F.lit("a bucket number is out of range")).cast("boolean")))
-    bits = F.sequence(F.lit(0), F.lit(LEVELS - 1))
-    odd = lambda n: F.expr(f"shiftright({bucket}, {n})").bitwiseAND(F.lit(1)) == 1
-    level = F.explode(bits).alias("_level")
+    fits = F.when((F.col(bucket) >= 0) & (F.col(bucket) < 2 ** (SHELF + LEVELS)), F.expr(f"shiftright({bucket}, {SHELF})"))
+    rows = totals.withColumn("_shelf", F.coalesce(fits, F.raise_error(F.lit("a bucket number is out of range")).cast("long")))
+    past = Window.partitionBy(*key, "_shelf").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    inner = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    inside = rows.select(*key, bucket, "_shelf", *[inner[how](c).over(past).alias(c) for c, how in hows.items()])
+    shelves = rows.groupBy(*key, "_shelf").agg(*[_merged(how, c, bucket).alias(c) for c, how in hows.items()])
+    odd = lambda n: F.expr(f"shiftright(_shelf, {n})").bitwiseAND(F.lit(1)) == 1
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")
     # a block with an even number is the left half of the next larger one: only those are ever asked for
-    halves = checked.select("*", level).where(~odd("_level"))
-    blocks = halves.groupBy(*key, "_level", F.expr(f"shiftright({bucket}, _level)").alias("_block")).agg(*[_merged(how, c, bucket).alias(c) for c, how in hows.items()], F.max(bucket).alias("_at"))
-    asked = checked.select(*key, bucket, level).where(odd("_level")).withColumn("_block", F.expr(f"shiftright({bucket}, _level)") - 1)
-    met = asked.join(blocks, [*key, "_level", "_block"])
-    return met.groupBy(*key, bucket).agg(*[_merged(how, c, "_at").alias(c) for c, how in hows.items()])
+    halves = shelves.select("*", level).where(~odd("_level"))
+    blocks = halves.groupBy(*key, "_level", F.expr("shiftright(_shelf, _level)").alias("_block")).agg(*[_merged(how, c, "_shelf").alias(c) for c, how in hows.items()], F.max("_shelf").alias("_at"))
+    asked = shelves.where("_shelf > 0").select(*key, "_shelf", level).where(odd("_level")).withColumn("_block", F.expr("shiftright(_shelf, _level)") - 1)
+    below = asked.join(blocks, [*key, "_level", "_block"]).groupBy(*key, "_shelf").agg(*[_merged(how, c, "_at").alias(f"_b{c}") for c, how in hows.items()])
+    met = inside.join(below, [*key, "_shelf"], "left")
+    return met.select(*key, bucket, *[_added(how, F.col(c), F.col(f"_b{c}")).alias(c) for c, how in hows.items()])
+
+
+def _added(how: str, near: Column, far: Column) -> Column:
+    """What rows nearby and rows further back say together."""
+    if how == "sum":
+        return F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0))
+    return F.greatest(near, far) if how == "max" else F.coalesce(near, far)
 
 
 def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], **wanted: Carried) -> DataFrame:
@@ -82,14 +93,8 @@ def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], *
     placed = rows.select("*", *[inner[w.how](w.value).over(upto[w.own]).alias(name) for name, w in wanted.items()])
     both = placed.join(earlier, [*key, "_bucket"], "left")
 
-    def put_together(name: str, w: Carried) -> Column:
-        mine, past = F.col(name), F.col(f"_c_{name}")
-        if w.how == "sum":
-            return F.coalesce(mine, F.lit(0)) + F.coalesce(past, F.lit(0))
-        return F.greatest(mine, past) if w.how == "max" else F.coalesce(mine, past)
-
     kept = [c for c in rows.columns if c != "_bucket" and c not in wanted]
-    return both.select(*kept, *[put_together(name, w).alias(name) for name, w in wanted.items()])
+    return both.select(*kept, *[_added(w.how, F.col(name), F.col(f"_c_{name}")).alias(name) for name, w in wanted.items()])
 
 
 def numbered(rows: DataFrame, key: list[str], bucket: Column, order: list[str], name: str = "place") -> DataFrame:

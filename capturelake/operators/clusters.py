@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.operators.generic import cut
+
 #: Weights of the parts in each way to compare.
 MIXES = {
     "common-tail": {"tail": 0.55, "run": 0.25, "ordered": 0.10, "overlap": 0.10},
@@ -103,29 +105,48 @@ def candidates(of_shapes: DataFrame) -> DataFrame:
 def leader_clusters(rows: DataFrame, scored: DataFrame) -> DataFrame:
     """rows (session, shape, place) with leader_place, score and method of the cluster they join, in order of place.
 
-    A row joins the earlier leader with the best score (ties: the earliest) if that is JOINS or more and no common tail
-    below TAIL_JOINS, else it leads. All rows still open follow every leader so far, so what a row would do depends on its
-    shape alone: a round finds, for each session, the first open row that leads, and settles all before it. Rounds are
-    the largest number of leaders in a session; each is a few joins of rows and shapes, checkpointed.
+    A row looks at the earlier leader with the best score (ties: the earliest): it joins if that is JOINS or more and no
+    common tail below TAIL_JOINS (a weak tie), else it leads. A shape leads once at most, as its later rows join it; so
+    the rounds are about shapes, each with its first undecided row. In all sessions at once
+    - a shape never leads if it can join a leader before that row, and no undecided shape has a better, weak tie to it;
+    - it leads if it cannot join, and no undecided neighbour has an earlier row;
+    - it goes on to the next row that anything could change, if it joins for now but a weak tie is still undecided.
+    The earliest undecided row of a session always falls under one of these; rounds follow the longest chain of first rows
+    that wait for each other, not the number of leaders.
     """
-    open_ = rows.select("session", "shape", "place").checkpoint()
-    lead = open_.where("FALSE").select("session", F.col("shape").alias("leader"), F.col("place").alias("leader_place")).checkpoint()
-    settled = None
+    key = ["session", "shape"]
+    rows = cut(rows.select(*key, "place"))
+    weak = (F.col("method") == "common-tail") & (F.col("score") < TAIL_JOINS)
+    links = cut(scored.where(F.col("score") >= JOINS).select(*key, F.col("leader").alias("other"), "score", "method", weak.alias("weak")))
+    open_ = cut(rows.groupBy(*key).agg(F.min("place").alias("next")))
+    leads = cut(open_.limit(0).select(*key, F.col("next").alias("leader_place")))
+    as_other = {"shape": "other"}
     while True:
-        options = scored.select("session", "shape", "leader", "score", "method").join(lead, ["session", "leader"])
-        best = options.groupBy("session", "shape").agg(F.max_by(F.struct("leader_place", "score", "method"), F.struct("score", -F.col("leader_place"))).alias("best"))
-        joins = (F.col("best.score") >= JOINS) & ~((F.col("best.method") == "common-tail") & (F.col("best.score") < TAIL_JOINS))
-        decided = open_.join(best, ["session", "shape"], "left").withColumn("joins", F.coalesce(joins, F.lit(False))).checkpoint()
-        first = decided.where("NOT joins").groupBy("session").agg(F.min("place").alias("first"))
-        placed = decided.join(first, "session", "left").checkpoint()
-        done = placed.where("first IS NULL OR place < first").select("session", "shape", "place", F.col("best.leader_place").alias("leader_place"), F.col("best.score").alias("score"), F.col("best.method").alias("method"))
-        new = placed.where("place = first").select("session", "shape", "place", F.col("place").alias("leader_place"), F.lit(1.0).alias("score"), F.lit("normalized-exact").alias("method"))
-        step = done.unionByName(new)
-        settled = step.checkpoint() if settled is None else settled.unionByName(step).checkpoint()
-        if not new.take(1):
-            return settled
-        lead = lead.unionByName(new.select("session", F.col("shape").alias("leader"), "leader_place")).checkpoint()
-        open_ = placed.where("place > first").select("session", "shape", "place").checkpoint()
+        offers = open_.join(links, key).join(leads.withColumnsRenamed(as_other), ["session", "other"])
+        before = F.col("leader_place") < F.col("next")
+        at = F.struct("score", (-F.col("leader_place")).alias("first"), "weak")
+        best = offers.groupBy(*key).agg(F.max(F.when(before, at)).alias("best"), F.min(F.when(~before, F.col("leader_place"))).alias("change"))
+        beside = open_.select(*key).join(links, key).where("shape <> other").join(open_.withColumnsRenamed(as_other | {"next": "other_next"}), ["session", "other"])
+        wait = beside.groupBy(*key).agg(F.min("other_next").alias("wait"), F.max(F.when(F.col("weak"), F.col("score"))).alias("doubt"))
+        state = open_.join(best, key, "left").join(wait, key, "left")
+        joins = F.coalesce(~F.col("best.weak"), F.lit(False))
+        free = F.coalesce(F.col("wait") > F.col("next"), F.lit(True))
+        verdict = F.when(joins & F.coalesce(F.col("doubt") < F.col("best.score"), F.lit(True)), "never").when(~joins & free, "leads").when(joins & free, "later").otherwise("waits")
+        state = cut(state.select(*key, "next", verdict.alias("verdict"), F.least("wait", "change").alias("until")))
+        new = state.where("verdict = 'leads'").select(*key, F.col("next").alias("leader_place"))
+        later = rows.join(state.where("verdict = 'later' AND until IS NOT NULL"), key).where("place >= until").groupBy(*key).agg(F.min("place").alias("next"))
+        leads = cut(leads.unionByName(new))
+        open_ = cut(state.where("verdict = 'waits'").select(*key, "next").unionByName(later))
+        if not open_.take(1):
+            break
+    met = links.join(leads.withColumnsRenamed(as_other), ["session", "other"]).withColumn("at", F.struct("score", (-F.col("leader_place")).alias("first"), "method"))
+    order = Window.partitionBy(*key).orderBy("leader_place")
+    steps = met.select(*key, F.max("at").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("best"), F.col("leader_place").alias("after"), F.lead("leader_place").over(order).alias("upto"))
+    found = rows.join(leads, key, "left").join(steps, key, "left").where("after IS NULL OR (place > after AND place <= coalesce(upto, place)) OR place = leader_place")
+    own = F.coalesce(F.col("place") == F.col("leader_place"), F.lit(False))
+    return found.select(
+        *key, "place", F.when(own, F.col("place")).otherwise(-F.col("best.first")).alias("leader_place"), F.when(own, 1.0).otherwise(F.col("best.score")).alias("score"), F.when(own, "normalized-exact").otherwise(F.col("best.method")).alias("method")
+    ).dropDuplicates(["session", "place"])
 
 
 def cluster_summary(members: DataFrame) -> DataFrame:

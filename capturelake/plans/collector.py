@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from capturelake.operators import gc
+from capturelake.operators import gc, generic
 from capturelake.plans import rendered
 from capturelake.plans.catalogue import _E, _GC, _checkpoints, _gc_lines, _table, _us, query
 
@@ -18,12 +18,12 @@ _V = (
 
 
 def _lines(spark, sf_dir):
-    return rendered.lines(rendered.collector_logs(_table(spark, sf_dir, "events")))
+    return generic.cut(rendered.lines(rendered.collector_logs(_table(spark, sf_dir, "events"))))
 
 
 def _placed(spark, sf_dir):
     _checkpoints(spark)
-    return gc.session_lines(_lines(spark, sf_dir))
+    return generic.cut(gc.session_lines(_lines(spark, sf_dir)))
 
 
 @query("w11_gc_sessions", _V + " SELECT capture_id, CAST(session AS INTEGER) AS session, CAST(min(line) AS INTEGER) AS first_line, CAST(max(line) AS INTEGER) AS last_line, min(t) AS from_us, max(t) AS to_us, count(*) FILTER (WHERE counts) AS records FROM p GROUP BY ALL HAVING count(*) FILTER (WHERE counts) > 0")
