@@ -33,10 +33,10 @@ def dependents(edges: DataFrame) -> DataFrame:
     """Per blocker of a snapshot: threads that wait for it directly, indirectly and in all through edges with one owner, and those only seen through ambiguous ones."""
     # a nullable name: checkpoints of unions of columns that cannot be null fail in Spark 4.1
     node = lambda end: F.nullif(F.concat_ws("\t", "capture_id", F.col("snapshot_index").cast("string"), F.col(end).cast("string")), F.lit(""))
-    named = edges.select(node("waiter").alias("source"), node("owner").alias("target"), "ambiguous")
+    named = generic.cut(edges.select(node("waiter").alias("source"), node("owner").alias("target"), "ambiguous"))
     sure = named.where("NOT ambiguous").select("source", "target")
-    every = generic.reach(named.select("source", "target")).where("source <> target").groupBy("target").agg(F.count("*").alias("all_of"))
-    definite = generic.reach(sure).where("source <> target").groupBy("target").agg(F.count("*").alias("dependents"))
+    of = lambda part, name: generic.ancestor_counts(part.select("source", "target")).select(F.col("node").alias("target"), F.col("n").alias(name))
+    every, definite = of(named, "all_of"), of(sure, "dependents")
     direct = sure.where("source <> target").groupBy("target").agg(F.count_distinct("source").alias("direct"))
     blockers = named.select("target").distinct().join(every, "target", "left").join(definite, "target", "left").join(direct, "target", "left").na.fill(0)
     part = F.split("target", "\t")

@@ -156,6 +156,42 @@ def depths(edges: DataFrame) -> DataFrame:
             return parts.join(level.withColumnRenamed("node", "component"), "component").select("node", "depth")
 
 
+def ancestor_counts(edges: DataFrame) -> DataFrame:
+    """(node, n): how many other nodes reach each node along edges (source, target), without a table of such pairs.
+
+    Nodes of one cycle reach the same nodes and are drawn together, so what is left has no cycle. A part with one edge out
+    has one way on: the sizes of such parts are handed up to the next part with several edges out, a fork, or to an end,
+    and added on the way. What a fork gathers is disjoint from what another does, so beyond forks only whole forks are
+    told apart: a part counts its own sum and the sums of the different forks that reach it. Rows are nodes and edges, and
+    for graphs with forks the forks that reach each part; a thread that waits for one lock of one owner makes none.
+    """
+    edges = cut(edges.select("source", "target").distinct())
+    parts = cut(strong_components(edges))
+    sizes = cut(parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("size")))
+    a, b = parts.withColumnsRenamed({"node": "source", "component": "from"}), parts.withColumnsRenamed({"node": "target", "component": "to"})
+    links = cut(edges.join(a, "source").join(b, "target").where("`from` <> `to`").select("from", "to").distinct())
+    out = links.groupBy("from").agg(F.count("*").alias("ways"))
+    forks = cut(out.where("ways > 1").select(F.col("from").alias("part")))
+    single = cut(links.join(out.where("ways = 1"), "from").select("from", "to"))
+    # sums of the parts that come up to each part by ways without a choice, rank by rank from the leaves
+    sums = cut(sizes.withColumn("gathered", F.col("size")))
+    waiting = single
+    while waiting.take(1):
+        ready = waiting.join(waiting.select(F.col("to").alias("from")).distinct(), "from", "left_anti")
+        handed = ready.join(sums.withColumnRenamed("part", "from"), "from").groupBy(F.col("to").alias("part")).agg(F.sum("gathered").alias("more"))
+        sums = cut(sums.join(handed, "part", "left").select("part", "size", (F.col("gathered") + F.coalesce("more", F.lit(0))).alias("gathered")))
+        waiting = cut(waiting.join(ready.select("from"), "from", "left_anti"))
+    # (part, fork): the forks that reach each part; each round goes one edge on from the pairs just found
+    met = fresh = cut(links.join(forks.withColumnRenamed("part", "from"), "from").select(F.col("to").alias("part"), F.col("from").alias("fork")).distinct())
+    while fresh.take(1):
+        on = fresh.join(links.withColumnRenamed("from", "part"), "part").select(F.col("to").alias("part"), "fork").distinct()
+        fresh = cut(on.join(met, ["part", "fork"], "left_anti"))
+        met = cut(met.unionByName(fresh))
+    by_forks = met.join(sums.select(F.col("part").alias("fork"), "gathered"), "fork").groupBy("part").agg(F.sum("gathered").alias("by_forks"))
+    per = sums.join(by_forks, "part", "left").select(F.col("part").alias("component"), (F.col("gathered") + F.coalesce("by_forks", F.lit(0)) - 1).alias("n"))
+    return parts.join(per, "component").select("node", "n")
+
+
 def set_sides(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys of two tables: gone (only before), appeared (only after) or both."""
     a, b = before.select(key).distinct().withColumn("_a", F.lit(1)), after.select(key).distinct().withColumn("_b", F.lit(1))

@@ -83,10 +83,10 @@ def s5_evidence_ranges(spark, sf_dir):
     _GC + ", v AS (SELECT user_id, event_id, us, 1 AS part, '[' || us || 'us][info][gc] GC(' || event_id || ') ' AS line FROM e UNION ALL SELECT user_id, event_id, us - n, 0, '[' || (us - n) || 'us][info][gc,start] GC(' || event_id || ') ' FROM e WHERE event_type = 'click'), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, part, line) AS line_no FROM v) SELECT CAST(user_id AS VARCHAR) AS capture_id, event_id AS gc_id, CAST(min(line_no) AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, max(line_no) - min(line_no) + 1 AS n_lines, count(*) AS own_lines FROM o GROUP BY ALL",
 )
 def s5_gc_event_ranges(spark, sf_dir):
-    logs = rendered.text(rendered.gc_logs(_table(spark, sf_dir, "events")))
-    found = gc.events(captures.lines(logs)).select("capture_id", "gc_id", F.col("line").alias("first_line"), F.col("end_line").alias("last_line"))
-    wanted = found.join(logs.select("capture_id", F.sha2("text", 256).alias("sha256")), "capture_id")
-    met = captures.checked_ranges(logs, wanted).join(found, ["capture_id", "first_line", "last_line"])
+    lines = _gc_lines(spark, sf_dir)
+    tree = generic.cut(captures.hash_tree(lines))
+    found = generic.cut(gc.events(lines).select("capture_id", "gc_id", F.col("line").alias("first_line"), F.col("end_line").alias("last_line")))
+    met = captures.proved_ranges(lines, tree, found.join(captures.roots(tree), "capture_id")).join(found, ["capture_id", "first_line", "last_line"])
     own = F.contains("text", F.concat(F.lit(" GC("), F.col("gc_id").cast("string"), F.lit(") ")))
     return met.groupBy("capture_id", "gc_id", "first_line", "last_line").agg(F.count("*").alias("n_lines"), F.count_if(own).alias("own_lines"))
 

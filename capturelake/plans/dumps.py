@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from capturelake.operators import blocking, evidence, ordering, patterns, series, threads
+from capturelake.operators import blocking, evidence, generic, ordering, patterns, series, threads
 from capturelake.plans import rendered
 from capturelake.plans.catalogue import _DAY, _E, _EDGES, _ROLES, _SES, _checkpoints, _dump, _session, _table, query
 
@@ -332,3 +332,53 @@ def a7_scenarios(spark, sf_dir):
     dead = threads.deadlock_entries(marked).select("capture_id", "snapshot_index", "thread_name").distinct().withColumn("deadlocked", F.lit(True))
     told = patterns.scenario(rows.join(of_class, keys, "left").join(dead, ["capture_id", "snapshot_index", "thread_name"], "left"))
     return told.groupBy("capture_id", "scenario", F.col("scenario_severity").alias("severity")).agg(F.count("*").alias("n"))
+
+
+# --- synchronization patterns, chains and infrastructure ------------------------------
+
+_SYNC = (
+    f"WITH {_E}, t AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, user_id, user_id % 12 AS c, user_id // 12 AS dozen, arg_max(event_type, us) AS kind FROM e GROUP BY ALL), s AS (SELECT *, CASE WHEN kind IN ('click', 'purchase') THEN 15 ELSE -25 END AS fits, kind = 'purchase' AS asleep FROM t)"
+    ", m AS (SELECT capture_id, user_id, c, dozen, kind, unnest(CASE c WHEN 0 THEN [{'key': 'condition-await', 'score': 85 + fits}] WHEN 1 THEN [{'key': 'latch-await', 'score': 80 + fits}] WHEN 2 THEN [{'key': 'object-wait', 'score': 85 + fits}] WHEN 3 THEN [{'key': 'rwlock-reader-wait', 'score': 85 + fits}] WHEN 4 THEN [{'key': 'rwlock-writer-lock', 'score': 75 + fits}]"
+    " WHEN 5 THEN CASE WHEN asleep THEN [{'key': 'rwlock-writer-holder', 'score': 100}, {'key': 'rwlock', 'score': 65}] ELSE [{'key': 'rwlock', 'score': 65}] END WHEN 6 THEN [{'key': 'rwlock', 'score': 60}] WHEN 7 THEN CASE WHEN asleep THEN [{'key': 'reentrant-lock-holder', 'score': 100}] END WHEN 8 THEN [{'key': 'reentrant-lock-contention', 'score': 85 + fits}] WHEN 9 THEN [{'key': 'reentrant-lock-contention', 'score': 55 + fits}] END) AS p FROM s)"
+)
+
+
+def _synchronized(spark, sf_dir):
+    marked = generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.synchronization_dumps(_table(spark, sf_dir, "events"))))))
+    return threads.threads(marked), threads.lock_observations(marked)
+
+
+@query("a6_synchronization_patterns", _SYNC + " SELECT capture_id, 'user-' || user_id AS thread_name, p.key AS key, p.score AS score, CASE WHEN p.score >= 85 THEN 'high' WHEN p.score >= 60 THEN 'medium' ELSE 'low' END AS confidence FROM m")
+def a6_synchronization_patterns(spark, sf_dir):
+    told = patterns.synchronization(patterns.evidence(*_synchronized(spark, sf_dir)))
+    return told.select("capture_id", "thread_name", F.explode("synchronization").alias("p")).select("capture_id", "thread_name", "p.key", "p.score", "p.confidence")
+
+
+@query("a6_selector_scores", _SYNC + " SELECT capture_id, 'user-' || user_id AS thread_name, CASE WHEN kind IN ('click', 'purchase') THEN 60 ELSE 85 END AS score FROM t WHERE c = 10")
+def a6_selector_scores(spark, sf_dir):
+    return patterns.selector(patterns.evidence(*_synchronized(spark, sf_dir))).where("selector IS NOT NULL").select("capture_id", "thread_name", "selector.score")
+
+
+@query(
+    "j2_acquisition_chains",
+    _SYNC + ", l AS (SELECT capture_id, dozen, 40960 + dozen AS id, 'java.util.concurrent.locks.ReentrantLock$NonfairSync' AS lock_type, count(*) FILTER (WHERE c = 7) AS owners, count(*) FILTER (WHERE c IN (8, 9)) AS waiters FROM t GROUP BY ALL UNION ALL SELECT capture_id, dozen, 45056 + dozen, 'java.util.concurrent.locks.ReentrantReadWriteLock$NonfairSync', count(*) FILTER (WHERE c = 5), count(*) FILTER (WHERE c = 3) FROM t GROUP BY ALL)"
+    " SELECT capture_id, '0x' || lower(printf('%x', id)) AS lock_id, lock_type, owners, waiters FROM l WHERE waiters > 0",
+)
+def j2_acquisition_chains(spark, sf_dir):
+    rows, locks = _synchronized(spark, sf_dir)
+    return patterns.contention_chains(patterns.classified(rows, locks), locks).drop("snapshot_index")
+
+
+@query(
+    "a7_library_scenarios",
+    _SYNC + ", f AS (SELECT capture_id, user_id, arg_max(p.key, CASE p.key WHEN 'rwlock' THEN 0 ELSE 1 END) AS key, arg_max(p.score, CASE p.key WHEN 'rwlock' THEN 0 ELSE 1 END) AS score FROM m GROUP BY ALL), w AS (SELECT t.*, key, score FROM t LEFT JOIN f USING (capture_id, user_id))"
+    ", g AS (SELECT capture_id, CASE WHEN key IS NOT NULL THEN key WHEN c = 7 THEN 'sleeping' WHEN c = 10 THEN 'selector-event-loop' WHEN kind = 'click' THEN 'parked' END AS scenario,"
+    " CASE WHEN key IN ('rwlock-reader-wait', 'reentrant-lock-contention') THEN 'high' WHEN key IS NOT NULL THEN 'medium' WHEN c IN (7, 10) OR kind = 'click' THEN 'info' END AS severity,"
+    " CASE WHEN key IS NOT NULL THEN CASE WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'medium' ELSE 'low' END WHEN c = 7 THEN 'low' WHEN c = 10 OR kind = 'click' THEN 'medium' END AS confidence FROM w)"
+    " SELECT capture_id, scenario, severity, confidence, count(*) AS n FROM g GROUP BY ALL",
+)
+def a7_library_scenarios(spark, sf_dir):
+    rows, locks = _synchronized(spark, sf_dir)
+    detail = F.when(F.col("java_state") == "WAITING", "parking").when(F.col("java_state") == "TIMED_WAITING", "sleeping")
+    told = patterns.scenario(patterns.classified(rows.withColumn("state_detail", detail), locks), "synchronization")
+    return told.groupBy("capture_id", "scenario", F.col("scenario_severity").alias("severity"), F.col("scenario_confidence").alias("confidence")).agg(F.count("*").alias("n"))

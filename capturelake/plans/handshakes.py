@@ -133,3 +133,38 @@ def l13_oracle_check(spark, sf_dir):
     of = _facts(spark, sf_dir)
     expected = of.select("capture_id", "tid", "interaction", F.lit("success").alias("outcome"), F.lit("TLSv1.3").alias("tls_version"))
     return tls.unexpected(of, expected, "outcome", "tls_version").withColumn("wrong", F.array_join("wrong", ","))
+
+
+# --- logs in three formats, and certificates --------------------------------------------
+
+_MIXED = f"WITH {_E}, r AS (SELECT CAST(user_id AS VARCHAR) AS capture_id, lower(printf('%x', user_id)) AS tid, user_id, event_id AS id, event_type AS kind, us, (us + {BASE_US}) // 1000 AS ms FROM e)"
+
+
+def _mixed(spark, sf_dir):
+    return generic.cut(tls.records(generic.cut(rendered.lines(rendered.mixed_handshakes(_table(spark, sf_dir, "events"))))))
+
+
+@query(
+    "l1_mixed_records",
+    _MIXED + ", v AS (SELECT capture_id, CASE WHEN kind = 'view' THEN 'expanded' ELSE 'compact' END AS format, tid, 'worker' AS thread, ms AS epoch_ms, CASE kind WHEN 'signup' THEN 'Produced ClientHello handshake message (' WHEN 'view' THEN 'Ignore unavailable extension' WHEN 'click' THEN 'Consuming CertificateRequest handshake message (' ELSE 'Produced client Certificate handshake message (' END AS message, CASE kind WHEN 'view' THEN 9 WHEN 'click' THEN 5 ELSE 4 END AS line_count FROM r WHERE kind <> 'purchase'"
+    " UNION ALL SELECT capture_id, 'legacy', 'legacy', 'main', NULL, 'main, ' || CASE WHEN id % 2 = 0 THEN 'READ' ELSE 'WRITE' END || ': TLSv1.2 Handshake, length = 9', 1 FROM r WHERE kind = 'purchase'"
+    " UNION ALL SELECT capture_id, 'legacy', 'legacy', 'main', NULL, CASE WHEN id % 2 = 0 THEN 'Consuming' ELSE 'Produced' END || ' Finished handshake message', CASE WHEN id % 3 = 0 THEN 3 ELSE 1 END FROM r WHERE kind = 'purchase') SELECT * FROM v",
+)
+def l1_mixed_records(spark, sf_dir):
+    return _mixed(spark, sf_dir).select("capture_id", "format", "tid", "thread", "epoch_ms", "message", "line_count")
+
+
+_Q = '\\"'  # as logs print a quote inside a quoted name
+
+
+@query(
+    "l4_certificate_facts",
+    _MIXED + ", i AS (SELECT *, sum(CASE WHEN kind = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us) AS interaction FROM r WHERE kind <> 'purchase'), a AS (SELECT capture_id, tid, interaction, bool_or(kind = 'signup') AS hello, arg_min(id % 5, us) FILTER (WHERE kind = 'error') AS client, coalesce(bool_or(kind = 'click'), FALSE) AS asked FROM i GROUP BY ALL)"
+    ", h AS (SELECT *, hello AND lead(interaction) OVER (PARTITION BY capture_id ORDER BY interaction) IS NOT NULL AS hanging FROM a), k AS (SELECT *, bool_or(hanging) OVER (PARTITION BY capture_id ORDER BY interaction) AS ambiguous FROM h)"
+    f", c AS (SELECT capture_id, interaction, unnest(['CN=[root ' || id % 3 || '], O={_Q}x{_Q}', 'CN=Common\\, Root']) AS name, us * 10 + unnest([0, 1]) AS place FROM i WHERE kind = 'click'), n AS (SELECT capture_id, interaction, string_agg(name, '|' ORDER BY place) AS names FROM (SELECT capture_id, interaction, name, min(place) AS place FROM c GROUP BY ALL) GROUP BY ALL)"
+    f" SELECT k.capture_id, tid, CAST(k.interaction AS BIGINT) AS interaction, CASE WHEN NOT ambiguous THEN 'O=a, CN={_Q}client, ' || client || '{_Q}, C=SE' END AS client_cert_subject, CASE WHEN NOT ambiguous AND client IS NOT NULL THEN '\"client' END AS client_cert_cn, CASE WHEN NOT ambiguous THEN coalesce(names, '') END AS authorities, CASE WHEN NOT ambiguous THEN asked END AS authorities_complete FROM k LEFT JOIN n USING (capture_id, interaction)",
+)
+def l4_certificate_facts(spark, sf_dir):
+    placed = tls.placed(_mixed(spark, sf_dir)).where("format <> 'legacy'")
+    found = tls.certificates(placed, tls.facts(placed))
+    return found.select("capture_id", "tid", "interaction", "client_cert_subject", "client_cert_cn", F.array_join("authorities", "|").alias("authorities"), "authorities_complete")

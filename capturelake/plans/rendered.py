@@ -14,12 +14,6 @@ def _events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US).alias("us"), F.round(F.col("value") * 100).cast("long").alias("n"))
 
 
-def text(rows: DataFrame) -> DataFrame:
-    """One text per capture; only for what needs whole texts, such as their hash."""
-    ordered = F.array_sort(F.collect_list(F.struct("us", "part", "line")))
-    return rows.groupBy("capture_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
-
-
 def lines(rows: DataFrame) -> DataFrame:
     """capture_id, line_no, text; an hour of a capture is a bucket."""
     return numbered(rows, F.floor(F.col("us") / 3_600_000_000), "us", "part", "line")
@@ -179,3 +173,52 @@ def carrier_dumps(events: DataFrame) -> DataFrame:
     head = day.select("day").distinct().select("day", F.lit(-1).cast("long").alias("us"), F.lit(0).alias("part"), F.lit("Full thread dump OpenJDK 64-Bit Server VM (21.0.1+12 mixed mode):\n").alias("line"))
     piece = lambda rows, part, line: rows.select("day", user.alias("us"), F.lit(part).alias("part"), line.alias("line"))
     return _keyed(head.unionByName(piece(day, 1, worker)).unionByName(piece(day, 2, virtual)).unionByName(piece(day.where("user_id % 5 = 0"), 3, virtual)), "day")
+
+
+def synchronization_dumps(events: DataFrame) -> DataFrame:
+    """Dumps of a day whose threads wait in twelve ways (user modulo twelve) on locks that a dozen of users share."""
+    e = _events(events)
+    day = e.groupBy(F.to_date("at").alias("day"), "user_id").agg(F.max_by("event_type", "us").alias("kind"))
+    user, kind, dozen = F.col("user_id"), F.col("kind"), F.floor(F.col("user_id") / 12)
+    state = F.when(kind == "click", "WAITING (parking)").when(kind == "purchase", "TIMED_WAITING (sleeping)").otherwise("RUNNABLE")
+    at = lambda *methods: F.lit("".join(f"\tat {m}(X.java:1)\n" for m in methods))
+    lock = lambda text, base, kind: F.format_string(f"\t- {text}<0x%x> (a {kind})\n", dozen + base)
+    juc = "java.base@21/java.util.concurrent."
+    parks, owned = "parking to wait for  ", lambda base, kind: F.concat(F.lit("\n   Locked ownable synchronizers:\n"), lock("", base, kind))
+    rw, rl = "java.util.concurrent.locks.ReentrantReadWriteLock$NonfairSync", "java.util.concurrent.locks.ReentrantLock$NonfairSync"
+    body = F.element_at(
+        F.array(
+            F.concat(at(f"{juc}locks.LockSupport.park"), lock(parks, 0xC000, "java.util.concurrent.locks.AbstractQueuedSynchronizer$ConditionObject"), at(f"{juc}locks.AbstractQueuedSynchronizer$ConditionObject.await")),
+            at(f"{juc}locks.AbstractQueuedSynchronizer.acquireSharedInterruptibly", f"{juc}CountDownLatch.await"),
+            F.concat(at("java.base@21/java.lang.Object.wait0"), lock("waiting on ", 0xD000, "app.Queue"), at("java.base@21/java.lang.Object.wait")),
+            F.concat(lock(parks, 0xB000, rw), at(f"{juc}locks.ReentrantReadWriteLock$ReadLock.lock")),
+            at(f"{juc}locks.ReentrantReadWriteLock$WriteLock.lock"),
+            F.concat(at("java.base@21/java.lang.Thread.sleep"), owned(0xB000, rw)),
+            at(f"{juc}locks.ReentrantReadWriteLock$Sync.tryAcquire"),
+            F.concat(at("java.base@21/java.lang.Thread.sleep"), owned(0xA000, rl)),
+            F.concat(at(f"{juc}locks.LockSupport.park"), lock(parks, 0xA000, rl), at(f"{juc}locks.ReentrantLock.lock")),
+            F.concat(at("app.Other.call"), lock(parks, 0xA000, rl)),
+            at("java.base@21/sun.nio.ch.EPollSelectorImpl.doSelect"),
+            at("app.Main.loop"),
+        ),
+        (user % 12).cast("int") + 1,
+    )
+    block = F.concat(F.format_string('"user-%d" #%d prio=5 tid=0x%x nid=0x1 runnable\n   java.lang.Thread.State: ', user, user + 1, user + 4096), state, F.lit("\n"), body)
+    head = day.select("day").distinct().select("day", F.lit(-1).cast("long").alias("us"), F.lit(0).alias("part"), F.lit("Full thread dump OpenJDK 64-Bit Server VM (21.0.1+12 mixed mode):\n").alias("line"))
+    return _keyed(head.unionByName(day.select("day", user.alias("us"), F.lit(1).alias("part"), block.alias("line"))), "day")
+
+
+def mixed_handshakes(events: DataFrame) -> DataFrame:
+    """Debug logs of a user in three formats: compact records, records of one field a line, and blocks of the oldest format."""
+    e = _events(events)
+    kind, number = F.col("event_type"), F.col("event_id")
+    clock = F.concat(F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC"))
+    head = lambda message: F.concat(F.format_string("javax.net.ssl|DEBUG|%x|worker|", F.col("user_id")), clock, F.lit(f"|X.java:1|{message}"))
+    line = (
+        F.when(kind == "signup", F.concat(head("Produced ClientHello handshake message (\n"), F.lit('"ClientHello": {\n}\n)')))
+        .when(kind == "view", F.concat(F.format_string('{\n  "logger"     : "javax.net.ssl",\n  "level"      : "DEBUG",\n  "thread id"  : "%x",\n  "thread name": "worker",\n  "time"       : "', F.col("user_id")), clock, F.lit('",\n  "message"    : "Ignore unavailable extension",\n  "specifics"  : []\n}')))
+        .when(kind == "purchase", F.concat(F.format_string("main, %s: TLSv1.2 Handshake, length = 9\n*** Finished", F.when(number % 2 == 0, "READ").otherwise("WRITE")), F.when(number % 3 == 0, "\nverify_data:  { 1, 2 }\n***").otherwise("")))
+        .when(kind == "click", F.concat(head("Consuming CertificateRequest handshake message (\n"), F.format_string('"certificate authorities": [\n  "CN=[root %d], O=\\"x\\"",\n  "CN=Common\\, Root", "CN=[root %d], O=\\"x\\""]\n)', number % 3, number % 3)))
+        .otherwise(F.concat(head("Produced client Certificate handshake message (\n"), F.format_string('  "subject"            : "O=a, CN=\\"client, %d\\", C=SE",\n  "subject" : "CN=issuer"\n)', number % 5)))
+    )
+    return _keyed(e.select("user_id", "us", F.lit(0).alias("part"), line.alias("line")), "user_id")

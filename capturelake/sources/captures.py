@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturelake.operators import carry
+from capturelake.operators import carry, generic
 
 MAX_BYTES = 64 * 1024 * 1024
 
@@ -65,6 +65,81 @@ def checked_ranges(captures: DataFrame, wanted: DataFrame) -> DataFrame:
     return numbers.join(all_lines, ["capture_id", "line_no"]).select("capture_id", "first_line", "last_line", "line_no", "text")
 
 
+#: Lines of a leaf of a hash tree, children of a node above, and levels above the leaves: room for 10 ** 12 lines.
+LEAF, FAN, HEIGHT = 1_000, 1_000, 3
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """capture_id, line_no, text of text files of any size: each split is read where it lies and no file is one string.
+
+    Splits tell where they begin, so lines are numbered split by split and the counts of splits before are added.
+    """
+    raw = spark.read.text(path, recursiveFileLookup=True).select(F.sha2(F.col("_metadata.file_path"), 256).substr(1, 16).alias("capture_id"), F.col("_metadata.file_block_start").alias("begins"), F.monotonically_increasing_id().alias("within"), F.col("value").alias("text"))
+    first = (F.col("begins") == 0) & (F.col("line_no") == 1)
+    placed = carry.numbered(raw, ["capture_id"], F.floor(F.col("begins") / (1 << 20)).cast("long"), ["begins", "within"], "line_no")
+    return placed.select("capture_id", F.col("line_no").cast("int").alias("line_no"), F.when(first, F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text")).alias("text"))
+
+
+def _leaves(numbered_lines: DataFrame) -> DataFrame:
+    block = F.floor((F.col("line_no") - 1) / LEAF).cast("long")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    return numbered_lines.groupBy("capture_id", block.alias("node")).agg(F.sha2(F.concat(F.count("*").cast("string"), F.lit("\n"), F.array_join(own, "\n", "")), 256).alias("digest"))
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    children = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"])
+    return nodes.groupBy("capture_id", F.floor(F.col("node") / FAN).cast("long").alias("above")).agg(F.sha2(F.array_join(children, ""), 256).alias("digest")).withColumnRenamed("above", "node")
+
+
+def hash_tree(numbered_lines: DataFrame) -> DataFrame:
+    """capture_id, level (0: LEAF lines), node, digest; the node of level HEIGHT stands for the whole capture.
+
+    A task holds one leaf's lines or one node's children at a time. The leaves are written once.
+    """
+    level = generic.cut(_leaves(numbered_lines))
+    tree = level.select("capture_id", F.lit(0).alias("level"), "node", "digest")
+    for k in range(1, HEIGHT + 1):
+        level = _above(level)
+        tree = tree.unionByName(level.select("capture_id", F.lit(k).alias("level"), "node", "digest"))
+    return tree
+
+
+def roots(tree: DataFrame) -> DataFrame:
+    return tree.where(F.col("level") == HEIGHT).select("capture_id", F.col("digest").alias("root"))
+
+
+def proved_ranges(numbered_lines: DataFrame, tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Lines of wanted ranges (capture_id, root, first_line, last_line); fails where a capture is gone or was changed.
+
+    Only the leaves that a range touches are hashed again; their digests must be those of the tree, those of each node
+    above must be the hash of its children's, and the topmost must be the root that is asked for. So a change of a line
+    in a range, of the tree, or another root is found without the rest of the capture's text.
+    """
+    wanted = wanted.select("capture_id", "root", "first_line", "last_line").distinct()
+    cell = lambda c: F.floor((c - 1) / LEAF).cast("long")
+    asked = wanted.withColumn("from", F.greatest("first_line", F.lit(1))).where("`from` <= last_line")
+    asked = asked.join(numbered_lines.groupBy("capture_id").agg(F.max("line_no").alias("_n")), "capture_id", "left").withColumn("to", F.least("last_line", F.coalesce("_n", F.lit(1)))).where("`from` <= `to`")
+    parts = asked.select("capture_id", "root", "first_line", "last_line", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to")))).alias("node"))
+    touched = parts.select("capture_id", "node").distinct()
+    by_block = numbered_lines.withColumn("node", cell(F.col("line_no"))).join(touched, ["capture_id", "node"], "left_semi")
+    level, again, checks = touched, _leaves(by_block), None
+    for k in range(HEIGHT + 1):
+        stored = tree.where(F.col("level") == k).select("capture_id", "node", "digest")
+        met = level.join(stored.withColumnRenamed("digest", "stored"), ["capture_id", "node"], "left").join(again, ["capture_id", "node"], "left")
+        check = met.groupBy("capture_id").agg(F.bool_and(F.coalesce(F.col("stored") == F.col("digest"), F.lit(False))).alias("whole"))
+        checks = check if checks is None else checks.unionByName(check)
+        level = level.select("capture_id", F.floor(F.col("node") / FAN).cast("long").alias("node")).distinct()
+        again = _above(stored.withColumn("above", F.floor(F.col("node") / FAN).cast("long")).join(level.withColumnRenamed("node", "above"), ["capture_id", "above"], "left_semi").drop("above"))
+    proof = checks.groupBy("capture_id").agg(F.bool_and("whole").alias("whole")).join(roots(tree).withColumnRenamed("root", "_root"), "capture_id", "left")
+    sure = F.coalesce(F.col("whole") & (F.col("_root") == F.col("root")), F.lit(False))
+    changed = F.raise_error(F.concat(F.lit("capture changed: "), F.col("capture_id"))).cast("boolean")
+    judged = parts.join(proof, "capture_id", "left").withColumn("sure", sure)
+    found = judged.where("sure").join(by_block, ["capture_id", "node"]).where("line_no BETWEEN first_line AND last_line").select("capture_id", "first_line", "last_line", "line_no", "text")
+    # a branch of its own, which has no rows or fails: a join with lines that are gone would never look at it
+    failed = judged.where(F.when(F.col("sure"), False).otherwise(changed)).select("capture_id", "first_line", "last_line", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("text"))
+    return found.unionByName(failed)
+
+
 #: Schema of JSON thread dumps; ids may be numbers or strings there.
 JSON_DUMP = (
     "threadDump struct<processId: string, time: string, runtimeVersion: string, threadContainers: array<struct<container: string, parent: string, owner: string, threadCount: string,"
