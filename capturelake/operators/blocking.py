@@ -29,11 +29,42 @@ def dependency_edges(locks: DataFrame) -> DataFrame:
     return met.groupBy(*_KEYS, "waiter", "owner").agg(F.array_sort(F.collect_set("lock_id")).alias("locks"), F.count("*").alias("observations"), F.bool_or(F.col("owners") > 1).alias("ambiguous"))
 
 
+def class_edges(classes: DataFrame) -> DataFrame:
+    """Edges from threads that wait for a class to the one that initializes it in their snapshot; ambiguous where several do."""
+    keys = [*_KEYS, "class_name"]
+    waits = classes.where("kind = 'class-initialization-wait'").select(*keys, F.col("start_line").alias("waiter"))
+    owns = classes.where("kind = 'class-initializer'").select(*keys, F.col("start_line").alias("owner")).distinct()
+    owners = owns.groupBy(*keys).agg(F.count("*").alias("owners"))
+    met = waits.join(owns, keys).join(owners, keys)
+    return met.groupBy(*_KEYS, "waiter", "owner").agg(F.array_sort(F.collect_set(F.concat(F.lit("class:"), "class_name"))).alias("locks"), F.count("*").alias("observations"), F.bool_or(F.col("owners") > 1).alias("ambiguous"))
+
+
+def _named(end: str):
+    # a nullable name: checkpoints of unions of columns that cannot be null fail in Spark 4.1
+    return F.nullif(F.concat_ws("\t", "capture_id", F.col("snapshot_index").cast("string"), F.col(end).cast("string")), F.lit(""))
+
+
+def cycle_metrics(edges: DataFrame) -> DataFrame:
+    """Per snapshot with edges (waiter, owner): threads on edges, distinct edges, cycles, threads in them, and the longest chain of waits.
+
+    A cycle is a strongly connected part of two threads or more, or a thread that waits for itself; the longest chain is
+    counted with cycles drawn together. Threads are named by snapshot, so all snapshots of all captures go in one run.
+    """
+    named = generic.cut(edges.select(_named("waiter").alias("source"), _named("owner").alias("target")).distinct())
+    parts = generic.cut(generic.strong_components(named))
+    turns = named.where("source = target").select(F.col("source").alias("node"), F.lit(True).alias("turns"))
+    per_part = parts.join(turns, "node", "left").groupBy("component").agg(F.count("*").alias("members"), F.coalesce(F.bool_or("turns"), F.lit(False)).alias("turns"))
+    snapshot = lambda c: [F.split(c, "\t")[0].alias("capture_id"), F.split(c, "\t")[1].cast("int").alias("snapshot_index")]
+    cyclic = (F.col("members") > 1) | F.col("turns")
+    of_parts = per_part.groupBy(*snapshot("component")).agg(F.sum("members").alias("threads"), F.count_if(cyclic).alias("cycles"), F.coalesce(F.sum(F.when(cyclic, F.col("members"))), F.lit(0)).alias("cyclic_threads"))
+    of_edges = named.groupBy(*snapshot("source")).agg(F.count("*").alias("edges"))
+    longest = generic.depths(named).groupBy(*snapshot("node")).agg(F.max("depth").alias("depth"))
+    return of_parts.join(of_edges, _KEYS).join(longest, _KEYS)
+
+
 def dependents(edges: DataFrame) -> DataFrame:
     """Per blocker of a snapshot: threads that wait for it directly, indirectly and in all through edges with one owner, and those only seen through ambiguous ones."""
-    # a nullable name: checkpoints of unions of columns that cannot be null fail in Spark 4.1
-    node = lambda end: F.nullif(F.concat_ws("\t", "capture_id", F.col("snapshot_index").cast("string"), F.col(end).cast("string")), F.lit(""))
-    named = generic.cut(edges.select(node("waiter").alias("source"), node("owner").alias("target"), "ambiguous"))
+    named = generic.cut(edges.select(_named("waiter").alias("source"), _named("owner").alias("target"), "ambiguous"))
     sure = named.where("NOT ambiguous").select("source", "target")
     of = lambda part, name: generic.ancestor_counts(part.select("source", "target")).select(F.col("node").alias("target"), F.col("n").alias(name))
     every, definite = of(named, "all_of"), of(sure, "dependents")

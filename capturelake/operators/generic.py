@@ -88,10 +88,10 @@ def reach(edges: DataFrame) -> DataFrame:
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest label that reaches a node along edges (source, target), its own included."""
+    """(node, label): the smallest label that reaches a node along edges (source, target), its own included; null is none."""
     while True:
         sent = edges.join(labels.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("met"))
-        new = cut(labels.join(sent, "node", "left").select("node", F.least("label", "met").alias("label"), (F.col("met") < F.col("label")).alias("moved")))
+        new = cut(labels.join(sent, "node", "left").select("node", F.least("label", "met").alias("label"), F.coalesce(F.col("met") < F.col("label"), F.col("met").isNotNull()).alias("moved")))
         if not new.where("moved").take(1):
             return new.drop("moved")
         labels = new.drop("moved")
@@ -121,7 +121,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         a, b = forward.withColumnsRenamed({"node": "source", "label": "label_a"}), forward.withColumnsRenamed({"node": "target", "label": "label_b"})
         own = cut(left.join(a, "source").join(b, "target").where("label_a = label_b").select("source", "target"))
         back = own.select(F.col("target").alias("source"), F.col("source").alias("target"))
-        start = forward.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).otherwise(F.lit(2**63 - 1)).alias("label"))
+        start = forward.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"))
         found = cut(_spread(start, back).alias("b").join(forward.alias("f"), "node").where("b.label = f.label").select("node", F.col("f.label").alias("component")))
         done.append(found)
         left = cut(own.join(found.withColumnRenamed("node", "source"), "source", "left_anti").join(found.withColumnRenamed("node", "target"), "target", "left_anti"))

@@ -382,3 +382,31 @@ def a7_library_scenarios(spark, sf_dir):
     detail = F.when(F.col("java_state") == "WAITING", "parking").when(F.col("java_state") == "TIMED_WAITING", "sleeping")
     told = patterns.scenario(patterns.classified(rows.withColumn("state_detail", detail), locks), "synchronization")
     return told.groupBy("capture_id", "scenario", F.col("scenario_severity").alias("severity"), F.col("scenario_confidence").alias("confidence")).agg(F.count("*").alias("n"))
+
+
+# --- cycles and chains of a snapshot ----------------------------------------------------
+
+_RING = (
+    f"WITH {_E}, t AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, user_id, arg_max(event_type, us) AS kind FROM e GROUP BY ALL), x AS (SELECT w.capture_id, w.user_id AS a, o.user_id AS b, w.user_id // 3 AS ring FROM t w JOIN t o ON o.capture_id = w.capture_id AND o.user_id = w.user_id // 3 * 3 + (w.user_id + 1) % 3 WHERE w.kind IN ('error', 'click', 'signup'))"
+    ", k AS (SELECT capture_id, ring, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT capture_id, ring, count(DISTINCT u) AS members FROM (SELECT capture_id, ring, unnest([a, b]) AS u FROM x) GROUP BY ALL)"
+)
+
+
+def _ring_edges(spark, sf_dir):
+    marked = generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.ring_dumps(_table(spark, sf_dir, "events"))))))
+    return generic.cut(blocking.dependency_edges(threads.lock_observations(marked)).unionByName(blocking.class_edges(threads.class_initialization(marked))))
+
+
+@query("a27_snapshot_cycles", _RING + " SELECT capture_id, CAST(sum(members) AS BIGINT) AS threads, count(*) FILTER (WHERE n = 3) AS cycles, CAST(coalesce(sum(members) FILTER (WHERE n = 3), 0) AS BIGINT) AS cyclic_threads, CAST(sum(n) AS BIGINT) AS edges, CAST(max(CASE WHEN n < 3 THEN n ELSE 0 END) AS INTEGER) AS depth FROM k JOIN m USING (capture_id, ring) GROUP BY 1")
+def a27_snapshot_cycles(spark, sf_dir):
+    return blocking.cycle_metrics(_ring_edges(spark, sf_dir)).drop("snapshot_index")
+
+
+@query("g3_snapshot_cycles", _RING + " SELECT capture_id, ring, count(*) AS threads FROM (SELECT capture_id, ring FROM k WHERE n = 3) JOIN (SELECT unnest([0, 1, 2]) AS i) ON TRUE GROUP BY ALL")
+def g3_snapshot_cycles(spark, sf_dir):
+    edges = _ring_edges(spark, sf_dir)
+    name = lambda end: F.concat_ws("\t", "capture_id", F.col(end).cast("string"))
+    found = generic.in_cycles(edges.select(F.nullif(name("waiter"), F.lit("")).alias("source"), F.nullif(name("owner"), F.lit("")).alias("target")))
+    marked = found.select(F.split("node", "\t")[0].alias("capture_id"), F.split("node", "\t")[1].cast("int").alias("start_line"))
+    names = threads.threads(threads.snapshots(generic.cut(rendered.lines(rendered.ring_dumps(_table(spark, sf_dir, "events")))))).select("capture_id", "start_line", F.regexp_extract("thread_name", r"(\d+)", 1).cast("long").alias("user_id"))
+    return marked.join(names, ["capture_id", "start_line"]).groupBy("capture_id", F.floor(F.col("user_id") / 3).alias("ring")).agg(F.count("*").alias("threads"))

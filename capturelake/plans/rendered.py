@@ -222,3 +222,19 @@ def mixed_handshakes(events: DataFrame) -> DataFrame:
         .otherwise(F.concat(head("Produced client Certificate handshake message (\n"), F.format_string('  "subject"            : "O=a, CN=\\"client, %d\\", C=SE",\n  "subject" : "CN=issuer"\n)', number % 5)))
     )
     return _keyed(e.select("user_id", "us", F.lit(0).alias("part"), line.alias("line")), "user_id")
+
+
+def ring_dumps(events: DataFrame) -> DataFrame:
+    """Dumps of a day in which each three users form a ring: a thread holds its own lock and may wait for the next one's, or
+    for the class that the next one initializes."""
+    e = _events(events)
+    day = e.groupBy(F.to_date("at").alias("day"), "user_id").agg(F.max_by("event_type", "us").alias("kind"))
+    user, kind = F.col("user_id"), F.col("kind")
+    after = F.floor(user / 3) * 3 + (user + 1) % 3
+    wait = F.when(kind.isin("error", "click"), F.format_string("\t- waiting to lock <0x%x> (a app.Session)\n", after + 256)).when(kind == "signup", F.format_string("\t- waiting on the Class initialization monitor for app.C%d\n", after)).otherwise("")
+    block = F.concat(
+        F.format_string('"user-%d" #%d prio=5 tid=0x%x nid=0x1 runnable\n   java.lang.Thread.State: RUNNABLE\n\tat app.A.b(A.java:1)\n', user, user + 1, user + 4096), wait,
+        F.format_string("\tat app.C%d.<clinit>(C.java:1)\n\t- locked <0x%x> (a app.Session)\n", user, user + 256),
+    )
+    head = day.select("day").distinct().select("day", F.lit(-1).cast("long").alias("us"), F.lit(0).alias("part"), F.lit("Full thread dump OpenJDK 64-Bit Server VM (21.0.1+12 mixed mode):\n").alias("line"))
+    return _keyed(head.unionByName(day.select("day", user.alias("us"), F.lit(1).alias("part"), block.alias("line"))), "day")
