@@ -275,6 +275,38 @@ def best_excerpt(docs: DataFrame, key: str, text: str, query: str, width: int =
     return docs.join(best, key).select(key, F.col("from").alias("start"), "words", F.substring(F.col(text), F.col("from") + 1, F.lit(width)).alias("excerpt"))
 
 
+def section_excerpts(sections: DataFrame, key: str, number: str, text: str, query: str, width: int = 240, lead: int = 65, slack: int = 25) -> DataFrame:
+    """Per key with a match: number, start, end, words and excerpt of its best section; sections are numbered within a key.
+
+    First the section with most different query words wins (ties: the first one), then inside it the window of `width`
+    characters, begun `lead` before a match, with most of them (ties: the earliest). Overlapping matches count as one, by
+    the word of the first. Ends inside the text move to a space up to `slack` characters further in, and show an ellipsis.
+    """
+    rows = sections.where(F.col(text).isNotNull()).select(F.struct(F.col(key).alias("k"), F.col(number).alias("n")).alias("_id"), F.col(text).alias("_t"))
+    order = Window.partitionBy("_id").orderBy("start", F.desc("end"))
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = word_hits(rows, "_id", "_t", query).withColumn("fresh", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = cut(marked.groupBy("_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("word", F.struct("start", -F.col("end"))).alias("word")))
+    of_section = hits.groupBy("_id").agg(F.count_distinct("word").alias("found"))
+    best = of_section.groupBy(F.col("_id.k").alias("k")).agg(F.min_by("_id", F.struct(-F.col("found"), F.col("_id.n"))).alias("_id"))
+    own = hits.join(best.select("_id"), "_id", "left_semi")
+    cell = lambda c: F.floor(c / width)
+    starts = own.select("_id", F.greatest(F.lit(0), F.col("start") - lead).alias("from")).distinct().withColumn("cell", F.explode(F.array(cell(F.col("from")), cell(F.col("from")) + 1)))
+    inside = starts.join(own.withColumn("cell", cell(F.col("start"))), ["_id", "cell"]).where((F.col("start") >= F.col("from")) & (F.col("end") <= F.col("from") + width))
+    counted = inside.groupBy("_id", "from").agg(F.count_distinct("word").alias("words"))
+    chosen = counted.groupBy("_id").agg(F.max_by(F.struct("from", "words"), F.struct("words", -F.col("from"))).alias("w")).join(rows, "_id")
+    length, begin = F.length("_t"), F.col("w.from")
+    end = F.least(length, begin + width)
+    after = F.expr("locate(' ', _t, w.from + 1)") - 1
+    moved = F.when((begin > 0) & (after >= 0) & (after < begin + slack), after + 1).otherwise(begin)
+    tail = F.substring(F.col("_t"), end - slack + 2, F.lit(slack))
+    last = end - slack + F.length(tail) + 1 - F.locate(" ", F.reverse(tail))
+    shut = F.when((end < length) & F.contains(tail, F.lit(" ")), last).otherwise(end)
+    told = chosen.select(F.col("_id.k").alias(key), F.col("_id.n").alias(number), moved.alias("start"), shut.alias("end"), F.col("w.words").alias("words"), "_t", length.alias("_n"))
+    shown = F.concat(F.when(F.col("start") > 0, "…").otherwise(""), F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")), F.when(F.col("end") < F.col("_n"), "…").otherwise(""))
+    return told.select(key, number, "start", "end", "words", shown.alias("excerpt"))
+
+
 def availability(wanted: DataFrame, known_versions: list[int], file_formats: tuple[str, ...] = ("plain", "json"), formats: tuple[str, ...] = ("classic", "plain", "json", "tls"), since: int = 19) -> DataFrame:
     """wanted (format, version, vm) with `available` (null where unknown) and status, in this order: an unknown format, an unknown version or VM, a file dump before `since`, available."""
     known = F.col("version").isin(known_versions) & (F.col("vm") == "hotspot")

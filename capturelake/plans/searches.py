@@ -110,6 +110,14 @@ def x3_best_excerpt(spark, sf_dir):
     return generic.best_excerpt(_table(spark, sf_dir, "documents"), "doc_id", "text", "licensed under token")
 
 
+def x3_section_excerpts(spark, sf_dir):
+    """Lines of a document are its sections."""
+    _checkpoints(spark)
+    sections = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "line"))
+    return generic.section_excerpts(sections, "doc_id", "section", "line", "licensed under token")
+
+
+query("x3_section_excerpts")(x3_section_excerpts)
 query("x2_match_ranges")(x2_match_ranges)
 query("x3_best_excerpt")(x3_best_excerpt)
 
