@@ -139,3 +139,57 @@ def rolled_up(findings: DataFrame) -> DataFrame:
     met = low.join(above, (low["capture_id"] == above["capture_id"]) & (low["locks"] == above["parent_locks"])).where(F.size(F.array_except("waiters", "people")) == 0)
     under = met.groupBy(low["capture_id"], "finding_id").agg(F.min("parent").alias("parent"))
     return findings.join(under, ["capture_id", "finding_id"], "left")
+
+
+#: Locks and waiters for each lock that a density shows; None shows all.
+DENSITIES = {"compact": (5, 6), "balanced": (10, 12), "complete": (None, None)}
+#: Weights of a lock's waiters, owners, having an owner and being a monitor; of a waiter's state, of its also
+#: owning, of a finding (and the most of them), of its severity score.
+LOCK_WEIGHTS, STATE_WEIGHTS = (10_000, 1_500, 4_000, 250), (("BLOCKED", 1_000_000), ("WAITING", 350_000), ("TIMED_WAITING", 250_000))
+OWNS, FINDING, FINDINGS, SEVERITY = 50_000, 250, 10_000, 10
+
+
+def ranked_contention(people: DataFrame, locks: DataFrame, deadlocked: DataFrame, monitors: bool = True, synchronizers: bool = True, unresolved: bool = True) -> DataFrame:
+    """One row per wait on a lock of a snapshot, with the lock's and the waiter's rank: what `visible_contention` cuts.
+
+    `people`: threads with thread_name, java_state and, where known, severity_score, finding_count and deadlocked;
+    `deadlocked`: locks (capture_id, snapshot_index, lock_id) of confirmed deadlocks. Deadlocked locks have lock_rank 0, as
+    they stand outside every limit; the others are ranked by weight, then id. Kinds of locks can be left out, and with
+    `unresolved` false also locks without an owner, but deadlocked ones.
+    """
+    have = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind)) if c in people.columns else F.lit(0).cast(kind)
+    key = [*_KEYS, "lock_id"]
+    waits = locks.where(F.col("kind").isin(*threads.CONTENDED)).select(*key, "start_line").distinct()
+    monitor = F.col("kind").isin("monitor", "monitor-enter", "monitor-wait")
+    per = locks.groupBy(*key).agg(
+        F.count_distinct(F.when(F.col("kind").isin(*threads.CONTENDED), F.col("start_line"))).alias("waiters"), F.count_distinct(F.when(F.col("kind").isin(*threads.HOLDS), F.col("start_line"))).alias("owners"),
+        F.when(F.bool_and(monitor), "monitor").when(F.bool_or(monitor), "mixed").otherwise("synchronizer").alias("resource"),
+    )
+    per = per.join(deadlocked.select(*key).distinct().withColumn("deadlock", F.lit(True)), key, "left").withColumn("deadlock", F.coalesce("deadlock", F.lit(False))).where("waiters > 0")
+    shown = {"monitor": monitors, "synchronizer": synchronizers, "mixed": monitors or synchronizers}
+    per = per.where(F.col("resource").isin(*[k for k, v in shown.items() if v]) & ((F.col("owners") > 0) | F.col("deadlock") | F.lit(unresolved)))
+    waiter, owner, owned, own_kind = LOCK_WEIGHTS
+    weight = F.col("waiters") * waiter + F.col("owners") * owner + F.when(F.col("owners") > 0, owned).otherwise(0) + F.when(F.col("resource") == "monitor", own_kind).otherwise(0)
+    by_weight = Window.partitionBy(*_KEYS, "deadlock").orderBy(F.desc("weight"), "lock_id")
+    per = per.withColumn("weight", weight).withColumn("lock_rank", F.when(F.col("deadlock"), 0).otherwise(F.row_number().over(by_weight)))
+    holders = locks.where(F.col("kind").isin(*threads.HOLDS)).select(*_KEYS, "start_line", F.lit(True).alias("owns")).distinct()
+    of = people.select(*_KEYS, "start_line", "thread_name", "java_state", have("severity_score", "long").alias("severity_score"), have("finding_count", "long").alias("finding_count"), have("deadlocked", "boolean").alias("in_deadlock"))
+    state = F.coalesce(*[F.when(F.col("java_state") == name, n) for name, n in STATE_WEIGHTS], F.lit(0))
+    urgency = F.col("severity_score") * SEVERITY + state + F.when(F.col("owns"), OWNS).otherwise(0) + F.least(F.lit(FINDINGS), F.col("finding_count") * FINDING)
+    rows = waits.join(per, key).join(of, [*_KEYS, "start_line"]).join(holders, [*_KEYS, "start_line"], "left").withColumn("urgency", urgency)
+    by_urgency = Window.partitionBy(*key).orderBy(F.desc("in_deadlock"), F.desc("urgency"), "thread_name", "start_line")
+    return rows.withColumn("waiter_rank", F.row_number().over(by_urgency))
+
+
+def visible_contention(ranked: DataFrame, density: str | tuple[int | None, int | None] = "compact") -> DataFrame:
+    """The waits that a density shows: of its locks its waiters, with every deadlocked lock and every deadlocked waiter of one."""
+    most_locks, most_waiters = DENSITIES[density] if isinstance(density, str) else density
+    within = lambda c, n: F.lit(True) if n is None else F.col(c) <= n
+    return ranked.where(within("lock_rank", most_locks) & (within("waiter_rank", most_waiters) | (F.col("deadlock") & F.col("in_deadlock"))))
+
+
+def hidden_contention(ranked: DataFrame, density: str | tuple[int | None, int | None] = "compact") -> DataFrame:
+    """Per snapshot with contention: locks and waits in all, and how many of each a density hides."""
+    shown = visible_contention(ranked, density).groupBy(*_KEYS).agg(F.count_distinct("lock_id").alias("_locks"), F.count("*").alias("_waits"))
+    every = ranked.groupBy(*_KEYS).agg(F.count_distinct("lock_id").alias("locks"), F.count("*").alias("waits"))
+    return every.join(shown, _KEYS, "left").select(*_KEYS, "locks", "waits", (F.col("locks") - F.coalesce("_locks", F.lit(0))).alias("hidden_locks"), (F.col("waits") - F.coalesce("_waits", F.lit(0))).alias("hidden_waits"))

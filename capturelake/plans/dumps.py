@@ -410,3 +410,30 @@ def g3_snapshot_cycles(spark, sf_dir):
     marked = found.select(F.split("node", "\t")[0].alias("capture_id"), F.split("node", "\t")[1].cast("int").alias("start_line"))
     names = threads.threads(threads.snapshots(generic.cut(rendered.lines(rendered.ring_dumps(_table(spark, sf_dir, "events")))))).select("capture_id", "start_line", F.regexp_extract("thread_name", r"(\d+)", 1).cast("long").alias("user_id"))
     return marked.join(names, ["capture_id", "start_line"]).groupBy("capture_id", F.floor(F.col("user_id") / 3).alias("ring")).agg(F.count("*").alias("threads"))
+
+
+# --- densities of a contention map ---------------------------------------------------------
+
+_MAP = (
+    _DAY + ", ml AS (SELECT capture_id, lock, count(*) AS waiters, lock % 7 = 3 AS deadlock FROM w GROUP BY ALL), mo AS (SELECT ml.*, CASE WHEN t.user_id IS NOT NULL AND NOT (t.kind = 'error' AND t.user_id // 2 = t.user_id) THEN 1 ELSE 0 END AS owners FROM ml LEFT JOIN t ON t.capture_id = ml.capture_id AND t.user_id = ml.lock)"
+    ", mr AS (SELECT *, CASE WHEN deadlock THEN 0 ELSE row_number() OVER (PARTITION BY capture_id, deadlock ORDER BY waiters * 10000 + owners * 5500 DESC, '0x' || lower(printf('%x', lock))) END AS lock_rank FROM mo)"
+    ", mw AS (SELECT mr.*, w.waiter, w.waiter % 2 = 0 AS dead, row_number() OVER (PARTITION BY mr.capture_id, mr.lock ORDER BY w.waiter % 2 = 0 DESC, CASE WHEN w.waiter // 2 = w.waiter THEN 0 ELSE 1 END DESC, 'user-' || w.waiter) AS waiter_rank FROM mr JOIN w USING (capture_id, lock)), ms AS (SELECT * FROM mw WHERE lock_rank <= 3 AND (waiter_rank <= 1 OR deadlock AND dead))"
+)
+
+
+def _contention_map(spark, sf_dir):
+    marked = _dump(spark, sf_dir)
+    locks = generic.cut(threads.lock_observations(marked))
+    people = threads.threads(marked).withColumn("deadlocked", F.regexp_extract("thread_name", r"(\d+)", 1).cast("long") % 2 == 0)
+    number = F.conv(F.substring("lock_id", 3, 16), 16, 10).cast("long")
+    return blocking.ranked_contention(people, locks, locks.where(number % 7 == 3))
+
+
+@query("k6_visible_waits", _MAP + " SELECT capture_id, '0x' || lower(printf('%x', lock)) AS lock_id, CAST(lock_rank AS INTEGER) AS lock_rank, 'user-' || waiter AS thread_name, CAST(waiter_rank AS INTEGER) AS waiter_rank FROM ms")
+def k6_visible_waits(spark, sf_dir):
+    return blocking.visible_contention(_contention_map(spark, sf_dir), (3, 1)).select("capture_id", "lock_id", "lock_rank", "thread_name", "waiter_rank")
+
+
+@query("k6_hidden_counts", _MAP + " SELECT a.capture_id, a.locks, a.waits, a.locks - coalesce(s.locks, 0) AS hidden_locks, a.waits - coalesce(s.waits, 0) AS hidden_waits FROM (SELECT capture_id, count(DISTINCT lock) AS locks, count(*) AS waits FROM mw GROUP BY 1) a LEFT JOIN (SELECT capture_id, count(DISTINCT lock) AS locks, count(*) AS waits FROM ms GROUP BY 1) s USING (capture_id)")
+def k6_hidden_counts(spark, sf_dir):
+    return blocking.hidden_contention(_contention_map(spark, sf_dir), (3, 1)).drop("snapshot_index")
