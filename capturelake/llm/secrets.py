@@ -2,12 +2,15 @@
 
 Patterns (leftmost, non-overlapping per kind): `assign` (a name, a sign and a value of 6+ characters), `access`
 (AKIA..., 20+ characters) and `hex` (24+ characters). The method adds `markov` spans: whole runs of 20+ token
-characters, not overlapping a pattern's span, whose log-likelihood ratio of a bigram model of random strings to one of
-ordinary identifiers exceeds `threshold`.
+characters, or pieces of 20+ letters and digits of a run, not overlapping a pattern's span, whose log-likelihood ratio of
+a bigram model of random strings to one of ordinary identifiers exceeds the threshold.
 
 Both models are counted from labelled samples: random strings (hexadecimal and base-64 digests salted per document, label
-1) and the words of the same documents (label 0), at most SAMPLE documents in hash order. The models are one table of
-96 x 96 log ratios, whatever the corpus. Positions are code points, ends exclusive. Null and empty texts have no spans.
+1) and identifiers (label 0): words of the same documents and of Spark's settings in the forms of identifiers, paths,
+addresses and settings, numbers and rulers. At most SAMPLE documents in hash order are used. The threshold is fitted on
+held-out ordinary samples. The models are one table of 96 x 96 log ratios, whatever the corpus. Positions are code points,
+ends exclusive. Null and empty texts have no spans; repeated rows have equal ones. An id of random digits (a UUID) counts
+as random.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import hash_sample
+from capturelake.llm.common import written
 
 #: Fixed patterns of the base spans.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,8 +28,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}"
 KINDS = ("assign", "access", "hex", "markov")
+PIECE = r"[A-Za-z0-9]{20,}"
+#: Fixed words of the ordinary samples: roots and endings of paths.
+ROOTS = ("src/main/java", "src", "usr/lib", "home/user", "var/log", "opt", "tmp", "etc", "org/example", "api/v1", "images", "static", "docs", "tests", "lib", "bin", "data", "assets")
+ENDINGS = ("java", "py", "html", "txt", "json", "tar.gz", "md", "png", "xml", "csv", "js", "jpg", "pdf", "conf")
 SAMPLE = 2_000
-THRESHOLD = 12.0
+#: Of held-out ordinary runs this share may pass the threshold; random strings are taken to be this many times rarer.
+FALSE_RATE = 0.0005
+PRIOR = 10_000
 MARK = "[SECRET]"
 BLOCK = 1024
 STEP = 128
@@ -87,46 +96,109 @@ def _apart(runs, base) -> F.Column:
 
 def _bigrams(samples: DataFrame) -> DataFrame:
     """label, a, b (character codes less 32), n."""
-    chars = F.split("sample", "")
-    pairs = F.zip_with(F.slice(chars, 1, F.length("sample") - 1), F.slice(chars, 2, F.length("sample") - 1), lambda x, y: F.struct((F.ascii(x) - 32).alias("a"), (F.ascii(y) - 32).alias("b")))
-    each = samples.where(F.length("sample") >= 2).select("label", F.explode(pairs).alias("p")).select("label", "p.a", "p.b")
-    return each.groupBy("label", "a", "b").agg(F.count("*").alias("n"))
+    pairs = samples.select("label", F.explode(F.regexp_extract_all("sample", F.lit("(?=(..))"), F.lit(1))).alias("pair"))
+    code = lambda at: F.ascii(F.substring("pair", at, 1)) - 32
+    return pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).select("label", code(1).alias("a"), code(2).alias("b"), "n")
+
+
+def _named(phrase) -> F.Column:
+    """Five words written as one identifier, path, address or setting; the phrase's hash chooses the form."""
+    pick = lambda choices, turn: F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(F.xxhash64(phrase, F.lit(turn)), F.lit(len(choices))) + 1).cast("int"))
+    low = F.lower(F.regexp_replace(phrase, "[^A-Za-z]+", " "))
+    ending, root, number = pick(ENDINGS, 1), pick(ROOTS, 2), F.pmod(F.xxhash64(phrase, F.lit(3)), F.lit(1000)).cast("string")
+    joined = lambda sign: F.regexp_replace(low, " ", sign)
+    pascal = F.regexp_replace(F.initcap(low), " ", "")
+    head = lambda n: F.substring_index(low, " ", n)
+    tail = lambda n: F.substring_index(low, " ", -n)
+    class_name = F.regexp_replace(F.initcap(tail(3)), " ", "")
+    with_first = lambda sign: F.concat_ws(sign, root, F.regexp_replace(head(2), " ", sign))
+    forms = [
+        joined("_"), joined("-"), F.upper(joined("_")), joined("."), joined(""), pascal, pascal, pascal,
+        F.concat(F.substring(low, 1, 1), F.substring(pascal, 2, 1 << 20)),
+        F.concat_ws(".", with_first("."), class_name), F.concat(with_first("/"), F.lit("/"), class_name, F.lit("."), ending),
+        F.concat(F.lit("/"), with_first("/"), F.lit("/"), F.regexp_replace(tail(3), " ", "_"), F.lit("."), ending),
+        F.concat(F.lit("//www."), F.regexp_replace(head(2), " ", "-"), F.lit(".com/"), root, F.lit("/"), F.regexp_replace(tail(3), " ", "-"), F.lit("."), ending),
+        F.concat(F.regexp_replace(head(2), " ", "_"), F.lit("=/"), root, F.lit("/"), F.regexp_replace(tail(3), " ", "_"), F.lit("_v"), number, F.lit("."), ending),
+        F.concat(F.regexp_replace(head(3), " ", "-"), F.lit("-"), F.substring(number, 1, 1), F.lit("."), number, F.lit("."), ending),
+        F.concat(class_name, number, F.regexp_replace(F.initcap(head(2)), " ", "")),
+    ]
+    turn = F.pmod(F.xxhash64(phrase), F.lit(len(forms)))
+    return F.coalesce(*[F.when(turn == i, form) for i, form in enumerate(forms)])
 
 
 def labelled_samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """label, sample: random strings (1) and ordinary words (0) of the same bounded set of documents."""
-    some = hash_sample(docs.where("text is not null and text <> ''"), "doc_id", most)
-    digest = F.sha2(F.concat_ws(":", F.lit("sample"), F.col("doc_id").cast("string")), 512)
-    base64 = F.base64(F.unhex(digest))
-    random = some.select(F.explode(F.array(F.substring(digest, 1, 40), F.substring(base64, 1, 40), F.substring(base64, 41, 44), F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 1, 24)))).alias("sample"), F.lit(1).alias("label"))
-    clean = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), HEX, " ")
-    ordinary = some.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9+/_=.-]{3,}"), F.lit(0))).alias("sample"), F.lit(0).alias("label"))
-    return random.unionByName(ordinary)
+    """label, sample, held_out: random strings (1), and identifiers, numbers and rulers (0).
 
-
-def log_ratios(docs: DataFrame) -> list[float]:
+    The words are those of at most `most` documents (of rows with one id the smallest text) and of Spark's own settings
+    and their descriptions, which bring names of real code whatever the corpus. One phrase or document in five is held out, by hash.
+    """
+    spark = docs.sparkSession
+    filled = docs.where("text <> '' AND doc_id IS NOT NULL")
+    ids = filled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    some = filled.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    settings = spark.sql("SET -v").select(F.col("key").alias("name"), F.concat_ws(" ", "key", "meaning").alias("text"))
+    texts = some.select(F.col("doc_id").cast("string").alias("name"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ").alias("text")).unionByName(settings)
+    digest = F.sha2(F.concat_ws(":", F.lit("sample"), F.col("name")), 512)
+    base64 = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")  # base64 breaks lines
+    digits = F.concat(*[F.lpad(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(10**9)).cast("string"), 9, "0") for i in range(4)])
+    sign = lambda turn: F.element_at(F.array(*[F.lit(c) for c in "-=_.+/"]), (F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(6)) + 1).cast("int"))
+    random = F.array(F.substring(digest, 1, 40), F.upper(F.substring(digest, 41, 40)), F.substring(base64, 1, 40), F.translate(F.substring(base64, 41, 44), "+/", "-_"), F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 1, 32), F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 41, 24)))
+    part = lambda at, n: F.substring(digits, at, n)
+    plain = F.array(digits, F.concat_ws("-", part(1, 4), part(5, 2), F.concat(part(7, 2), F.lit("T"), part(9, 2)), part(11, 2), part(13, 2)), F.concat_ws(".", part(1, 3), part(4, 2), part(6, 3), part(9, 2), part(11, 3), part(14, 4)), F.concat_ws("/", part(1, 4), part(5, 2), part(7, 2), part(9, 6), part(15, 6)), F.repeat(sign(4), F.lit(40)), F.repeat(F.concat(sign(5), sign(6)), F.lit(20)))
+    phrase = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}(?:[^A-Za-z]+[A-Za-z]{2,}){4}"), F.lit(0)))
+    phrases, names = texts.select(phrase.alias("source")), texts.select(F.col("name").alias("source"), F.explode(plain).alias("sample"))
+    ordinary = phrases.withColumn("sample", _named(F.col("source"))).unionByName(names).withColumn("label", F.lit(0))
+    both = texts.select(F.col("name").alias("source"), F.explode(random).alias("sample"), F.lit(1).alias("label")).unionByName(ordinary)
+    return both.select("label", "sample", (F.pmod(F.xxhash64("source"), F.lit(5)) == 0).alias("held_out"))
+
+
+def log_ratios(samples: DataFrame) -> list[float]:
     """The 96 x 96 table ln P(b | a, random) - ln P(b | a, ordinary), add-half smoothed over 68 characters."""
-    n = {(r.label, r.a, r.b): r.n for r in _bigrams(labelled_samples(docs)).collect()}  # at most 2 * 96 * 96 rows
+    n = {(r.label, r.a, r.b): r.n for r in _bigrams(samples).collect()}  # at most 2 * 96 * 96 rows
     row = {(k, a): sum(n.get((k, a, b), 0) for b in range(96)) for k in (0, 1) for a in range(96)}
     p = lambda k, a, b: (n.get((k, a, b), 0) + 0.5) / (row[k, a] + 34)
     return [math.log(p(1, a, b) / p(0, a, b)) for a in range(96) for b in range(96)]
 
 
+def fitted(docs: DataFrame) -> tuple[list[float], float]:
+    """The table of log ratios and the threshold: that which FALSE_RATE of the held-out ordinary runs pass, ln PRIOR at least."""
+    samples = written(labelled_samples(docs))
+    table = log_ratios(samples.where("NOT held_out"))
+    runs = samples.where("held_out AND label = 0").where(F.length("sample") >= 20)
+    top = runs.agg(F.percentile(_ratio(F.col("sample"), _table(table)), F.lit(1 - FALSE_RATE)).alias("top")).first().top
+    return table, max(math.log(PRIOR), top or 0.0)
+
+
+def _table(ratios: list[float]) -> F.Column:
+    """The ratios as one literal, read from a string: thousands of literals would make a large plan."""
+    return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+
+
 def _ratio(run, table) -> F.Column:
     chars, n = F.split(run, ""), F.length(run)
     steps = F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda x, y: F.element_at(table, (F.ascii(x) - 32) * 96 + F.ascii(y) - 31))
     return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def find_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _judged(run, table, threshold: float) -> F.Column:
+    """The run if it is random as a whole, else those of its pieces of 20 or more letters and digits that are."""
+    pieces = F.filter(_spans(run["match"], PIECE, 3), lambda x: _ratio(x["match"], table) > threshold)
+    placed = F.transform(pieces, lambda x: F.struct((x["start"] + run["start"]).alias("start"), x["rank"].alias("rank"), (x["end"] + run["start"]).alias("end"), x["match"].alias("match")))
+    return F.when(_ratio(run["match"], table) > threshold, F.array(run)).when(run["match"].rlike("[+/_=.-]"), placed).otherwise(F.array().cast(_MATCH))
+
+
+def find_secrets(docs: DataFrame, threshold: float | None = None) -> DataFrame:
     """The rows of docs (doc_id, text and any others) with base_spans and all_spans: start, rank (place in KINDS), end.
 
-    Columns of these two names are replaced. Work grows linearly with a text's length and number of matches.
+    Columns of these two names are replaced. Work grows linearly with a text's length and number of matches. A threshold
+    takes the place of the fitted one.
     """
-    table = F.lit(log_ratios(docs.select("doc_id", "text")))
+    ratios, limit = fitted(docs.select("doc_id", "text"))
+    limit = limit if threshold is None else threshold
+    table = _table(ratios)
     text = F.coalesce("text", F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    runs = F.filter(_spans(text, RUN, 3), lambda r: _ratio(r["match"], table) > threshold)
+    runs = F.flatten(F.transform(_spans(text, RUN, 3), lambda r: _judged(r, table, limit)))
     found = _let(base, lambda b: F.struct(b.alias("base"), _apart(runs, b).alias("more")))
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     with_found = docs.withColumn("all_spans", found)

@@ -1,7 +1,11 @@
 """Trained and native operators: held-out accuracy, brute force and edge cases."""
 
+import collections
 import html
+import math
+import random
 import re
+import string
 import time
 
 import corpus_pipeline
@@ -45,6 +49,52 @@ def test_redaction(spark):
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["a [SECRET] b", "clean", None]
 
 
+ORDINARY = [
+    "src/main/java/org/example/FooBarBaz.java", "=/home/user/project/file_v2_final.tar.gz", "-" * 32, "=-" * 12, "." * 24, "//github.com/someone/some-project/blob/master/README.md", "com.fasterxml.jackson.databind.ObjectMapper",
+    "AbstractSingletonProxyFactoryBean", "SimpleBeanFactoryAwareAspectInstanceFactory", "HttpURLConnectionFactoryImpl", "getElementsByTagNameNS", "MAX_CONCURRENT_CONNECTIONS_PER_HOST", "192.168.100.200/255.255.255.0", "1234567890123456789012",
+    "2024-01-31T12-30-59.123456789", "xgboost_classifier_v12_final2.ipynb", "kubectl-1.28.3-linux-amd64.tar.gz", "etc/systemd/system/multi-user.target.wants", "Donaudampfschifffahrtsgesellschaft", "Supercalifragilisticexpialidocious",
+]
+
+
+def test_random_and_ordinary_runs(spark, sf_dir):
+    """Found and falsely found: planted random strings by kind, identifiers outside the sample, and samples of other documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("length(text) < 20000")
+    rng = random.Random(11)
+    kinds = {"letters": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "upper": string.ascii_uppercase + string.digits, "HEX": "0123456789ABCDEF", "lower": string.ascii_lowercase + string.digits}
+    planted = [(kind, "".join(rng.choice(letters) for _ in range(n))) for kind, letters in kinds.items() for n in (20, 24, 32, 40) for _ in range(50)]
+    rows = [(10**9 + i, f"see {x} for it") for i, (_, x) in enumerate(planted)] + [(2 * 10**9 + i, f"see {x} for it") for i, x in enumerate(ORDINARY)]
+    mixed = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: [(s.start, s.end) for s in r.all_spans] for r in secrets.find_secrets(mixed).where("doc_id >= 1000000000").select("doc_id", "all_spans").collect()}
+    for kind in kinds:
+        hits = [(4, 4 + len(x)) in found[10**9 + i] for i, (k, x) in enumerate(planted) if k == kind]
+        assert sum(hits) / len(hits) >= 0.9, kind
+    assert [x for i, x in enumerate(ORDINARY) if found[2 * 10**9 + i]] == []
+    table, limit = secrets.fitted(docs)
+    other = secrets.labelled_samples(read(spark, LARGE, "documents").where("doc_id >= 5000").select("doc_id", "text"), 200).where("label = 0 AND length(sample) >= 20")
+    scores = [sum(table[(ord(a) - 32) * 96 + ord(b) - 32] for a, b in zip(r.sample, r.sample[1:])) for r in other.select("sample").collect()]
+    assert len(scores) > 10_000 and sum(x > limit for x in scores) / len(scores) < 0.001
+
+
+def test_secret_model_by_brute_force(spark, sf_dir):
+    """Counts, ratios and spans against plain Python; repeated ids give the same model in any order of rows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("length(text) < 5000")
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("~"), "text")))
+    samples = secrets.labelled_samples(docs, 50)
+    table = secrets.log_ratios(samples)
+    n = collections.Counter((r.label, a, b) for r in samples.collect() for a, b in zip(r.sample, r.sample[1:]))
+    row = collections.Counter()
+    for (k, a, _), c in n.items():
+        row[k, a] += c
+    p = lambda k, a, b: (n[k, a, b] + 0.5) / (row[k, a] + 34)
+    assert all(abs(table[(ord(a) - 32) * 96 + ord(b) - 32] - math.log(p(1, a, b) / p(0, a, b))) < 1e-9 for a in string.ascii_letters + "09-_/." for b in string.ascii_letters + "09-_/.")
+    count = lambda df: sorted((r.label, r.sample) for r in secrets.labelled_samples(df, 50).collect())
+    assert count(twice) == count(twice.orderBy(F.desc("text")).repartition(5))
+    made = spark.createDataFrame([(-1, "go /api/users/of/things/k9XzQ2mB7LpT4vWn8RsY3cJd/next.html ok"), (-2, "k9XzQ2mB7LpT4vWn8RsY3cJd"), (-3, "plain"), (-4, None)], "doc_id long, text string")
+    spans = {r.doc_id: [(s.start, s.rank, s.end) for s in r.all_spans] for r in secrets.find_secrets(docs.unionByName(made)).where("doc_id < 0").collect()}
+    assert {k: spans[k] for k in (-2, -3, -4)} == {-2: [(0, 3, 24)], -3: [], -4: []}
+    assert any(s <= 24 and e >= 48 for s, _, e in spans[-1])  # alone, or with the path around it
+
+
 def test_toxicity_held_out(spark):
     docs, labels = read(spark, LARGE, "documents"), read(spark, LARGE, "labels")
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
