@@ -61,6 +61,8 @@ def series(rows: DataFrame, accepted: DataFrame, rounds: int = 40) -> DataFrame:
         state = new.drop("moved")
         if not new.where("moved").take(1):
             break
+    else:
+        raise ValueError(f"a series is longer than 2 ** {rounds} links")
     roots = state.select("session", "node.snapshot", "node.source_key", F.col("root.snapshot").alias("first_snapshot"), F.col("root.source_key").alias("first_key"))
     return rows.join(roots, _NODE)
 
@@ -136,6 +138,48 @@ def presence_trend(rows: DataFrame, present, *key: str) -> DataFrame:
     )
 
 
+def continuity(rows: DataFrame, pairs: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Rows of series with place (from 1) and, by series, total and status.
+
+    identity-unavailable: a thread of it had candidates and none accepted, or isn't linked with the row before;
+    insufficient-data: a single row; snapshot-gap: a snapshot lies between two rows (the first break counts); available.
+    """
+    key = ["session", "first_snapshot", "first_key"]
+    whole = Window.partitionBy(*key)
+    w = whole.orderBy("snapshot", "source_key")
+    tried = pairs.select(*_NODE).distinct().withColumn("_tried", F.lit(True))
+    met = rows.join(accepted.select(*_NODE, F.col("before_source_key").alias("_linked")), _NODE, "left").join(tried, _NODE, "left")
+    placed = met.withColumn("place", F.row_number().over(w)).withColumn("_before", F.lag("source_key").over(w)).withColumn("_step", F.col("snapshot") - F.lag("snapshot").over(w))
+    unlinked = ~F.coalesce(F.col("_linked") == F.col("_before"), F.lit(False))
+    broken = F.when(F.col("_step") != 1, "snapshot-gap").when(unlinked, "identity-unavailable")
+    first = F.min(F.when((F.col("place") > 1) & broken.isNotNull(), F.struct("place", broken.alias("why")))).over(whole)
+    unsure = F.max(F.coalesce(F.col("_tried") & F.col("_linked").isNull(), F.lit(False))).over(whole)
+    counted = placed.withColumn("total", F.count("*").over(whole)).withColumn("_first", first).withColumn("_unsure", unsure)
+    status = F.when(F.col("_unsure"), "identity-unavailable").when(F.col("total") < 2, "insufficient-data").otherwise(F.coalesce("_first.why", F.lit("available")))
+    return counted.withColumn("status", status).drop("_linked", "_tried", "_before", "_step", "_first", "_unsure")
+
+
+def diagnostic_trends(placed: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row per series and diagnostic met in it: how often, streaks, and growing, shrinking, stable or insufficient-data.
+
+    `placed` comes from continuity(); `diagnostics` has a thread's session, snapshot, source_key and diagnostic (blank
+    ones and repeats don't count). Work follows the observations: unbroken runs of places are grouped, and what lies
+    between them is counted from their ends, without a row for each place where a diagnostic is absent.
+    """
+    key = ["session", "first_snapshot", "first_key", "diagnostic"]
+    met = diagnostics.where(F.trim("diagnostic") != "").select(*_NODE, "diagnostic").distinct().join(placed.select(*_NODE, "first_snapshot", "first_key", "place", "total", "status"), _NODE)
+    island = F.col("place") - F.row_number().over(Window.partitionBy(*key).orderBy("place"))
+    runs = met.withColumn("_run", island).groupBy(*key, "total", "status", "_run").agg(F.min("place").alias("start"), F.max("place").alias("stop"), F.count("*").alias("n"), F.min("snapshot").alias("since"), F.max("snapshot").alias("until"))
+    opens, closes = F.col("start") > 1, F.col("stop") < F.col("total")
+    per = runs.groupBy(*key, "total", "status").agg(
+        F.sum("n").alias("present"), F.sum(opens.cast("long") + closes.cast("long")).alias("transitions"), F.max("n").alias("longest"), F.sum(F.when(closes, 0).otherwise(F.col("n"))).alias("current"),
+        F.min("since").alias("first_observed"), F.max("until").alias("last_observed"), F.min("start").alias("_start"),
+    )
+    at_first, at_last = F.col("_start") == 1, F.col("current") > 0
+    trend = F.when(F.col("status") != "available", "insufficient-data").when(~at_first & at_last, "growing").when(at_first & ~at_last, "shrinking").otherwise("stable")
+    return per.withColumn("trend", trend).drop("_start")
+
+
 def snapshot_deltas(rows: DataFrame) -> DataFrame:
     """Threads, and those blocked, runnable or waiting, per snapshot and against the one before (null at the first)."""
     s = F.col("java_state")

@@ -406,6 +406,26 @@ def w6_blocked_trend(spark, sf_dir):
     return series.presence_trend(_series(spark, sf_dir)[0], F.col("java_state") == "BLOCKED", "session", "first_snapshot", "first_key")
 
 
+_SERIES = "session, user_id, first_snapshot"
+
+
+@query(
+    "w6_diagnostic_trends",
+    _SES + f", o AS (SELECT c.*, row_number() OVER (PARTITION BY {_SERIES} ORDER BY snapshot) AS place, count(*) OVER (PARTITION BY {_SERIES}) AS total FROM c), u AS (SELECT DISTINCT {_SERIES}, diagnostic FROM (SELECT {_SERIES}, unnest([java_state, CASE WHEN cpu >= 20000 THEN 'busy' END]) AS diagnostic FROM o) WHERE diagnostic IS NOT NULL), "
+    f"v AS (SELECT {_SERIES}, snapshot, place, total, diagnostic, (java_state = diagnostic OR (diagnostic = 'busy' AND cpu >= 20000)) AS x FROM o JOIN u USING ({_SERIES})), y AS (SELECT *, coalesce(x <> lag(x) OVER (PARTITION BY {_SERIES}, diagnostic ORDER BY place), FALSE) AS ch FROM v), z AS (SELECT *, sum(CAST(ch AS INTEGER)) OVER (PARTITION BY {_SERIES}, diagnostic ORDER BY place) AS run FROM y), "
+    f"n AS (SELECT {_SERIES}, diagnostic, total, run, x, count(*) AS n, min(snapshot) AS a, max(snapshot) AS b FROM z GROUP BY ALL), f AS (SELECT {_SERIES}, diagnostic, total, CAST(sum(n) FILTER (WHERE x) AS BIGINT) AS present, CAST(max(run) AS BIGINT) AS transitions, max(n) FILTER (WHERE x) AS longest, CASE WHEN arg_max(x, run) THEN arg_max(n, run) ELSE 0 END AS current, arg_min(x, run) AS x0, arg_max(x, run) AS x1, min(a) FILTER (WHERE x) AS first_observed, max(b) FILTER (WHERE x) AS last_observed FROM n GROUP BY ALL), "
+    "g AS (SELECT f.*, CASE WHEN k.m < k.m0 THEN 'identity-unavailable' WHEN total < 2 THEN 'insufficient-data' ELSE 'available' END AS status FROM f LEFT JOIN k ON k.session = f.session AND k.user_id = f.user_id AND k.snapshot = f.first_snapshot) "
+    "SELECT session, first_snapshot, '0x' || lower(printf('%x', user_id + 4096)) AS first_key, diagnostic, total, status, present, transitions, longest, current, first_observed, last_observed, CASE WHEN status <> 'available' THEN 'insufficient-data' WHEN NOT x0 AND x1 THEN 'growing' WHEN x0 AND NOT x1 THEN 'shrinking' ELSE 'stable' END AS trend FROM g",
+)
+def w6_diagnostic_trends(spark, sf_dir):
+    """Trends of thread states and of 20 seconds of CPU or more."""
+    _checkpoints(spark)
+    rows, pairs, links = _session(spark, sf_dir)
+    placed = generic.cut(series.continuity(series.series(rows, links), pairs, links))
+    met = placed.select("session", "snapshot", "source_key", F.explode(F.array_compact(F.array("java_state", F.when(F.col("cpu_ms") >= 20_000, "busy")))).alias("diagnostic"))
+    return series.diagnostic_trends(placed, met)
+
+
 @query("a13_snapshot_deltas", _SES + ", n AS (SELECT session, snapshot, count(*) AS threads, count(*) FILTER (WHERE java_state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE java_state = 'RUNNABLE') AS runnable, count(*) FILTER (WHERE java_state LIKE '%WAITING') AS waiting FROM d GROUP BY ALL) SELECT *, threads - lag(threads) OVER w AS threads_delta, blocked - lag(blocked) OVER w AS blocked_delta, runnable - lag(runnable) OVER w AS runnable_delta, waiting - lag(waiting) OVER w AS waiting_delta FROM n WINDOW w AS (PARTITION BY session ORDER BY snapshot)")
 def a13_snapshot_deltas(spark, sf_dir):
     return series.snapshot_deltas(_session(spark, sf_dir)[0])

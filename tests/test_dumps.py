@@ -1,5 +1,8 @@
 """Thread operators on small texts: the shapes that the rendered captures do not have."""
 
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from capturelake.operators import generic, series, threads
@@ -100,3 +103,44 @@ def test_highlights_and_line_kinds(spark):
     assert rows(frames, shown, kind) == [(["at app.A.b(A)"], "outside-jdk-packages"), (["at java.util.X.y(X)"], "first-recorded-frames")]
     texts = spark.createDataFrame([(t,) for t in ('"x" #1', "", "--- end ---", " at a.b", "- locked <0x1>", "word")], "t string")
     assert rows(texts, threads.line_kind(F.col("t"))) == [("detail",), ("empty",), ("frame",), ("header",), ("lock",), ("section",)]
+
+
+def test_diagnostic_trends(spark):
+    """Against plain Python over made series: gaps, broken links, unresolved first threads, single rows, blank and repeated diagnostics."""
+    rng = random.Random(4)
+    table, linked, tried, marks, want = [], [], [], [], set()
+    for i in range(150):
+        places = sorted(rng.sample(range(1, 9), rng.randint(1, 6))) if i % 3 == 0 else list(range(start := rng.randint(1, 4), start + rng.randint(1, 6)))
+        unsure, cut = i % 11 == 0, rng.choice(places[1:] or [None]) if i % 5 == 0 else None
+        names = [f"t{i}-{p}" for p in places]
+        table += [("s", p, name, places[0], names[0]) for p, name in zip(places, names)]
+        for j, (p, name) in enumerate(zip(places, names)):
+            if j and p == places[j - 1] + 1 and p != cut:
+                linked.append(("s", p, name, names[j - 1]))
+                tried.append(("s", p, name, names[j - 1], True))
+        if unsure:
+            tried.append(("s", places[0], names[0], "other", False))
+        if unsure:
+            status = "identity-unavailable"
+        elif len(places) < 2:
+            status = "insufficient-data"
+        else:
+            breaks = ["snapshot-gap" if b != a + 1 else "identity-unavailable" for a, b in zip(places, places[1:]) if b != a + 1 or b == cut]
+            status = (breaks or ["available"])[0]
+        for diagnostic in ("blocked", "busy"):
+            on = [rng.random() < 0.6 for _ in places]
+            marks += [("s", p, name, diagnostic) for p, name, x in zip(places, names, on) if x for _ in range(rng.randint(1, 2))]
+            if any(on):
+                runs = [(x, len(list(g))) for x, g in itertools.groupby(on)]
+                trend = "insufficient-data" if status != "available" else "growing" if on[-1] > on[0] else "shrinking" if on[-1] < on[0] else "stable"
+                seen = [p for p, x in zip(places, on) if x]
+                want.add(("s", places[0], names[0], diagnostic, len(places), status, sum(on), len(runs) - 1, max(n for x, n in runs if x), runs[-1][1] * runs[-1][0], seen[0], seen[-1], trend))
+        marks += [("s", places[0], names[0], " "), ("s", places[0], names[0], None), ("s", 99, names[0], "blocked")]
+    rows_ = spark.createDataFrame(table, "session string, snapshot int, source_key string, first_snapshot int, first_key string")
+    accepted = spark.createDataFrame(linked, "session string, snapshot int, source_key string, before_source_key string")
+    pairs = spark.createDataFrame(tried, "session string, snapshot int, source_key string, before_source_key string, fits boolean")
+    got = series.diagnostic_trends(series.continuity(rows_, pairs, accepted), spark.createDataFrame(marks, "session string, snapshot int, source_key string, diagnostic string"))
+    columns = "session first_snapshot first_key diagnostic total status present transitions longest current first_observed last_observed trend".split()
+    found = [tuple(r) for r in got.select(*columns).collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert {r[-1] for r in found} == {"growing", "shrinking", "stable", "insufficient-data"} and {r[5] for r in found} == {"available", "snapshot-gap", "identity-unavailable", "insufficient-data"}
