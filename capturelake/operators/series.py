@@ -120,6 +120,21 @@ def busiest(rates: DataFrame, name: str, n: int) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(n, 1), 50))
 
 
+def cpu_timeline(rates: DataFrame, n: int = 10, containing: str = "") -> DataFrame:
+    """Every measured point of the n (1 to 50) busiest series of each session, with the series' rank and figures.
+
+    `rates` are those of rows of series. A series is named as in its last point; `containing` keeps names that hold it,
+    in any case. Order: largest rate, mean rate, name, first row. `available` counts the series that match.
+    """
+    key = ["session", "first_snapshot", "first_key"]
+    per = rates.groupBy(*key).agg(F.max_by("thread_name", "snapshot").alias("name"), F.max("percent").alias("highest"), F.round(F.avg("percent"), 6).alias("mean"), F.count("*").alias("samples"))
+    per = per.where(F.lower("name").contains(containing.strip().lower()))
+    whole = Window.partitionBy("session")
+    order = whole.orderBy(F.desc("highest"), F.desc("mean"), "name", "first_snapshot", "first_key")
+    top = per.withColumn("available", F.count("*").over(whole)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(n, 1), 50))
+    return rates.join(top, key)
+
+
 def interval_summary(rates: DataFrame, name: str, hot_ms: float) -> DataFrame:
     """Per snapshot pair: the name with the largest change (ties: smallest name) and how many are hot."""
     per = rates.groupBy("session", "snapshot").agg(F.max("delta_ms").alias("peak_ms"), F.count_if(F.col("delta_ms") >= hot_ms).alias("hot"))

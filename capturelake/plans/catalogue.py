@@ -385,6 +385,17 @@ def w5_busiest_threads(spark, sf_dir):
     return series.busiest(_rates(spark, sf_dir), "thread_name", 10).select("session", "thread_name", "rank", "highest")
 
 
+@query(
+    "w5_timeline_points",
+    _SES + ", x AS (SELECT r.*, c.first_snapshot FROM r JOIN c USING (session, snapshot, user_id)), b AS (SELECT session, user_id, first_snapshot, max(percent) AS highest, round(avg(percent), 6) AS mean, count(*) AS samples FROM x GROUP BY ALL), v AS (SELECT *, count(*) OVER (PARTITION BY session) AS available, CAST(row_number() OVER (PARTITION BY session ORDER BY highest DESC, mean DESC, 'user-' || user_id, first_snapshot) AS INTEGER) AS rank FROM b QUALIFY rank <= 10) "
+    "SELECT session, rank, available, thread_name, first_snapshot, samples, highest, mean, snapshot, percent, CAST(delta AS BIGINT) AS delta_ms, CAST(gap AS BIGINT) AS interval_ms, java_state FROM x JOIN v USING (session, user_id, first_snapshot)",
+)
+def w5_timeline_points(spark, sf_dir):
+    rows, links = _series(spark, sf_dir)
+    points = series.cpu_timeline(series.cpu_rates(rows, links), 10)
+    return points.select("session", "rank", "available", "thread_name", "first_snapshot", "samples", "highest", "mean", "snapshot", "percent", F.col("delta_ms").cast("long").alias("delta_ms"), "interval_ms", "java_state")
+
+
 @query("a29_interval_summary", _SES + ", x AS (SELECT session, snapshot, max(delta) AS peak_ms, count(*) FILTER (WHERE delta >= 20000) AS hot FROM r GROUP BY ALL) SELECT x.session, x.snapshot, CAST(peak_ms AS BIGINT) AS peak_ms, hot, min(thread_name) AS peak FROM x JOIN r ON r.session = x.session AND r.snapshot = x.snapshot AND r.delta = x.peak_ms GROUP BY ALL")
 def a29_interval_summary(spark, sf_dir):
     return series.interval_summary(_rates(spark, sf_dir), "thread_name", 20_000).withColumn("peak_ms", F.col("peak_ms").cast("long"))

@@ -144,3 +144,13 @@ def test_diagnostic_trends(spark):
     found = [tuple(r) for r in got.select(*columns).collect()]
     assert set(found) == want and len(found) == len(want)
     assert {r[-1] for r in found} == {"growing", "shrinking", "stable", "insufficient-data"} and {r[5] for r in found} == {"available", "snapshot-gap", "identity-unavailable", "insufficient-data"}
+
+
+def test_cpu_timeline(spark):
+    """Renamed series, two of one name, a search, ties and a limit."""
+    points = [("s", 1, "a", 2, "old", 5.0), ("s", 1, "a", 3, "Pool-1", 50.0), ("s", 2, "b", 3, "pool-1", 50.0), ("s", 2, "b", 4, "pool-1", 5.0), ("s", 4, "c", 5, "other", 90.0), ("s", 1, "d", 2, "pool-2", 7.0), ("t", 1, "a", 2, "POOL", 1.0)]
+    rates = spark.createDataFrame(points, "session string, first_snapshot int, first_key string, snapshot int, thread_name string, percent double")
+    found = lambda *limits: sorted((r.session, r["rank"], r.first_key, r.snapshot, r.available, r.samples, r.mean) for r in series.cpu_timeline(rates, *limits).collect())
+    assert found(2, " pool") == [("s", 1, "a", 2, 3, 2, 27.5), ("s", 1, "a", 3, 3, 2, 27.5), ("s", 2, "b", 3, 3, 2, 27.5), ("s", 2, "b", 4, 3, 2, 27.5), ("t", 1, "a", 2, 1, 1, 1.0)]
+    assert [r[:4] for r in found(0)] == [("s", 1, "c", 5), ("t", 1, "a", 2)] and len(found(99)) == 7
+    assert found(5, "absent") == []
