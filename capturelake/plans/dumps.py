@@ -361,8 +361,10 @@ def a6_selector_scores(spark, sf_dir):
 
 @query(
     "j2_acquisition_chains",
-    _SYNC + ", l AS (SELECT capture_id, dozen, 40960 + dozen AS id, 'java.util.concurrent.locks.ReentrantLock$NonfairSync' AS lock_type, count(*) FILTER (WHERE c = 7) AS owners, count(*) FILTER (WHERE c IN (8, 9)) AS waiters FROM t GROUP BY ALL UNION ALL SELECT capture_id, dozen, 45056 + dozen, 'java.util.concurrent.locks.ReentrantReadWriteLock$NonfairSync', count(*) FILTER (WHERE c = 5), count(*) FILTER (WHERE c = 3) FROM t GROUP BY ALL)"
-    " SELECT capture_id, '0x' || lower(printf('%x', id)) AS lock_id, lock_type, owners, waiters FROM l WHERE waiters > 0",
+    # locks are told apart by the printed id alone: the ids of two dozens far enough apart are one lock
+    _SYNC + ", k AS (SELECT capture_id, user_id, c, c IN (5, 7) AS held, dozen + CASE WHEN c = 0 THEN 49152 WHEN c IN (3, 5) THEN 45056 ELSE 40960 END AS id, 'java.util.concurrent.locks.' || CASE WHEN c = 0 THEN 'AbstractQueuedSynchronizer$ConditionObject' WHEN c IN (3, 5) THEN 'ReentrantReadWriteLock$NonfairSync' ELSE 'ReentrantLock$NonfairSync' END AS lock_type FROM t WHERE c IN (0, 3, 5, 7, 8, 9))"
+    ", o AS (SELECT capture_id, id, count(*) AS owners, arg_min(lock_type, user_id) AS held_type FROM k WHERE held GROUP BY ALL)"
+    " SELECT k.capture_id, '0x' || lower(printf('%x', k.id)) AS lock_id, coalesce(max(held_type), arg_min(k.lock_type, k.user_id)) AS lock_type, coalesce(max(o.owners), 0) AS owners, count(*) AS waiters FROM k LEFT JOIN o ON o.capture_id = k.capture_id AND o.id = k.id WHERE NOT k.held AND (o.owners > 0 OR k.c <> 0) GROUP BY k.capture_id, k.id",
 )
 def j2_acquisition_chains(spark, sf_dir):
     rows, locks = _synchronized(spark, sf_dir)
