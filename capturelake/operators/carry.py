@@ -4,6 +4,7 @@ A sequence (the lines of a capture) is cut into buckets that follow its order. I
 a bucket passes on is one row. A window over the rows of a thousand buckets, a shelf, carries them on; what all shelves
 before one pass on is put together from blocks of 1, 2, 4, ... shelves, as the ones of the shelf's number written in binary
 ask for. So no task holds a sequence, nor the totals of all its buckets; the steps beyond a bucket are short tables.
+A caller may ask that sequences of at most so many rows, WHOLE by custom, are one bucket without steps beyond it.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.operators import generic
+
 #: Rows of a bucket where the caller names no other width; results don't depend on it.
 WIDTH = 100_000
+#: Rows of a sequence that is one bucket where a caller asks for it; results don't depend on it.
+WHOLE = 100_000
 #: Buckets of a shelf as a power of two, and doublings of the blocks: bucket numbers are below 2 ** (SHELF + LEVELS).
 SHELF, LEVELS = 10, 30
 
@@ -77,29 +82,40 @@ def _added(how: str, near: Column, far: Column) -> Column:
     return F.greatest(near, far) if how == "max" else F.coalesce(near, far)
 
 
-def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], **wanted: Carried) -> DataFrame:
+def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], most: int = 0, **wanted: Carried) -> DataFrame:
     """rows with a column for each of `wanted`, over the rows of the key in order; the bucket must follow the order.
 
-    Keys and order columns are not null. Rows that tie in the order take any of the tied orders.
+    Keys and order columns are not null. Rows that tie in the order take any of the tied orders. With `most`,
+    keys of more rows are counted first, and only those are cut into buckets.
     """
-    here = Window.partitionBy(*key, "_bucket").orderBy(*order)
+    long = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*key, F.lit(True).alias("_long"))
+    cut_up = not most or not long.isEmpty()
+    here = Window.partitionBy(*key, "_bucket").orderBy(*order) if cut_up else Window.partitionBy(*key).orderBy(*order)
     upto = {True: here.rowsBetween(Window.unboundedPreceding, 0), False: here.rowsBetween(Window.unboundedPreceding, -1)}
     inner = {"sum": lambda v: F.sum(v), "max": lambda v: F.max(v), "last": lambda v: F.last(v, ignorenulls=True)}
-    rows = rows.withColumn("_bucket", F.greatest(F.lit(0).cast("long"), bucket))  # what lies before 0 shares its bucket
+    if not cut_up:
+        placed = rows.select("*", *[inner[w.how](w.value).over(upto[w.own]).alias(f"_c_{name}") for name, w in wanted.items()])
+        zero = lambda w, c: F.coalesce(c, F.lit(0)) if w.how == "sum" else c
+        return placed.select(*[c for c in rows.columns if c not in wanted], *[zero(w, F.col(f"_c_{name}")).alias(name) for name, w in wanted.items()])
+    own = rows.withColumn("_bucket", F.greatest(F.lit(0).cast("long"), bucket))  # what lies before 0 shares its bucket
+    if most:
+        rows = own.join(F.broadcast(generic.cut(long)), key, "left").withColumn("_bucket", F.when(F.col("_long"), F.col("_bucket")).otherwise(F.lit(0).cast("long")))
+    else:
+        rows = own.withColumn("_long", F.lit(True))
     at = F.struct(*order)
     whole = {"sum": lambda v: F.sum(v), "max": lambda v: F.max(v), "last": lambda v: F.max_by(v, F.when(v.isNotNull(), at))}
-    totals = rows.groupBy(*key, "_bucket").agg(*[whole[w.how](w.value).alias(f"_c_{name}") for name, w in wanted.items()])
+    totals = rows.where("_long").groupBy(*key, "_bucket").agg(*[whole[w.how](w.value).alias(f"_c_{name}") for name, w in wanted.items()])
     earlier = before_buckets(totals, key, "_bucket", {f"_c_{name}": w.how for name, w in wanted.items()})
     placed = rows.select("*", *[inner[w.how](w.value).over(upto[w.own]).alias(name) for name, w in wanted.items()])
     both = placed.join(earlier, [*key, "_bucket"], "left")
 
-    kept = [c for c in rows.columns if c != "_bucket" and c not in wanted]
+    kept = [c for c in rows.columns if c not in ("_bucket", "_long") and c not in wanted]
     return both.select(*kept, *[_added(w.how, F.col(name), F.col(f"_c_{name}")).alias(name) for name, w in wanted.items()])
 
 
-def numbered(rows: DataFrame, key: list[str], bucket: Column, order: list[str], name: str = "place") -> DataFrame:
+def numbered(rows: DataFrame, key: list[str], bucket: Column, order: list[str], name: str = "place", most: int = 0) -> DataFrame:
     """rows with their place (from 1) in the order of the key."""
-    return carried(rows, key, bucket, order, **{name: total(F.lit(1).cast("long"))})
+    return carried(rows, key, bucket, order, most, **{name: total(F.lit(1).cast("long"))})
 
 
 def beside(rows: DataFrame, key: list[str], number: str, reach: int, width: int | None = None, **wanted: tuple[int, Column]) -> DataFrame:

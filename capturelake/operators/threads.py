@@ -40,7 +40,7 @@ def snapshots(lines: DataFrame, width: int | None = None) -> DataFrame:
         | ((own == "D") & clock(down) & down2.isin("V", "D", "S", "I"))
     )
     flagged = near.withColumn("starts", starts.cast("int")).select(*lines.columns, "starts")
-    counted = carry.carried(flagged, ["capture_id"], carry.stretch("line_no", width), ["line_no"], snapshot_index=carry.total(F.col("starts")))
+    counted = carry.carried(flagged, ["capture_id"], carry.stretch("line_no", width), ["line_no"], 0 if width else carry.WHOLE, snapshot_index=carry.total(F.col("starts")))
     return counted.select(*lines.columns, F.greatest(F.lit(0), F.col("snapshot_index") - 1).alias("snapshot_index"))
 
 
@@ -55,11 +55,10 @@ def snapshot_times(marked: DataFrame) -> DataFrame:
 
 
 def _blocks(marked: DataFrame) -> DataFrame:
-    """Lines of thread blocks with their block's header line."""
+    """Lines of thread blocks with their block's header line; a snapshot of any length is cut into buckets of lines."""
     header, stop = F.col("text").rlike(r'^".*"( #\d+|.* tid=0x)'), F.col("text").rlike(r"^(JNI global|Found \w+ Java-level deadlock|Threads class SMR|Full thread dump )")
-    w = Window.partitionBy("capture_id", "snapshot_index").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.last(F.when(header, F.col("line_no")).when(stop, F.lit(-1)), ignorenulls=True).over(w)
-    return marked.withColumn("start_line", cut).where("start_line > 0")
+    cut = carry.latest(F.when(header, F.col("line_no")).when(stop, F.lit(-1)))
+    return carry.carried(marked, ["capture_id", "snapshot_index"], carry.stretch("line_no"), ["line_no"], carry.WHOLE, start_line=cut).where("start_line > 0")
 
 
 def threads(marked: DataFrame) -> DataFrame:
@@ -234,10 +233,9 @@ def runtime_info(marked: DataFrame) -> DataFrame:
 def deadlock_entries(marked: DataFrame) -> DataFrame:
     """Entries of the JVM's deadlock sections in order; cycle_id counts the sections that have an entry with a holder."""
     keys = ["capture_id", "snapshot_index"]
-    upto = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     found, end = F.col("text").rlike(r"^Found (one|a|\d+) Java-level deadlocks?:"), F.col("text").rlike(r"^Java stack information for the threads listed above:")
-    section = F.last(F.when(found, F.col("line_no")).when(end, F.lit(-1)), ignorenulls=True).over(upto)
-    inside = marked.withColumn("section", section).where("section > 0")
+    section = carry.latest(F.when(found, F.col("line_no")).when(end, F.lit(-1)))
+    inside = carry.carried(marked, keys, carry.stretch("line_no"), ["line_no"], carry.WHOLE, section=section).where("section > 0")
     name = F.nullif(F.regexp_extract("text", r'^"(.*)":\s*$', 1), F.lit(""))
     within = Window.partitionBy(*keys, "section").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     entry = inside.withColumn("entry_line", F.last(F.when(name.isNotNull(), F.col("line_no")), ignorenulls=True).over(within)).where("entry_line IS NOT NULL")

@@ -44,7 +44,7 @@ def _gc_events(spark, sf_dir):
 
 
 def _dump(spark, sf_dir):
-    return generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.thread_dumps(_table(spark, sf_dir, "events"))))))
+    return generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.thread_dumps(_table(spark, sf_dir, "events")), rendered.USERS))))
 
 
 def _tls_records(spark, sf_dir):

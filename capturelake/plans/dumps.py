@@ -12,7 +12,7 @@ _PAIRS = ", z AS (SELECT a.capture_id, a.user_id FROM t a JOIN t b ON b.capture_
 
 
 def _trouble(spark, sf_dir, by="day"):
-    return threads.snapshots(rendered.lines(rendered.trouble_dumps(_table(spark, sf_dir, "events"), by)))
+    return threads.snapshots(rendered.lines(rendered.trouble_dumps(_table(spark, sf_dir, "events"), by), rendered.USERS))
 
 
 # --- snapshots of a capture ----------------------------------------------------
@@ -344,7 +344,7 @@ _SYNC = (
 
 
 def _synchronized(spark, sf_dir):
-    marked = generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.synchronization_dumps(_table(spark, sf_dir, "events"))))))
+    marked = generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.synchronization_dumps(_table(spark, sf_dir, "events")), rendered.USERS))))
     return threads.threads(marked), threads.lock_observations(marked)
 
 
@@ -395,7 +395,7 @@ _RING = (
 
 
 def _ring_edges(spark, sf_dir):
-    marked = generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.ring_dumps(_table(spark, sf_dir, "events"))))))
+    marked = generic.cut(threads.snapshots(generic.cut(rendered.lines(rendered.ring_dumps(_table(spark, sf_dir, "events")), rendered.USERS))))
     return generic.cut(blocking.dependency_edges(threads.lock_observations(marked)).unionByName(blocking.class_edges(threads.class_initialization(marked))))
 
 
@@ -410,7 +410,7 @@ def g3_snapshot_cycles(spark, sf_dir):
     name = lambda end: F.concat_ws("\t", "capture_id", F.col(end).cast("string"))
     found = generic.in_cycles(edges.select(F.nullif(name("waiter"), F.lit("")).alias("source"), F.nullif(name("owner"), F.lit("")).alias("target")))
     marked = found.select(F.split("node", "\t")[0].alias("capture_id"), F.split("node", "\t")[1].cast("int").alias("start_line"))
-    names = threads.threads(threads.snapshots(generic.cut(rendered.lines(rendered.ring_dumps(_table(spark, sf_dir, "events")))))).select("capture_id", "start_line", F.regexp_extract("thread_name", r"(\d+)", 1).cast("long").alias("user_id"))
+    names = threads.threads(threads.snapshots(generic.cut(rendered.lines(rendered.ring_dumps(_table(spark, sf_dir, "events")), rendered.USERS)))).select("capture_id", "start_line", F.regexp_extract("thread_name", r"(\d+)", 1).cast("long").alias("user_id"))
     return marked.join(names, ["capture_id", "start_line"]).groupBy("capture_id", F.floor(F.col("user_id") / 3).alias("ring")).agg(F.count("*").alias("threads"))
 
 

@@ -14,9 +14,14 @@ def _events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"), (F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH_US).alias("us"), F.round(F.col("value") * 100).cast("long").alias("n"))
 
 
-def lines(rows: DataFrame) -> DataFrame:
-    """capture_id, line_no, text; an hour of a capture is a bucket."""
-    return numbered(rows, F.floor(F.col("us") / 3_600_000_000), "us", "part", "line")
+HOUR_US = 3_600_000_000
+#: Users of a bucket of a dump, whose pieces come in the order of users.
+USERS = 10_000
+
+
+def lines(rows: DataFrame, width: int = HOUR_US) -> DataFrame:
+    """capture_id, line_no, text; an hour of a long log is a bucket, and so are USERS users of a long dump (`width`)."""
+    return numbered(rows, F.floor(F.col("us") / width), "us", "part", "line")
 
 
 def _keyed(rows: DataFrame, key: str) -> DataFrame:

@@ -58,7 +58,7 @@ def s7_findings_sink(spark, sf_dir):
 
 @query("t9_carriers", f"WITH {_E}, u AS (SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS capture_id, user_id FROM e) SELECT capture_id, CAST(user_id + 100000 AS VARCHAR) AS jvm_id, user_id % 5 <> 0 AS linked FROM u")
 def t9_carriers(spark, sf_dir):
-    marked = threads.snapshots(rendered.lines(rendered.carrier_dumps(_table(spark, sf_dir, "events"))))
+    marked = threads.snapshots(rendered.lines(rendered.carrier_dumps(_table(spark, sf_dir, "events")), rendered.USERS))
     return threads.carriers(marked, threads.threads(marked)).select("capture_id", "jvm_id", F.col("virtual_line").isNotNull().alias("linked"))
 
 
@@ -128,7 +128,7 @@ query("x3_best_excerpt")(x3_best_excerpt)
 def _stacks(spark, sf_dir):
     """RUNNABLE threads of the months' dumps with their shapes, and the scored pairs of shapes."""
     _checkpoints(spark)
-    marked = threads.snapshots(rendered.lines(rendered.trouble_dumps(_table(spark, sf_dir, "events"), "month")))
+    marked = threads.snapshots(rendered.lines(rendered.trouble_dumps(_table(spark, sf_dir, "events"), "month"), rendered.USERS))
     rows = evidence.fingerprints(threads.threads(marked).where("java_state = 'RUNNABLE'")).withColumn("session", F.col("capture_id"))
     rows = rows.where(F.size("meaningful_frames") > 0).withColumn("shape", F.sha2(F.to_json("meaningful_frames"), 256)).checkpoint()
     scored = clusters.similarity(clusters.candidates(clusters.shapes(rows))).checkpoint()
