@@ -39,7 +39,7 @@ def numbered(pieces: DataFrame, bucket: F.Column, *order: str) -> DataFrame:
     The bucket is a whole number that grows with the order: lines are numbered in many tasks, whatever a capture's length.
     """
     each = pieces.select("capture_id", bucket.cast("long").alias("part_of"), *order, F.posexplode(F.split("line", "\n")).alias("pos", "text"))
-    return carry.numbered(each, ["capture_id"], F.col("part_of"), [*order, "pos"]).select("capture_id", F.col("place").cast("int").alias("line_no"), "text")
+    return carry.numbered(each, ["capture_id"], F.col("part_of"), [*order, "pos"], most=carry.WHOLE).select("capture_id", F.col("place").cast("int").alias("line_no"), "text")
 
 
 def lines(captures: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def proved_ranges(numbered_lines: DataFrame, tree: DataFrame, wanted: DataFrame)
     cell = lambda c: F.floor((c - 1) / LEAF).cast("long")
     asked = wanted.withColumn("from", F.greatest("first_line", F.lit(1))).where("`from` <= last_line")
     asked = asked.join(numbered_lines.groupBy("capture_id").agg(F.max("line_no").alias("_n")), "capture_id", "left").withColumn("to", F.least("last_line", F.coalesce("_n", F.lit(1)))).where("`from` <= `to`")
-    parts = asked.select("capture_id", "root", "first_line", "last_line", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to")))).alias("node"))
+    parts = asked.select("capture_id", "root", "first_line", "last_line", "from", "to", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to")))).alias("node"))
     touched = parts.select("capture_id", "node").distinct()
     by_block = numbered_lines.withColumn("node", cell(F.col("line_no"))).join(touched, ["capture_id", "node"], "left_semi")
     level, again, checks = touched, _leaves(by_block), None
@@ -134,7 +134,10 @@ def proved_ranges(numbered_lines: DataFrame, tree: DataFrame, wanted: DataFrame)
     sure = F.coalesce(F.col("whole") & (F.col("_root") == F.col("root")), F.lit(False))
     changed = F.raise_error(F.concat(F.lit("capture changed: "), F.col("capture_id"))).cast("boolean")
     judged = parts.join(proof, "capture_id", "left").withColumn("sure", sure)
-    found = judged.where("sure").join(by_block, ["capture_id", "node"]).where("line_no BETWEEN first_line AND last_line").select("capture_id", "first_line", "last_line", "line_no", "text")
+    # a range meets its own lines by number, not all lines of its leaves
+    head, tail = F.col("node") * LEAF + 1, (F.col("node") + 1) * LEAF
+    numbers = judged.where("sure").select("capture_id", "first_line", "last_line", F.explode(F.sequence(F.greatest("from", head), F.least("to", tail)).cast("array<int>")).alias("line_no"))
+    found = numbers.join(by_block.select("capture_id", "line_no", "text"), ["capture_id", "line_no"]).select("capture_id", "first_line", "last_line", "line_no", "text")
     # a branch of its own, which has no rows or fails: a join with lines that are gone would never look at it
     failed = judged.where(F.when(F.col("sure"), False).otherwise(changed)).select("capture_id", "first_line", "last_line", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("text"))
     return found.unionByName(failed)
