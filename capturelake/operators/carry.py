@@ -82,14 +82,15 @@ def _added(how: str, near: Column, far: Column) -> Column:
     return F.greatest(near, far) if how == "max" else F.coalesce(near, far)
 
 
-def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], most: int = 0, **wanted: Carried) -> DataFrame:
+def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], most: int = 0, short: bool = False, **wanted: Carried) -> DataFrame:
     """rows with a column for each of `wanted`, over the rows of the key in order; the bucket must follow the order.
 
     Keys and order columns are not null. Rows that tie in the order take any of the tied orders. With `most`,
-    keys of more rows are counted first, and only those are cut into buckets.
+    keys of more rows are counted first, and only those are cut into buckets. A caller that has counted and found no such
+    key says so (`short`).
     """
     long = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*key, F.lit(True).alias("_long"))
-    cut_up = not most or not long.isEmpty()
+    cut_up = not short and (not most or not long.isEmpty())
     here = Window.partitionBy(*key, "_bucket").orderBy(*order) if cut_up else Window.partitionBy(*key).orderBy(*order)
     upto = {True: here.rowsBetween(Window.unboundedPreceding, 0), False: here.rowsBetween(Window.unboundedPreceding, -1)}
     inner = {"sum": lambda v: F.sum(v), "max": lambda v: F.max(v), "last": lambda v: F.last(v, ignorenulls=True)}

@@ -70,3 +70,51 @@ def test_ranges_meet_their_own_lines_only(spark):
     want = sorted((w.first_line, w.last_line, n, f"line {n}") for w in wanted.collect() for n in range(max(1, w.first_line), min(2500, w.last_line) + 1))
     assert sorted(tuple(r)[1:] for r in got.collect()) == want
     assert not [step for step in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in step and "line_no" in step and ">=" in step]
+
+
+def test_segments_equal_a_row_by_row_rule_and_are_found_at_once(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for key in "abcdef":
+        at = 0.0
+        for line in range(1, 121):
+            at = max(0.0, at + rng.choice((50, 50, 900, -300, -700, -4000 if key < "d" else 10)))
+            rows.append((key, line, None if rng.random() < 0.2 else at, rng.random() < 0.3, rng.random() < 0.4))
+    # a start banner without a clock, events before it and a lower clock after it: the banner begins the segment, the clock does not
+    rows += [("z", 1, 9000.0, False, True), ("z", 2, None, True, False), ("z", 3, 10.0, False, True), ("z", 4, 20.0, False, True)]
+    want, key = [], None
+    for k, line, v, closes, counts in rows:
+        if k != key:
+            key, session, top, had = k, 0, None, False
+        elif (v is not None and top is not None and v < top - 1000.0) or (closes and had):
+            session, top, had = session + 1, None, False
+        top, had = max((x for x in (top, v) if x is not None), default=None), had or counts
+        want.append((k, line, session))
+    table = spark.createDataFrame(rows, "k string, line int, v double, c boolean, n boolean").repartition(3)
+    assert sorted(map(tuple, gc.segments(table, "k", "line", "v", "c", "n", 1000.0).select("k", "line", "session").collect())) == sorted(want)
+    # where values only fall by drops, banners take no round each: inputs, first cuts and one look
+    written, cut = [], gc.generic.cut
+    monkeypatch.setattr(gc.generic, "cut", lambda df: written.append(1) or cut(df))
+    plain = spark.createDataFrame([("a", i, float(i % 50) * 5000, i % 5 == 0, i % 3 == 0) for i in range(1, 200)], "k string, line int, v double, c boolean, n boolean")
+    gc.segments(plain, "k", "line", "v", "c", "n", 1000.0).count()
+    assert len(written) == 3
+
+
+def test_unified_lines_are_not_searched_for_older_records(spark):
+    lines = spark.createDataFrame([("a", 1, "[1.5s][info][gc] GC(7) Pause Full 3M->2M(10M) 2,5ms"), ("a", 2, "[ 2s ][gc , x] GC(8) Pause Young 1ms"), ("a", 3, "[2024-01-01T00:00:01.250+0000][info][gc,start ] GC(9) y: Pause Young")], "capture_id string, line_no int, text string")
+    told = gc.read(lines)
+    assert "Window" not in told._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.gc_id, r.message, r.clock, r.clock_ms, r.is_start, r.kind, r.printed_ms, r.heap and r.heap.after) for r in told.orderBy("line_no").collect()]
+    assert got == [(7, "Pause Full 3M->2M(10M) 2,5ms", "uptime", 1500.0, False, "pause", 2.5, 2 << 20), (9, "y: Pause Young", "wall", 1704067201250.0, True, "pause", None, None)]
+
+
+def test_signals_meet_events_of_any_length(spark):
+    spans = [(1, 1), (3, 3), (2, 9), (5, 6), (1, 4000), (4095, 4097), (5000, 5001)]
+    events = spark.createDataFrame([("a", a, b, float(b * 100), float(b * 100)) for a, b in spans], "capture_id string, line int, end_line int, start_ms double, end_ms double")
+    at = [1, 3, 5, 8, 100, 4000, 4096, 4500, 5001]
+    signals = spark.createDataFrame([("a", n, -1.0, "x", True) for n in at], "capture_id string, line int, time_ms double, text string, critical boolean")
+    got = {r.line: (r.how, r.event_line) for r in gc.signal_events(events, signals).collect()}
+    best = lambda n: min(((0 if n == b else 1), b, a) for a, b in spans if a <= n <= b) if any(a <= n <= b for a, b in spans) else None
+    assert got == {n: (best(n)[0], best(n)[2]) if best(n) else (None, None) for n in at}
