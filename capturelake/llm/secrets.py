@@ -7,7 +7,7 @@ a bigram model of random strings to one of ordinary identifiers exceeds the thre
 
 Both models are counted from labelled samples: random strings (hexadecimal and base-64 digests salted per document, label
 1) and identifiers (label 0): words of the same documents and of Spark's settings in the forms of identifiers, paths,
-addresses and settings, numbers and rulers. At most SAMPLE documents in hash order are used. The threshold is fitted on
+addresses and settings, numbers and rulers. Every document is used. The threshold is fitted on
 held-out ordinary samples. The models are one table of 96 x 96 log ratios, whatever the corpus. Positions are code points,
 ends exclusive. Null and empty texts have no spans; repeated rows have equal ones. An id of random digits (a UUID) counts
 as random.
@@ -32,7 +32,6 @@ PIECE = r"[A-Za-z0-9]{20,}"
 #: Fixed words of the ordinary samples: roots and endings of paths.
 ROOTS = ("src/main/java", "src", "usr/lib", "home/user", "var/log", "opt", "tmp", "etc", "org/example", "api/v1", "images", "static", "docs", "tests", "lib", "bin", "data", "assets")
 ENDINGS = ("java", "py", "html", "txt", "json", "tar.gz", "md", "png", "xml", "csv", "js", "jpg", "pdf", "conf")
-SAMPLE = 2_000
 #: Of held-out ordinary runs this share may pass the threshold; random strings are taken to be this many times rarer.
 FALSE_RATE = 0.0005
 PRIOR = 10_000
@@ -96,7 +95,8 @@ def _apart(runs, base) -> F.Column:
 
 def _bigrams(samples: DataFrame) -> DataFrame:
     """label, a, b (character codes less 32), n."""
-    pairs = samples.select("label", F.explode(F.regexp_extract_all("sample", F.lit("(?=(..))"), F.lit(1))).alias("pair"))
+    placed = samples.where(F.length("sample") > 1).select("label", "sample", F.explode(F.sequence(F.lit(1), F.length("sample") - 1)).alias("at"))
+    pairs = placed.select("label", F.substring(F.col("sample"), F.col("at"), F.lit(2)).alias("pair"))
     code = lambda at: F.ascii(F.substring("pair", at, 1)) - 32
     return pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).select("label", code(1).alias("a"), code(2).alias("b"), "n")
 
@@ -126,18 +126,20 @@ def _named(phrase) -> F.Column:
     return F.coalesce(*[F.when(turn == i, form) for i, form in enumerate(forms)])
 
 
-def labelled_samples(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
+def labelled_samples(docs: DataFrame, most: int | None = None) -> DataFrame:
     """label, sample, held_out: random strings (1), and identifiers, numbers and rulers (0).
 
-    The words are those of at most `most` documents (of rows with one id the smallest text) and of Spark's own settings
-    and their descriptions, which bring names of real code whatever the corpus. One phrase or document in five is held out, by hash.
+    The words are those of every document or, where `most` is given, of so many in hash order (of rows with one id the
+    smallest text), and of Spark's own settings and their descriptions, which bring names of real code whatever the corpus. One phrase or document in five is held out, by hash.
     """
     spark = docs.sparkSession
-    filled = docs.where("text <> '' AND doc_id IS NOT NULL")
-    ids = filled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    some = filled.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    some = docs.where("text <> ''")
+    if most is not None:
+        filled = some.where("doc_id IS NOT NULL")
+        ids = filled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = filled.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     settings = spark.sql("SET -v").select(F.col("key").alias("name"), F.concat_ws(" ", "key", "meaning").alias("text"))
-    texts = some.select(F.col("doc_id").cast("string").alias("name"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ").alias("text")).unionByName(settings)
+    texts = some.select(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")).alias("name"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ").alias("text")).unionByName(settings)
     digest = F.sha2(F.concat_ws(":", F.lit("sample"), F.col("name")), 512)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")  # base64 breaks lines
     digits = F.concat(*[F.lpad(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(10**9)).cast("string"), 9, "0") for i in range(4)])
@@ -161,12 +163,24 @@ def log_ratios(samples: DataFrame) -> list[float]:
 
 
 def fitted(docs: DataFrame) -> tuple[list[float], float]:
-    """The table of log ratios and the threshold: that which FALSE_RATE of the held-out ordinary runs pass, ln PRIOR at least."""
-    samples = written(labelled_samples(docs))
+    """The table of log ratios and the threshold: the lowest held-out ordinary run that no more than FALSE_RATE of them pass, ln PRIOR at least.
+
+    Samples are made as they are counted and never stored; of held-out runs the ratio is, and only those of one unit of
+    ratio are ordered to find the threshold.
+    """
+    samples = labelled_samples(docs)
     table = log_ratios(samples.where("NOT held_out"))
     runs = samples.where("held_out AND label = 0").where(F.length("sample") >= 20)
-    top = runs.agg(F.percentile(_ratio(F.col("sample"), _table(table)), F.lit(1 - FALSE_RATE)).alias("top")).first().top
-    return table, max(math.log(PRIOR), top or 0.0)
+    scored = written(runs.select(_ratio(F.col("sample"), _table(table)).alias("ratio")))
+    unit = F.floor("ratio")
+    counts = sorted(((r.unit, r.n) for r in scored.groupBy(unit.alias("unit")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a row for each unit
+    passing = int(sum(n for _, n in counts) * FALSE_RATE)
+    for at, n in counts:
+        if n > passing:
+            top = scored.where(unit == at).orderBy(F.desc("ratio")).limit(passing + 1).agg(F.min("ratio").alias("top")).first().top
+            return table, max(math.log(PRIOR), top)
+        passing -= n
+    return table, math.log(PRIOR)
 
 
 def _table(ratios: list[float]) -> F.Column:

@@ -145,10 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     sums = whole.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.expr("if(t < 2, t, 0)")).alias("rt"), F.sum(F.expr("if(t < 2, c, 0)")).alias("rc")).first()
     if not sums.t or not sums.c:
         return Model({}, 0.5, -DRIFT)
-    kept = counted.where("t >= 2").collect()  # units of at most max_per_class toxic texts
+    kept = counted.where("t >= 2").toArrow()  # units of at most max_per_class toxic texts; as rows they would take many times the memory
     pairs: dict[tuple[int, int], tuple[int, int]] = {}  # equal counts are one object, here and in the tasks
     rest = math.log(((sums.rt or 0) + 1) / (sums.t + 1)) - math.log(((sums.rc or 0) + 1) / (sums.c + 1))
-    model = Model({r.unit: pairs.setdefault((r.t, r.c), (r.t, r.c)) for r in kept}, sums.t / (sums.t + sums.c), min(rest, 0.0))
+    told = (zip(*(column.to_pylist() for column in batch.columns), strict=True) for batch in kept.select(["unit", "t", "c"]).to_batches(max_chunksize=10_000))
+    model = Model({u: pairs.setdefault((t, c), (t, c)) for rows_ in told for u, t, c in rows_}, sums.t / (sums.t + sums.c), min(rest, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(m: Model, text: str | None) -> tuple[list[float], list[tuple[int, int, float]]]:

@@ -95,6 +95,16 @@ def test_secret_model_by_brute_force(spark, sf_dir):
     assert any(s <= 24 and e >= 48 for s, _, e in spans[-1])  # alone, or with the path around it
 
 
+def test_secret_model_counts_every_document(spark):
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("zz")).alias("text")).unionByName(spark.createDataFrame([(None, "one two three four five")], "doc_id long, text string"))
+    names = 2501 + spark.sql("SET -v").count()
+    samples = secrets.labelled_samples(docs)
+    assert samples.where("label = 1").count() == 6 * names
+    table, limit = secrets.fitted(docs)
+    scores = sorted((sum(table[(ord(a) - 32) * 96 + ord(b) - 32] for a, b in zip(r.sample, r.sample[1:])) for r in samples.where("held_out AND label = 0 AND length(sample) >= 20").collect()), reverse=True)
+    assert abs(limit - max(math.log(secrets.PRIOR), scores[int(len(scores) * secrets.FALSE_RATE)])) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     docs, labels = read(spark, LARGE, "documents"), read(spark, LARGE, "labels")
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
