@@ -90,6 +90,8 @@ def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], m
     key says so (`short`).
     """
     long = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*key, F.lit(True).alias("_long"))
+    if most and not short:
+        long = generic.cut(long)
     cut_up = not short and (not most or not long.isEmpty())
     here = Window.partitionBy(*key, "_bucket").orderBy(*order) if cut_up else Window.partitionBy(*key).orderBy(*order)
     upto = {True: here.rowsBetween(Window.unboundedPreceding, 0), False: here.rowsBetween(Window.unboundedPreceding, -1)}
@@ -100,7 +102,7 @@ def carried(rows: DataFrame, key: list[str], bucket: Column, order: list[str], m
         return placed.select(*[c for c in rows.columns if c not in wanted], *[zero(w, F.col(f"_c_{name}")).alias(name) for name, w in wanted.items()])
     own = rows.withColumn("_bucket", F.greatest(F.lit(0).cast("long"), bucket))  # what lies before 0 shares its bucket
     if most:
-        rows = own.join(F.broadcast(generic.cut(long)), key, "left").withColumn("_bucket", F.when(F.col("_long"), F.col("_bucket")).otherwise(F.lit(0).cast("long")))
+        rows = own.join(F.broadcast(long), key, "left").withColumn("_bucket", F.when(F.col("_long"), F.col("_bucket")).otherwise(F.lit(0).cast("long")))
     else:
         rows = own.withColumn("_long", F.lit(True))
     at = F.struct(*order)

@@ -77,8 +77,8 @@ def reach(edges: DataFrame) -> DataFrame:
     Rounds go on until a round finds no pair, so any length of path is followed. The result itself may hold a pair for
     every two nodes of a component: use `in_cycles` or `depths` where pairs are not wanted.
     """
-    edges = edges.select("source", "target").distinct()
-    known = fresh = cut(edges)
+    edges = cut(edges.select("source", "target").distinct())  # each round reads them again
+    known = fresh = edges
     while True:
         step = fresh.alias("f").join(edges.alias("e"), F.col("f.target") == F.col("e.source")).select("f.source", "e.target").distinct()
         fresh = cut(step.join(known, ["source", "target"], "left_anti"))
@@ -156,9 +156,11 @@ def depths(edges: DataFrame) -> DataFrame:
             return parts.join(level.withColumnRenamed("node", "component"), "component").select("node", "depth")
 
 
-def ancestor_counts(edges: DataFrame) -> DataFrame:
+def ancestor_counts(edges: DataFrame, own: bool = False) -> DataFrame:
     """(node, n): how many other nodes reach each node along edges (source, target), without a table of such pairs.
 
+    With `own` a node on a cycle, a self loop included, counts itself as well.
+
     Nodes of one cycle reach the same nodes and are drawn together, so what is left has no cycle. A part with one edge out
     has one way on: the sizes of such parts are handed up to the next part with several edges out, a fork, or to an end,
     and added on the way. What a fork gathers is disjoint from what another does, so beyond forks only whole forks are
@@ -189,7 +191,12 @@ def ancestor_counts(edges: DataFrame) -> DataFrame:
         met = cut(met.unionByName(fresh))
     by_forks = met.join(sums.select(F.col("part").alias("fork"), "gathered"), "fork").groupBy("part").agg(F.sum("gathered").alias("by_forks"))
     per = sums.join(by_forks, "part", "left").select(F.col("part").alias("component"), (F.col("gathered") + F.coalesce("by_forks", F.lit(0)) - 1).alias("n"))
-    return parts.join(per, "component").select("node", "n")
+    counted = parts.join(per, "component")
+    if not own:
+        return counted.select("node", "n")
+    loops = edges.where("source = target").select(F.col("source").alias("node"), F.lit(True).alias("loop"))
+    turns = counted.join(sizes.select(F.col("part").alias("component"), "size"), "component").join(loops, "node", "left")
+    return turns.select("node", (F.col("n") + F.when((F.col("size") > 1) | F.col("loop"), 1).otherwise(0)).alias("n"))
 
 
 def set_sides(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturelake.operators import carry
+from capturelake.operators import carry, generic
 
 _BOUNDARY = r"^Full thread dump "
 _STAMP = r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d"
@@ -20,6 +20,8 @@ _SHAPES = (
     ("D", r"^\s*\d+\s*$"),
     ("V", r"^\d+[.\-+]"),
 )
+#: How each of them begins: other lines are not held against the shapes.
+_SHAPED = r"^(Full thread dump |\s*\d)"
 
 
 def snapshots(lines: DataFrame, width: int | None = None) -> DataFrame:
@@ -28,9 +30,12 @@ def snapshots(lines: DataFrame, width: int | None = None) -> DataFrame:
     A snapshot begins at its boundary line, or above it: at a clock line, at a process id above that clock, at a
     collector's ISO clock above both. A dump to a file begins with a number, a clock and a version, one a line.
     """
-    shape = F.coalesce(*[F.when(F.col("text").rlike(p), letter) for letter, p in _SHAPES], F.lit("-"))
-    near = carry.beside(lines.withColumn("shape", shape), ["capture_id"], "line_no", 3, width, up=(-1, F.col("shape")), down=(1, F.col("shape")), down2=(2, F.col("shape")), down3=(3, F.col("shape")))
-    own, up, down, down2, down3 = (F.coalesce(c, F.lit("-")) for c in ("shape", "up", "down", "down2", "down3"))
+    shape = F.coalesce(*[F.when(F.col("text").rlike(p), letter) for letter, p in _SHAPES])
+    shaped = lines.where(F.col("text").rlike(_SHAPED)).select("capture_id", "line_no", shape.alias("shape")).where("shape IS NOT NULL")
+    at = F.struct("line_no", "shape")  # lines without a shape are left out, so a neighbour's number tells how far it is
+    near = carry.beside(shaped, ["capture_id"], "line_no", 3, width, b1=(-1, at), a1=(1, at), a2=(2, at), a3=(3, at))
+    met = lambda step, *names: F.coalesce(*[F.when(F.col(f"{n}.line_no") == F.col("line_no") + step, F.col(f"{n}.shape")) for n in names], F.lit("-"))
+    own, up, down, down2, down3 = F.col("shape"), met(-1, "b1"), met(1, "a1"), met(2, "a1", "a2"), met(3, "a1", "a2", "a3")
     clock = lambda c: c.isin("S", "I")
     starts = (
         ((own == "B") & ~clock(up))
@@ -39,7 +44,8 @@ def snapshots(lines: DataFrame, width: int | None = None) -> DataFrame:
         | ((own == "I") & (down == "P") & clock(down2) & (down3 == "B"))
         | ((own == "D") & clock(down) & down2.isin("V", "D", "S", "I"))
     )
-    flagged = near.withColumn("starts", starts.cast("int")).select(*lines.columns, "starts")
+    begun = generic.cut(near.where(starts).select("capture_id", "line_no", F.lit(1).alias("starts")))  # a line or two of each snapshot
+    flagged = lines.join(begun, ["capture_id", "line_no"], "left").select(*lines.columns, "starts")
     counted = carry.carried(flagged, ["capture_id"], carry.stretch("line_no", width), ["line_no"], 0 if width else carry.WHOLE, snapshot_index=carry.total(F.col("starts")))
     return counted.select(*lines.columns, F.greatest(F.lit(0), F.col("snapshot_index") - 1).alias("snapshot_index"))
 
@@ -54,10 +60,11 @@ def snapshot_times(marked: DataFrame) -> DataFrame:
     return raw.select("capture_id", "snapshot_index", "timestamp_raw", "epoch_ms", status.alias("ordering_status"), (F.col("epoch_ms") - before).alias("gap_ms"))
 
 
-def _blocks(marked: DataFrame) -> DataFrame:
-    """Lines of thread blocks with their block's header line; a snapshot of any length is cut into buckets of lines."""
+def _blocks(marked: DataFrame, wanted: F.Column | None = None) -> DataFrame:
+    """Lines of thread blocks (only the `wanted` ones, and those that bound blocks) with their block's header line; a snapshot of any length is cut into buckets of lines."""
     header, stop = F.col("text").rlike(r'^".*"( #\d+|.* tid=0x)'), F.col("text").rlike(r"^(JNI global|Found \w+ Java-level deadlock|Threads class SMR|Full thread dump )")
     cut = carry.latest(F.when(header, F.col("line_no")).when(stop, F.lit(-1)))
+    marked = marked if wanted is None else marked.where(wanted | header | stop)
     return carry.carried(marked, ["capture_id", "snapshot_index"], carry.stretch("line_no"), ["line_no"], carry.WHOLE, start_line=cut).where("start_line > 0")
 
 
@@ -87,7 +94,7 @@ def normalize_frames(frames) -> F.Column:
 
 def lock_observations(marked: DataFrame) -> DataFrame:
     """One row per lock line of a thread; a wait on an id ends the lexical hold of it; of repeats the last stays."""
-    b = _blocks(marked).withColumn("lock_id", F.lower(F.regexp_extract("text", r"<(0x[0-9a-fA-F]+)>", 1))).where("lock_id <> ''")
+    b = _blocks(marked, F.col("text").contains("<0x")).withColumn("lock_id", F.lower(F.regexp_extract("text", r"<(0x[0-9a-fA-F]+)>", 1))).where("lock_id <> ''")
     kind = (
         F.when(F.col("text").contains("- waiting to lock"), "monitor-enter").when(F.col("text").contains("- waiting on"), "monitor-wait")
         .when(F.col("text").contains("- parking to wait for"), "synchronizer-park").when(F.col("text").contains("- locked"), "monitor").when(F.col("text").rlike(r"^\s*- <0x"), "ownable-synchronizer")
@@ -95,8 +102,8 @@ def lock_observations(marked: DataFrame) -> DataFrame:
     keys = ["capture_id", "snapshot_index", "start_line"]
     seen = b.select(*keys, "lock_id", F.nullif(F.regexp_extract("text", r"\(an? ([^)]+)\)", 1), F.lit("")).alias("lock_type"), kind.alias("kind"), "line_no").where("kind IS NOT NULL")
     last = seen.groupBy(*keys, "lock_id", "kind").agg(F.max_by("lock_type", "line_no").alias("lock_type"), F.max("line_no").alias("line_no"))
-    waits = last.where("kind IN ('monitor-enter', 'monitor-wait')").select(*keys, "lock_id").distinct()
-    return last.where("kind <> 'monitor'").unionByName(last.where("kind = 'monitor'").join(waits, [*keys, "lock_id"], "left_anti"))
+    waits = F.bool_or(F.col("kind").isin("monitor-enter", "monitor-wait")).over(Window.partitionBy(*keys, "lock_id"))
+    return last.withColumn("_waits", waits).where("kind <> 'monitor' OR NOT _waits").drop("_waits")
 
 
 HOLDS, CONTENDED = ("monitor", "ownable-synchronizer"), ("monitor-enter", "synchronizer-park")

@@ -277,8 +277,8 @@ def _edges(spark, sf_dir):
     """waiter -> holder of the lock, over all days; ids are the users'."""
     _checkpoints(spark)
     d = _dump(spark, sf_dir)
-    names = threads.threads(d).select("capture_id", "start_line", F.substring_index("thread_name", "-", -1).cast("long").alias("user_id"))
-    rel = threads.relations(threads.lock_observations(d)).where("owner IS NOT NULL")
+    names = generic.cut(threads.threads(d).select("capture_id", "start_line", F.substring_index("thread_name", "-", -1).cast("long").alias("user_id")))
+    rel = threads.relations(generic.cut(threads.lock_observations(d))).where("owner IS NOT NULL")
     a, b = names.withColumnsRenamed({"start_line": "waiter", "user_id": "source"}), names.withColumnsRenamed({"start_line": "owner", "user_id": "target"})
     return rel.join(a, ["capture_id", "waiter"]).join(b, ["capture_id", "owner"]).select("source", "target")
 
@@ -293,7 +293,7 @@ def g2_dependency_edges(spark, sf_dir):
 
 @query("g7_dependents", _EDGES + ", p AS (SELECT source, target FROM x UNION SELECT p.source, x.target FROM p JOIN x ON p.target = x.source) SELECT target AS blocker, count(*) AS dependents FROM p GROUP BY 1")
 def g7_dependents(spark, sf_dir):
-    return generic.reach(_edges(spark, sf_dir)).groupBy(F.col("target").alias("blocker")).agg(F.count("*").alias("dependents"))
+    return generic.ancestor_counts(_edges(spark, sf_dir), own=True).where("n > 0").select(F.col("node").alias("blocker"), F.col("n").alias("dependents"))
 
 
 @query("g4_depth", _EDGES + ", p AS (SELECT source, target, 1 AS d FROM x WHERE source <> target UNION ALL SELECT p.source, x.target, p.d + 1 FROM p JOIN x ON p.target = x.source WHERE x.source <> x.target), n AS (SELECT source AS node FROM x WHERE source <> target UNION SELECT target FROM x WHERE source <> target) SELECT node, coalesce(max(d), 0) AS depth FROM n LEFT JOIN p ON p.source = node GROUP BY node")

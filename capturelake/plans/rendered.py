@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from capturelake.operators.generic import cut
 from capturelake.sources.captures import numbered
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01, the first day of the events table
@@ -21,7 +22,7 @@ USERS = 10_000
 
 def lines(rows: DataFrame, width: int = HOUR_US) -> DataFrame:
     """capture_id, line_no, text; an hour of a long log is a bucket, and so are USERS users of a long dump (`width`)."""
-    return numbered(rows, F.floor(F.col("us") / width), "us", "part", "line")
+    return numbered(cut(rows), F.floor(F.col("us") / width), "us", "part", "line")
 
 
 def _keyed(rows: DataFrame, key: str) -> DataFrame:

@@ -40,3 +40,18 @@ def test_rows_stay_linear_on_a_tree(spark, monkeypatch):
     edges = [(i, i // 3) for i in range(1, 3_000)]
     got = {r.node: r.n for r in generic.ancestor_counts(spark.createDataFrame(edges, "source int, target int")).collect()}
     assert got == searched(edges) and max(most) <= 3_000
+
+
+def test_own_counts_nodes_of_cycles_and_loops(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (5, 6), (7, 6)]
+    got = {r.node: r.n for r in generic.ancestor_counts(spark.createDataFrame(edges, "source int, target int"), own=True).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 4: 3, 5: 1, 6: 2, 7: 0}
+    pairs = generic.reach(spark.createDataFrame(edges, "source int, target int")).groupBy("target").count().collect()
+    assert {r.target: r["count"] for r in pairs} == {k: v for k, v in got.items() if v}
+
+
+def test_reach_reads_its_edges_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(generic, "cut", lambda df, cut=generic.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    assert generic.reach(spark.range(6).selectExpr("id AS source", "id + 1 AS target")).count() == 21
+    assert len(plans) > 5 and sum("Range (" in p for p in plans) == 1
