@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capturelake.operators import generic
+
 _NODE = ["session", "snapshot", "source_key"]
 
 
@@ -50,14 +52,14 @@ def links(pairs: DataFrame) -> DataFrame:
 
 
 def series(rows: DataFrame, accepted: DataFrame, rounds: int = 40) -> DataFrame:
-    """Rows with first_snapshot and first_key of their chain of links, found by doubling steps; each round is checkpointed."""
+    """Rows with first_snapshot and first_key of their chain of links, found by doubling steps; each round is written."""
     at = F.struct(F.col("snapshot"), F.col("source_key"))
     own = rows.select(*_NODE).join(accepted, _NODE, "left")
     ahead = F.when(F.col("before_source_key").isNotNull(), F.struct((F.col("snapshot") - 1).alias("snapshot"), F.col("before_source_key").alias("source_key"))).otherwise(at)
-    state = own.select("session", at.alias("node"), ahead.alias("root")).checkpoint()
+    state = generic.cut(own.select("session", at.alias("node"), ahead.alias("root")))
     for _ in range(rounds):
         step = state.select("session", F.col("node").alias("root"), F.col("root").alias("next"))
-        new = state.join(step, ["session", "root"]).select("session", "node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")).checkpoint()
+        new = generic.cut(state.join(step, ["session", "root"]).select("session", "node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")))
         state = new.drop("moved")
         if not new.where("moved").take(1):
             break
@@ -128,11 +130,11 @@ def cpu_timeline(rates: DataFrame, n: int = 10, containing: str = "") -> DataFra
     """
     key = ["session", "first_snapshot", "first_key"]
     per = rates.groupBy(*key).agg(F.max_by("thread_name", "snapshot").alias("name"), F.max("percent").alias("highest"), F.round(F.avg("percent"), 6).alias("mean"), F.count("*").alias("samples"))
-    per = per.where(F.lower("name").contains(containing.strip().lower()))
-    whole = Window.partitionBy("session")
-    order = whole.orderBy(F.desc("highest"), F.desc("mean"), "name", "first_snapshot", "first_key")
-    top = per.withColumn("available", F.count("*").over(whole)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(n, 1), 50))
-    return rates.join(top, key)
+    per = generic.cut(per.where(F.lower("name").contains(containing.strip().lower())))
+    order = Window.partitionBy("session").orderBy(F.desc("highest"), F.desc("mean"), "name", "first_snapshot", "first_key")
+    top = per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(max(n, 1), 50))  # each task keeps its own first n
+    available = per.groupBy("session").agg(F.count("*").alias("available"))
+    return rates.join(top.join(available, "session"), key)
 
 
 def interval_summary(rates: DataFrame, name: str, hot_ms: float) -> DataFrame:

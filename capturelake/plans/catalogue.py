@@ -314,12 +314,18 @@ _DAY_MS = 86_400_000
 _SES = _DAY + ", d AS (SELECT left(capture_id, 7) AS session, capture_id, CAST(dense_rank() OVER (PARTITION BY left(capture_id, 7) ORDER BY capture_id) AS INTEGER) AS snapshot, user_id, CAST(m AS BIGINT) AS m, CAST(cpu AS BIGINT) AS cpu, kind, java_state FROM t2), k AS (SELECT b.*, a.m AS m0, a.cpu AS cpu0, a.kind AS kind0, a.java_state AS state0, (epoch_ms(CAST(b.capture_id AS TIMESTAMP)) - epoch_ms(CAST(a.capture_id AS TIMESTAMP))) AS gap FROM d b JOIN d a ON a.session = b.session AND a.user_id = b.user_id AND a.snapshot = b.snapshot - 1), l AS (SELECT * FROM k WHERE m >= m0), r AS (SELECT *, 'user-' || user_id AS thread_name, cpu - cpu0 AS delta, round((cpu - cpu0) * 100.0::DOUBLE / gap, 6) AS percent FROM l WHERE cpu >= cpu0), c AS (SELECT d.*, max(CASE WHEN l.user_id IS NULL THEN d.snapshot END) OVER (PARTITION BY d.session, d.user_id ORDER BY d.snapshot) AS first_snapshot FROM d LEFT JOIN l USING (session, snapshot, user_id))"
 
 
+def _session_threads(spark, sf_dir):
+    """Threads of all days in sessions of a month; written, since pairs, links and what follows read them many times."""
+    read = generic.cut(threads.threads(_dump(spark, sf_dir)))
+    rows = series.in_sessions(series.source_keys(read), F.substring("capture_id", 1, 7))
+    return generic.cut(rows.withColumn("epoch_ms", F.unix_millis(F.to_timestamp("capture_id"))))
+
+
 def _session(spark, sf_dir):
-    """(threads of all days in sessions of a month, candidate pairs, links)."""
-    rows = series.in_sessions(series.source_keys(threads.threads(_dump(spark, sf_dir))), F.substring("capture_id", 1, 7))
-    rows = rows.withColumn("epoch_ms", F.unix_millis(F.to_timestamp("capture_id")))
-    pairs = series.candidates(rows)
-    return rows, pairs, series.links(pairs)
+    """(threads of all days in sessions of a month, candidate pairs, links), each written once."""
+    rows = _session_threads(spark, sf_dir)
+    pairs = generic.cut(series.candidates(rows))
+    return rows, pairs, generic.cut(series.links(pairs))
 
 
 @query("t11_source_keys", _DAY + " SELECT capture_id, 'user-' || user_id AS thread_name, '0x' || lower(printf('%x', user_id + 4096)) AS source_key FROM t")
@@ -329,7 +335,7 @@ def t11_source_keys(spark, sf_dir):
 
 @query("t13_session_snapshots", _SES + " SELECT session, capture_id, snapshot, count(*) AS threads FROM d GROUP BY ALL")
 def t13_session_snapshots(spark, sf_dir):
-    return _session(spark, sf_dir)[0].groupBy("session", "capture_id", "snapshot").agg(F.count("*").alias("threads"))
+    return _session_threads(spark, sf_dir).groupBy("session", "capture_id", "snapshot").agg(F.count("*").alias("threads"))
 
 
 @query("j7_identity_links", _SES + " SELECT session, snapshot, 'user-' || user_id AS thread_name FROM l")
@@ -392,7 +398,8 @@ def w5_busiest_threads(spark, sf_dir):
 )
 def w5_timeline_points(spark, sf_dir):
     rows, links = _series(spark, sf_dir)
-    points = series.cpu_timeline(series.cpu_rates(rows, links), 10)
+    rates = series.cpu_rates(rows, links).select("session", "first_snapshot", "first_key", "snapshot", "thread_name", "percent", "delta_ms", "interval_ms", "java_state")
+    points = series.cpu_timeline(generic.cut(rates), 10)
     return points.select("session", "rank", "available", "thread_name", "first_snapshot", "samples", "highest", "mean", "snapshot", "percent", F.col("delta_ms").cast("long").alias("delta_ms"), "interval_ms", "java_state")
 
 
@@ -439,12 +446,12 @@ def w6_diagnostic_trends(spark, sf_dir):
 
 @query("a13_snapshot_deltas", _SES + ", n AS (SELECT session, snapshot, count(*) AS threads, count(*) FILTER (WHERE java_state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE java_state = 'RUNNABLE') AS runnable, count(*) FILTER (WHERE java_state LIKE '%WAITING') AS waiting FROM d GROUP BY ALL) SELECT *, threads - lag(threads) OVER w AS threads_delta, blocked - lag(blocked) OVER w AS blocked_delta, runnable - lag(runnable) OVER w AS runnable_delta, waiting - lag(waiting) OVER w AS waiting_delta FROM n WINDOW w AS (PARTITION BY session ORDER BY snapshot)")
 def a13_snapshot_deltas(spark, sf_dir):
-    return series.snapshot_deltas(_session(spark, sf_dir)[0])
+    return series.snapshot_deltas(_session_threads(spark, sf_dir))
 
 
 @query("w13_spaced_snapshots", _SES + ", n AS (SELECT session, max(snapshot) AS size FROM d GROUP BY 1) SELECT DISTINCT session, CAST(CASE WHEN size <= 7 THEN i ELSE round(i * (size - 1) / 6.0::DOUBLE) END AS INTEGER) AS snapshot FROM n, range(7) g(i) WHERE i < size")
 def w13_spaced_snapshots(spark, sf_dir):
-    places = _session(spark, sf_dir)[0].select("session", (F.col("snapshot") - 1).alias("snapshot"))
+    places = _session_threads(spark, sf_dir).select("session", (F.col("snapshot") - 1).alias("snapshot"))
     return series.evenly_spaced(places, "session", "snapshot", 7)
 
 

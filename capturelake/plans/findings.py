@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capturelake.operators import evidence, series, threads, tls
 from capturelake.plans import rendered
-from capturelake.plans.catalogue import _DAY, _SES, _TLS, _dump, _session, _table, _tls_records, query
+from capturelake.plans.catalogue import _DAY, _SES, _TLS, _dump, _session, _session_threads, _table, _tls_records, query
 
 _INTERVAL = ", q AS (SELECT *, m > m0 AND abs(gap - (m - m0) * 1000) > 1010 AS apart FROM l), iv AS (SELECT *, 'user-' || user_id AS thread_name, CASE WHEN apart THEN 'conflicting' ELSE 'reliable' END AS quality, CASE WHEN apart THEN NULL WHEN m > m0 THEN (m - m0) * 1000 ELSE gap END AS interval_ms FROM q)"
 _MINUTES = ", mi AS (SELECT *, gap // 1440 AS ms, round((cpu - cpu0) * 100.0::DOUBLE / (gap // 1440), 6) AS pct, (cpu - cpu0) * 100000000.0::DOUBLE / (gap // 1440) AS bytes_s FROM l WHERE cpu >= cpu0)"
@@ -125,7 +125,7 @@ _TIMELINE = ", z AS (SELECT session, snapshot, 'app.Handler' || m % 7 || '.run(H
     _SES + _TIMELINE + " SELECT session, stack, seen, CASE WHEN seen = places THEN CASE WHEN n1 > n0 THEN 'Growing' WHEN n1 < n0 THEN 'Fading' ELSE 'Persistent' END WHEN seen <= 2 THEN 'Bursty' WHEN t - f + 1 > seen THEN 'Intermittent' WHEN n1 > n0 THEN 'Growing' WHEN n1 < n0 THEN 'Fading' ELSE 'Stable' END AS trend FROM a",
 )
 def w9_cluster_trend(spark, sf_dir):
-    rows = _session(spark, sf_dir)[0]
+    rows = _session_threads(spark, sf_dir)
     stacks = evidence.fingerprints(rows.where("java_state = 'RUNNABLE'")).select("session", "snapshot", F.col("app_fingerprint").alias("stack"))
     places = rows.select("session", "snapshot").distinct().withColumn("complete", F.lit(True))
     return evidence.count_trend(evidence.count_timeline(stacks, places, "session", "stack", "snapshot"), "snapshot", "session", "stack")

@@ -118,3 +118,42 @@ def test_signals_meet_events_of_any_length(spark):
     got = {r.line: (r.how, r.event_line) for r in gc.signal_events(events, signals).collect()}
     best = lambda n: min(((0 if n == b else 1), b, a) for a, b in spans if a <= n <= b) if any(a <= n <= b for a, b in spans) else None
     assert got == {n: (best(n)[0], best(n)[2]) if best(n) else (None, None) for n in at}
+
+
+def test_sessions_are_read_from_written_rows(spark, tmp_path):
+    _events(spark, str(tmp_path), [1, 2, 3, 4])
+    for table in catalogue._session(spark, str(tmp_path)):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.strip().startswith("Relation") and "\n" not in plan.strip()
+
+
+def test_timeline_ranks_without_a_session_in_one_window(spark):
+    from capturelake.operators import series
+
+    rates = spark.createDataFrame([("s", 1, f"k{i}", p, f"t{i}", float(i * p)) for i in range(30) for p in (2, 3)], "session string, first_snapshot int, first_key string, snapshot int, thread_name string, percent double")
+    got = series.cpu_timeline(rates, 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "count(1) windowspec" not in plan
+    assert sorted((r.rank, r.thread_name, r.snapshot, r.available, r.highest) for r in got.collect()) == [(1, "t29", 2, 30, 87.0), (1, "t29", 3, 30, 87.0), (2, "t28", 2, 30, 84.0), (2, "t28", 3, 30, 84.0)]
+
+
+def test_snapshots_begin_where_a_line_by_line_rule_says(spark):
+    import random
+
+    rng = random.Random(11)
+    samples = {"B": "Full thread dump X (1):", "S": "2024-01-01 00:00:00", "I": "2024-01-01T00:00:00Z", "P": " 7:", "D": " 42 ", "V": "21.0.1+12", "-": '"t" #1 tid=0x1'}
+    shapes = rng.choices(list(samples), k=600)
+    at = lambda i: shapes[i] if 0 <= i < len(shapes) else "-"
+    want, n = [], 0
+    for i, own in enumerate(shapes):
+        up, down, down2, down3 = at(i - 1), at(i + 1), at(i + 2), at(i + 3)
+        n += (
+            (own == "B" and up not in "SI") or (own in "SI" and down == "B" and up != "P") or (own == "P" and down in "SI" and down2 == "B" and up != "I")
+            or (own == "I" and down == "P" and down2 in "SI" and down3 == "B") or (own == "D" and down in "SI" and down2 in "VDSI")
+        )
+        want.append((i + 1, max(0, n - 1)))
+    lines = spark.createDataFrame([("a", i + 1, samples[s]) for i, s in enumerate(shapes)], "capture_id string, line_no int, text string").repartition(3)
+    for width in (None, 7):
+        found = threads.snapshots(lines, width)
+        assert sorted((r.line_no, r.snapshot_index) for r in found.collect()) == want
+    assert "shape" not in found._jdf.queryExecution().optimizedPlan().toString()  # lines pass no window for their neighbours
