@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from capturelake.llm.common import base_columns
+from capturelake.llm.common import base_columns, worker_memory
 
 #: Matches kept with their ids in one Python worker; the table starts anew beyond that, results don't change.
 PIECES_KEPT = 150_000
+#: Matches that the library encodes at a time: its encodings take far more memory than the ids.
+ENCODED = 2_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -66,8 +68,8 @@ class Codec:
         if len(self.known) + len(new) > PIECES_KEPT:
             self.known, self.written = {}, {}
             new = list({p for row in rows for p in row})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), ENCODED):
+            part = new[at : at + ENCODED]
             for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[piece] = ids = tuple(coded.ids)
                 self.written[piece] = ",".join(map(str, ids))
@@ -155,19 +157,20 @@ def token_digests(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, SHA-256 of the comma-joined ids and of the decoded bytes. Repeated rows stay repeated."""
 
     def run(batches):
-        c = codec(rank_path, pattern)
-        for batch in batches:
-            texts = _texts(batch, "text")
-            for a, b in _row_groups(texts):
-                rows = [c.pieces(t) for t in texts[a:b]]
-                c.learn(rows)
-                n, coded, decoded = [], [], []
-                for row in rows:
-                    ids = c.ids(row)
-                    n.append(len(ids))
-                    coded.append(hashlib.sha256(",".join(map(c.written.__getitem__, row)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with worker_memory("byte_bpe", codec.cache_clear):
+            c = codec(rank_path, pattern)
+            for batch in batches:
+                texts = _texts(batch, "text")
+                for a, b in _row_groups(texts):
+                    rows = [c.pieces(t) for t in texts[a:b]]
+                    c.learn(rows)
+                    n, coded, decoded = [], [], []
+                    for row in rows:
+                        ids = c.ids(row)
+                        n.append(len(ids))
+                        coded.append(hashlib.sha256(",".join(map(c.written.__getitem__, row)).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = base_columns(df, {"doc_id": "long", "text": "string"})
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

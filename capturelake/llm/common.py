@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +58,35 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Tables that tasks leave in a Python worker for later tasks of their kind, with what drops them.
+_LEFT: dict[str, Callable[[], None]] = {}
+
+
+@contextlib.contextmanager
+def worker_memory(kind: str, drop: Callable[[], None] | None = None) -> Iterator[None]:
+    """For the body of a task: what tasks of other kinds have left in this worker goes first, and freed memory goes back to the system at the end.
+
+    A worker lives as long as its executor and serves all stages in turn; else each of them would add to what it holds.
+    """
+    for other in [k for k in _LEFT if k != kind]:
+        _LEFT.pop(other)()
+        give_back()
+    if drop is not None:
+        _LEFT[kind] = drop
+    try:
+        yield
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns memory that Python, Arrow and the C library have freed but keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def base_columns(df: DataFrame, required: dict[str, str]) -> DataFrame:
     """Only the required columns, cast to the types the operator works with; extra columns cannot clash."""
     bounded_batches(df.sparkSession)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturelake.llm.common import base_columns, cut_lineage
+from capturelake.llm.common import base_columns, cut_lineage, worker_memory
 
 MAX_PER_CLASS = 5_000
 BEGINNINGS = (4, 5, 6)
@@ -133,12 +133,13 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     rows = cut_lineage(_training_rows(docs, labels, max_per_class).select("text", "toxic"))
 
     def count(batches):
-        seen: dict[str, list[int]] = collections.defaultdict(lambda: [0, 0])
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for u in {u for w in set(tokens(text or "")) for u in units(w)}:
-                    seen[u][0 if toxic else 1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["unit", "t", "c"])
+        with worker_memory("toxicity"):
+            seen: dict[str, list[int]] = collections.defaultdict(lambda: [0, 0])
+            for batch in batches:
+                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    for u in {u for w in set(tokens(text or "")) for u in units(w)}:
+                        seen[u][0 if toxic else 1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["unit", "t", "c"])
 
     counted = rows.mapInArrow(count, "unit string, t long, c long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     whole = counted.where("not endswith(unit, '*')")
@@ -241,8 +242,9 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def keep(batches):
-        for batch in batches:
-            good = [shared.value.probability(*shared.value.passages(t or "")) < 0.5 for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        with worker_memory("toxicity"):
+            for batch in batches:
+                good = [shared.value.probability(*shared.value.passages(t or "")) < 0.5 for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(good, pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)

@@ -5,6 +5,7 @@ import struct
 import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,23 @@ def test_suffix_dedup_refuses_what_it_cannot_place():
 
     with pytest.raises(ValueError, match="256 MB"):
         suffix_dedup.records(np.zeros(2**28 + 1, np.uint8), np.array([0, 2**28 + 1]), 200)
+
+
+def test_a_stage_drops_the_tables_that_another_left_in_a_worker(spark):
+    from capturelake.llm import common
+    from capturelake.llm.queries import RANKS
+
+    path = public_tokenizers.path(RANKS)
+
+    def run(batches):  # one worker serves both stages in turn
+        held = []
+        with common.worker_memory("byte_bpe", bpe.codec.cache_clear):
+            bpe.codec(path, public_tokenizers.PATTERN)
+        with common.worker_memory("byte_bpe", bpe.codec.cache_clear):
+            held.append(bpe.codec.cache_info().currsize)
+        with common.worker_memory("toxicity"):
+            held.append(bpe.codec.cache_info().currsize)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([held] * len(batch))], ["held"])
+
+    assert spark.range(0, 1, 1, 1).mapInArrow(run, "held array<long>").first().held == [1, 0]
