@@ -35,6 +35,8 @@ ENDINGS = ("java", "py", "html", "txt", "json", "tar.gz", "md", "png", "xml", "c
 #: Of held-out ordinary runs this share may pass the threshold; random strings are taken to be this many times rarer.
 FALSE_RATE = 0.0005
 PRIOR = 10_000
+#: Pairs of characters that an ordinary sample's chunks hold.
+CHUNK = 2
 MARK = "[SECRET]"
 BLOCK = 1024
 STEP = 128
@@ -94,36 +96,48 @@ def _apart(runs, base) -> F.Column:
 
 
 def _bigrams(samples: DataFrame) -> DataFrame:
-    """label, a, b (character codes less 32), n."""
-    placed = samples.where(F.length("sample") > 1).select("label", "sample", F.explode(F.sequence(F.lit(1), F.length("sample") - 1)).alias("at"))
-    pairs = placed.select("label", F.substring(F.col("sample"), F.col("at"), F.lit(2)).alias("pair"))
-    code = lambda at: F.ascii(F.substring("pair", at, 1)) - 32
-    return pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).select("label", code(1).alias("a"), code(2).alias("b"), "n")
-
-
-def _named(phrase) -> F.Column:
-    """Five words written as one identifier, path, address or setting; the phrase's hash chooses the form."""
-    pick = lambda choices, turn: F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(F.xxhash64(phrase, F.lit(turn)), F.lit(len(choices))) + 1).cast("int"))
-    low = F.lower(F.regexp_replace(phrase, "[^A-Za-z]+", " "))
-    ending, root, number = pick(ENDINGS, 1), pick(ROOTS, 2), F.pmod(F.xxhash64(phrase, F.lit(3)), F.lit(1000)).cast("string")
-    joined = lambda sign: F.regexp_replace(low, " ", sign)
-    pascal = F.regexp_replace(F.initcap(low), " ", "")
-    head = lambda n: F.substring_index(low, " ", n)
-    tail = lambda n: F.substring_index(low, " ", -n)
-    class_name = F.regexp_replace(F.initcap(tail(3)), " ", "")
-    with_first = lambda sign: F.concat_ws(sign, root, F.regexp_replace(head(2), " ", sign))
+    """label, a, b (character codes less 32), n.
+
+    Ordinary samples repeat the same words, so they are cut into chunks that share their end characters, and equal chunks
+    are counted before they fall into pairs: a row for every CHUNK pairs. Chunks of random samples hardly repeat; theirs
+    are single pairs. Samples are ASCII, so bytes are characters, and a place in them is found without reading up to it.
+    """
+    most = F.when(F.col("label") == 0, F.lit(CHUNK)).otherwise(F.lit(1))
+    places = lambda column, step: F.explode(F.sequence(F.lit(1), F.length(column) - 1, step)).alias("at")
+    placed = samples.where(F.length("sample") > 1).select("label", F.col("sample").cast("binary").alias("bytes"), places("sample", most))
+    chunks = placed.select("label", F.substring("bytes", F.col("at"), most + 1).alias("chunk")).groupBy("label", "chunk").agg(F.count("*").alias("n"))
+    pairs = chunks.select("label", "chunk", "n", places("chunk", F.lit(1))).select("label", F.substring("chunk", F.col("at"), F.lit(2)).alias("pair"), "n")
+    code = lambda at: F.ascii(F.substring("pair", at, 1).cast("string")) - 32
+    return pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).select("label", code(1).alias("a"), code(2).alias("b"), "n")
+
+
+def _named(phrases: DataFrame) -> DataFrame:
+    """source, sample: five words (source) written as one identifier, path, address or setting; the phrase's hash chooses the form.
+
+    The words and their capitalized forms are columns of steps of their own, computed once a row; a form only joins them.
+    As one expression the forms make a method above the 8,000 bytes that the JVM compiles.
+    """
+    pick = lambda choices, turn: F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(F.xxhash64("source", F.lit(turn)), F.lit(len(choices))) + 1).cast("int"))
+    cut = phrases.select("source", F.split("source", "[^A-Za-z]+").alias("words"))
+    low = cut.select("source", *[F.lower(F.col("words")[i]).alias(f"w{i}") for i in range(5)])
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))
+    parts = low.select("*", *[capital(f"w{i}").alias(f"c{i}") for i in range(5)])
+    w, c = [f"w{i}" for i in range(5)], [f"c{i}" for i in range(5)]
+    ending, root, number = F.col("ending"), F.col("root"), F.col("number")
+    joined = lambda sign, words=w: F.concat_ws(sign, *words)
+    class_name, pascal = F.concat(*c[2:]), F.concat(*c)
+    file = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("."), ending)
     forms = [
-        joined("_"), joined("-"), F.upper(joined("_")), joined("."), joined(""), pascal, pascal, pascal,
-        F.concat(F.substring(low, 1, 1), F.substring(pascal, 2, 1 << 20)),
-        F.concat_ws(".", with_first("."), class_name), F.concat(with_first("/"), F.lit("/"), class_name, F.lit("."), ending),
-        F.concat(F.lit("/"), with_first("/"), F.lit("/"), F.regexp_replace(tail(3), " ", "_"), F.lit("."), ending),
-        F.concat(F.lit("//www."), F.regexp_replace(head(2), " ", "-"), F.lit(".com/"), root, F.lit("/"), F.regexp_replace(tail(3), " ", "-"), F.lit("."), ending),
-        F.concat(F.regexp_replace(head(2), " ", "_"), F.lit("=/"), root, F.lit("/"), F.regexp_replace(tail(3), " ", "_"), F.lit("_v"), number, F.lit("."), ending),
-        F.concat(F.regexp_replace(head(3), " ", "-"), F.lit("-"), F.substring(number, 1, 1), F.lit("."), number, F.lit("."), ending),
-        F.concat(class_name, number, F.regexp_replace(F.initcap(head(2)), " ", "")),
+        joined("_"), joined("-"), F.upper(joined("_")), joined("."), joined(""), pascal, pascal, pascal, F.concat("w0", *c[1:]),
+        F.concat_ws(".", root, "w0", "w1", class_name), file(root, "/", joined("/", w[:2]), "/", class_name),
+        file("/", root, "/", joined("/", w[:2]), "/", joined("_", w[2:])), file("//www.", joined("-", w[:2]), ".com/", root, "/", joined("-", w[2:])),
+        file(joined("_", w[:2]), "=/", root, "/", joined("_", w[2:]), "_v", number), file(joined("-", w[:3]), "-", F.substring(number, 1, 1), ".", number),
+        F.concat(class_name, number, *c[:2]),
     ]
-    turn = F.pmod(F.xxhash64(phrase), F.lit(len(forms)))
-    return F.coalesce(*[F.when(turn == i, form) for i, form in enumerate(forms)])
+    numbered = F.pmod(F.xxhash64("source", F.lit(3)), F.lit(1000)).cast("string")
+    picked = parts.select("*", pick(ENDINGS, 1).alias("ending"), pick(ROOTS, 2).alias("root"), numbered.alias("number"), F.pmod(F.xxhash64("source"), F.lit(len(forms))).alias("turn"))
+    chosen = F.coalesce(*[F.when(F.col("turn") == i, form) for i, form in enumerate(forms)])
+    return picked.select("source", F.explode(F.array(chosen)).alias("sample"))  # of a generated column no filter computes it again
 
 
 def labelled_samples(docs: DataFrame, most: int | None = None) -> DataFrame:
@@ -140,17 +154,18 @@ def labelled_samples(docs: DataFrame, most: int | None = None) -> DataFrame:
         some = filled.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     settings = spark.sql("SET -v").select(F.col("key").alias("name"), F.concat_ws(" ", "key", "meaning").alias("text"))
     texts = some.select(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")).alias("name"), F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ").alias("text")).unionByName(settings)
-    digest = F.sha2(F.concat_ws(":", F.lit("sample"), F.col("name")), 512)
-    base64 = F.regexp_replace(F.base64(F.unhex(digest)), r"\s", "")  # base64 breaks lines
-    digits = F.concat(*[F.lpad(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(10**9)).cast("string"), 9, "0") for i in range(4)])
+    numbers = F.concat(*[F.lpad(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(10**9)).cast("string"), 9, "0") for i in range(4)])
+    hashed = texts.select("name", F.sha2(F.concat_ws(":", F.lit("sample"), F.col("name")), 512).alias("digest"), numbers.alias("digits"))
+    coded = hashed.select("*", F.regexp_replace(F.base64(F.unhex("digest")), r"\s", "").alias("base64"))  # base64 breaks lines
+    names = coded.select("*", F.regexp_replace("base64", "[^A-Za-z0-9]", "").alias("letters"))
     sign = lambda turn: F.element_at(F.array(*[F.lit(c) for c in "-=_.+/"]), (F.pmod(F.xxhash64("name", F.lit(turn)), F.lit(6)) + 1).cast("int"))
-    random = F.array(F.substring(digest, 1, 40), F.upper(F.substring(digest, 41, 40)), F.substring(base64, 1, 40), F.translate(F.substring(base64, 41, 44), "+/", "-_"), F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 1, 32), F.upper(F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", ""), 41, 24)))
-    part = lambda at, n: F.substring(digits, at, n)
-    plain = F.array(digits, F.concat_ws("-", part(1, 4), part(5, 2), F.concat(part(7, 2), F.lit("T"), part(9, 2)), part(11, 2), part(13, 2)), F.concat_ws(".", part(1, 3), part(4, 2), part(6, 3), part(9, 2), part(11, 3), part(14, 4)), F.concat_ws("/", part(1, 4), part(5, 2), part(7, 2), part(9, 6), part(15, 6)), F.repeat(sign(4), F.lit(40)), F.repeat(F.concat(sign(5), sign(6)), F.lit(20)))
+    random = [F.substring("digest", 1, 40), F.upper(F.substring("digest", 41, 40)), F.substring("base64", 1, 40), F.translate(F.substring("base64", 41, 44), "+/", "-_"), F.substring("letters", 1, 32), F.upper(F.substring("letters", 41, 24))]
+    part = lambda at, n: F.substring("digits", at, n)
+    plain = [F.col("digits"), F.concat_ws("-", part(1, 4), part(5, 2), F.concat(part(7, 2), F.lit("T"), part(9, 2)), part(11, 2), part(13, 2)), F.concat_ws(".", part(1, 3), part(4, 2), part(6, 3), part(9, 2), part(11, 3), part(14, 4)), F.concat_ws("/", part(1, 4), part(5, 2), part(7, 2), part(9, 6), part(15, 6)), F.repeat(sign(4), F.lit(40)), F.repeat(F.concat(sign(5), sign(6)), F.lit(20))]
     phrase = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}(?:[^A-Za-z]+[A-Za-z]{2,}){4}"), F.lit(0)))
-    phrases, names = texts.select(phrase.alias("source")), texts.select(F.col("name").alias("source"), F.explode(plain).alias("sample"))
-    ordinary = phrases.withColumn("sample", _named(F.col("source"))).unionByName(names).withColumn("label", F.lit(0))
-    both = texts.select(F.col("name").alias("source"), F.explode(random).alias("sample"), F.lit(1).alias("label")).unionByName(ordinary)
+    ordinary = _named(texts.select(phrase.alias("source"))).select("source", F.lit(0).alias("label"), "sample")
+    labelled = lambda label, made: [F.struct(F.lit(label).alias("label"), x.alias("sample")) for x in made]
+    both = names.select(F.col("name").alias("source"), F.inline(F.array(*labelled(1, random), *labelled(0, plain)))).unionByName(ordinary)
     return both.select("label", "sample", (F.pmod(F.xxhash64("source"), F.lit(5)) == 0).alias("held_out"))
 
 
@@ -189,8 +204,9 @@ def _table(ratios: list[float]) -> F.Column:
 
 
 def _ratio(run, table) -> F.Column:
-    chars, n = F.split(run, ""), F.length(run)
-    steps = F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda x, y: F.element_at(table, (F.ascii(x) - 32) * 96 + F.ascii(y) - 31))
+    at = lambda x, y: F.element_at(table, (x - 32) * 96 + y - 31)
+    codes = F.transform(F.split(run, ""), F.ascii)
+    steps = _let(codes, lambda xs: F.zip_with(F.slice(xs, F.lit(1), F.size(xs) - 1), F.slice(xs, F.lit(2), F.size(xs) - 1), at))
     return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
 
 

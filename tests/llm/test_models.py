@@ -105,6 +105,37 @@ def test_secret_model_counts_every_document(spark):
     assert abs(limit - max(math.log(secrets.PRIOR), scores[int(len(scores) * secrets.FALSE_RATE)])) < 1e-9
 
 
+def test_secret_samples_compile(spark, capsys):
+    """Forms of phrases against plain Python; the JVM interprets methods above 8,000 bytes, which took much of op3's time. Texts are read twice: for phrases and for names."""
+    words = ["Alpha", "beta", "GAMMA", "deltaEps", "of", "İx", "Kelvin\u212a", "zz"]
+    phrases = [(" \n-7é"[i % 5] * (1 + i % 2)).join(re.sub("[^A-Za-z]", "", words[(i * k + k) % 8]) + "ab"[k % 2] for k in range(1, 6)) for i in range(300)] + ["one\u212atwo İthree four\u0131five"]
+    picked = spark.createDataFrame([(x,) for x in phrases], "source string").distinct()
+    turns = {r.source: r for r in picked.select("source", *[F.pmod(F.xxhash64("source", *[F.lit(k)] * (k > 0)), F.lit(n)).alias(f"k{k}") for k, n in enumerate((16, len(secrets.ENDINGS), len(secrets.ROOTS), 1000))]).collect()}
+    seen = set()
+    for source, sample in secrets._named(picked).collect():
+        r, w = turns[source], [x.lower() for x in re.findall("[A-Za-z]+", source)]
+        c, end, root, n = [x.capitalize() for x in w], secrets.ENDINGS[r.k1], secrets.ROOTS[r.k2], str(r.k3)
+        name, pascal = "".join(c[2:]), "".join(c)
+        forms = [
+            "_".join(w), "-".join(w), "_".join(w).upper(), ".".join(w), "".join(w), pascal, pascal, pascal, w[0] + pascal[len(w[0]) :], ".".join([root, *w[:2], name]), f"{root}/{w[0]}/{w[1]}/{name}.{end}",
+            f"/{root}/{w[0]}/{w[1]}/{'_'.join(w[2:])}.{end}", f"//www.{w[0]}-{w[1]}.com/{root}/{'-'.join(w[2:])}.{end}", f"{w[0]}_{w[1]}=/{root}/{'_'.join(w[2:])}_v{n}.{end}", f"{'-'.join(w[:3])}-{n[0]}.{n}.{end}", name + n + "".join(c[:2]),
+        ]
+        assert sample == forms[r.k0], source
+        seen.add(r.k0)
+    assert len(seen) == 16
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    counted = secrets._bigrams(secrets.labelled_samples(docs).where("NOT held_out"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counted.explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        counted.explain()
+        assert capsys.readouterr().out.count("FileScan parquet") == 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000, sizes
+
+
 def test_toxicity_held_out(spark):
     docs, labels = read(spark, LARGE, "documents"), read(spark, LARGE, "labels")
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
